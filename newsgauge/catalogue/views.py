@@ -21,7 +21,7 @@ _OUTLETS = """CASE doc_id % 12 WHEN 0 THEN '新华社' WHEN 1 THEN '北京晚报
 
 ARTICLES = f"""
 SELECT doc_id AS ord, lang AS keyword,
-  concat(split_part(text, chr(10), 1), CASE doc_id % 11 WHEN 0 THEN '项目全面封顶' WHEN 1 THEN '顺利通过验收，全面启用！'
+  concat(regexp_extract(text, '^[^\\n]*', 0), CASE doc_id % 11 WHEN 0 THEN '项目全面封顶' WHEN 1 THEN '顺利通过验收，全面启用！'
     WHEN 2 THEN '公司招聘公告' WHEN 3 THEN '——最新进展' WHEN 4 THEN '发明专利' WHEN 5 THEN '正式开工' ELSE '' END) AS title,
   concat(CASE WHEN n_chars % 2 = 0 THEN 'http://www.' ELSE 'https://' END,
     CASE n_chars % 7 WHEN 0 THEN 'news.xinhuanet.com' WHEN 1 THEN concat(lang, '.gov.cn')
@@ -31,7 +31,7 @@ SELECT doc_id AS ord, lang AS keyword,
   CASE WHEN doc_id % 10 = 0 THEN '' WHEN doc_id % 10 = 5 THEN '5天前'
     ELSE concat('2024-', lpad(CAST(doc_id % 12 + 1 AS STRING), 2, '0'), '-', lpad(CAST(doc_id % 28 + 1 AS STRING), 2, '0')) END AS date,
   {_OUTLETS} AS media,
-  concat(substr(text, length(split_part(text, chr(10), 1)) + 2),
+  concat(substr(text, length(regexp_extract(text, '^[^\\n]*', 0)) + 2),
     CASE doc_id % 13 WHEN 0 THEN '股票' WHEN 1 THEN '限时秒杀' WHEN 2 THEN '快照' ELSE '' END) AS snippet,
   CASE WHEN doc_id % 3 = 0 THEN 'wechat' ELSE 'news' END AS source
 FROM {{documents}}

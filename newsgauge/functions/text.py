@@ -32,7 +32,7 @@ def contains_any(c: Column, words) -> Column:
 
 
 _WORDS = re.compile(r"[^\\^$.|?*+()\[\]{}]+(?:\|[^\\^$.|?*+()\[\]{}]+)*")
-_LAST_GROUP = re.compile(r"\((" + _WORDS.pattern + r")\)\$?")
+_LAST_GROUP = re.compile(r"\((" + _WORDS.pattern + r")\)\$?\Z")
 
 
 def matches(c: Column, pattern: str) -> Column:
@@ -46,7 +46,7 @@ def matches(c: Column, pattern: str) -> Column:
     tail = _LAST_GROUP.search(pattern)
     one_branch = "|" not in re.sub(r"\([^()]*\)", "", pattern)
     found = c.rlike(anchored(pattern))
-    if one_branch and tail and tail.end() == len(pattern):
+    if one_branch and tail:
         return contains_any(c, tail[1].split("|")) & found
     return found
 

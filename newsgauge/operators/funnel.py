@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from newsgauge import values as v
 from newsgauge.functions.dates import ISO_DAY
-from newsgauge.functions.text import matches
+from newsgauge.functions.text import bind, matches
 
 
 def in_date_range(date: Column, date_from: str, date_to: str) -> Column:
@@ -18,7 +18,7 @@ def in_date_range(date: Column, date_from: str, date_to: str) -> Column:
 
 def first_reason(text: Column, rules) -> Column:
     """Reason of the first ``(pattern, reason)`` rule that matches, else NULL."""
-    return reduce(lambda acc, r: acc.when(matches(text, r[0]), r[1]), rules, F)
+    return bind(text, lambda x: reduce(lambda acc, r: acc.when(matches(x, r[0]), r[1]), rules, F))
 
 
 def own_account(media: Column, pattern: str = v.OWN_ACCOUNT_PATTERN) -> Column:
@@ -31,10 +31,14 @@ def noise_reason(title: Column, snippet: Column, rules=v.NOISE_RULES) -> Column:
 
 def mentions_subject(text: Column, terms: Column, co_occur: Column | None = None) -> Column:
     """The text contains one of the terms, or all words of the co-occurrence list."""
-    hit = F.exists(terms, lambda x: F.contains(text, x))
-    if co_occur is None:
-        return hit
-    return hit | F.coalesce(F.forall(co_occur, lambda x: F.contains(text, x)), F.lit(False))
+
+    def hit(whole: Column) -> Column:
+        direct = F.exists(terms, lambda x: F.contains(whole, x))
+        if co_occur is None:
+            return direct
+        return direct | F.coalesce(F.forall(co_occur, lambda x: F.contains(whole, x)), F.lit(False))
+
+    return bind(text, hit)
 
 
 def funnel_reason(

@@ -14,6 +14,7 @@ import json
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from newsgauge.functions.text import bind
 from newsgauge.operators.joins import SALTS, salt_of
 
 INLINE_ENTRIES = 2000
@@ -30,7 +31,7 @@ def pairs_array(pairs) -> Column:
 
 def first_containing(text: Column, pairs: Column) -> Column:
     """Value of the first pair whose key occurs in ``text``; NULL if none does."""
-    return F.try_element_at(F.filter(pairs, lambda e: F.contains(text, e["k"])), F.lit(1))["v"]
+    return bind(text, lambda x: F.try_element_at(F.filter(pairs, lambda e: F.contains(x, e["k"])), F.lit(1))["v"])
 
 
 def _read_small(dictionary: DataFrame, limit: int):

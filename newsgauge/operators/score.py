@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from newsgauge import values as v
-from newsgauge.functions.text import anchored, any_of, matches
+from newsgauge.functions.text import anchored, any_of, bind, matches
 from newsgauge.functions.urls import host
 from newsgauge.operators.lookup import constant_array
 
@@ -13,16 +13,19 @@ from newsgauge.operators.lookup import constant_array
 def words_contained(text: Column, words) -> Column:
     """Number of list entries the text contains; nested entries count each."""
     entries = constant_array([{"w": w} for w in words], "w:string")
-    return F.size(F.filter(entries, lambda e: F.contains(text, e["w"])))
+    return bind(text, lambda x: F.size(F.filter(entries, lambda e: F.contains(x, e["w"]))))
 
 
 def excluded_by(title: Column, text: Column, patterns=v.EXCLUDE_PATTERNS) -> Column:
     """First exclusion pattern found in the title or the text, else NULL."""
-    hits = [
-        F.when(matches(title, p) | matches(text, p), p) if p.startswith("^") else F.when(matches(text, p), p)
-        for p in patterns
-    ]
-    return F.coalesce(*hits)
+
+    def first(whole: Column) -> Column:
+        # an anchored pattern may match the title alone; the others match the text if they match the title
+        return F.coalesce(
+            *[F.when(matches(title, p) | matches(whole, p) if p.startswith("^") else matches(whole, p), p) for p in patterns]
+        )
+
+    return bind(text, first)
 
 
 def is_low_quality(title: Column, media: Column, patterns=v.LOW_QUALITY_PATTERNS) -> Column:
@@ -81,20 +84,19 @@ def with_score(df: DataFrame, exclude=v.EXCLUDE_PATTERNS, low_quality=v.LOW_QUAL
     title, media = F.col("title"), F.coalesce(F.col("media"), F.lit(""))
     source, url = F.col("source"), F.coalesce(F.col("url"), F.lit(""))
     text = F.concat(title, F.coalesce(F.col("snippet"), F.lit("")))
-    facts = df.select(
-        "*",
-        F.struct(
-            excluded_by(title, text, exclude).alias("excluded"),
-            is_low_quality(title, media, low_quality).alias("low"),
-            F.length(title).alias("chars"),
-            words_contained(title, event_words).alias("events"),
-            words_contained(title, progress_words).alias("progress"),
-            (is_formal_outlet(media) & (source == "news")).alias("formal"),
-            is_government(url).alias("gov"),
-            is_known_news(url).alias("known"),
-        ).alias("_f"),
-    )
-    f = F.col("_f")
+    # plain columns, not a struct: the optimizer would inline a struct's fields into every use
+    f = {
+        "excluded": excluded_by(title, text, exclude),
+        "low": is_low_quality(title, media, low_quality),
+        "chars": F.length(title),
+        "events": words_contained(title, event_words),
+        "progress": words_contained(title, progress_words),
+        "formal": is_formal_outlet(media) & (source == "news"),
+        "gov": is_government(url),
+        "known": is_known_news(url),
+    }
+    facts = df.select("*", *[c.alias(f"_{n}") for n, c in f.items()])
+    f = {n: F.col(f"_{n}") for n in f}
     points = (
         length_points(title)
         + event_points(f["events"])
