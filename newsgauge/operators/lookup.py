@@ -40,24 +40,15 @@ def _read_small(dictionary: DataFrame, limit: int):
     return sorted(rows, key=lambda r: r["ord"]) if len(rows) <= limit else None
 
 
-def _substrings(c: Column, lengths: Column) -> Column:
-    """All distinct substrings of ``c`` with one of the given lengths."""
-    chars = F.split(c, "")
-    n = F.size(chars)
-    usable = F.filter(lengths, lambda k: k <= n)
-    grams = F.transform(
-        usable,
-        lambda k: F.transform(
-            F.sequence(F.lit(1), n - k + 1), lambda i: F.array_join(F.slice(chars, i, k), "")
-        ),
-    )
-    return F.array_distinct(F.flatten(grams))
+def _substrings(c: Column, sizes: list[int]) -> Column:
+    """All distinct substrings of ``c`` with one of the given lengths, in one pass per length."""
+    each = [F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1)) for k in sizes]
+    return F.array_distinct(F.concat(*each)) if each else F.array().cast("array<string>")
 
 
-def _lengths(df: DataFrame, column: str) -> Column:
-    """Distinct text lengths as a constant array; their number is bounded by the longest entry."""
-    sizes = [r[0] for r in df.select(F.length(column).cast("int")).distinct().collect() if r[0]]
-    return F.array(*[F.lit(k) for k in sorted(sizes)]).cast("array<int>")
+def _lengths(df: DataFrame, column: str) -> list[int]:
+    """Distinct text lengths; their number is bounded by the longest entry."""
+    return sorted(r[0] for r in df.select(F.length(column).cast("int")).distinct().collect() if r[0])
 
 
 def _gram_join(left: DataFrame, right: DataFrame, gram: str, spread_by: str, salts: int = SALTS) -> DataFrame:
@@ -85,7 +76,7 @@ def first_match(names: DataFrame, name: str, dictionary: DataFrame, both_ways: b
 
     keys = dictionary.select("ord", "key", "value")
     inside = names.select(name, F.explode(_substrings(F.col(name), _lengths(keys, "key"))).alias("key"))
-    hits = _gram_join(inside, keys, "key", name).select(
+    hits = _gram_join(inside, keys, "key", name).where(F.contains(F.col(name), F.col("key"))).select(
         name, F.when(F.col(name) == F.col("key"), F.lit(-1)).otherwise(F.col("ord")).alias("ord"), "value"
     )
     if both_ways:
@@ -111,7 +102,20 @@ def match_terms(articles: DataFrame, text: Column, row_id: str, terms: DataFrame
         hits = F.filter(entries, lambda e: F.contains(text, e["term"]))
         return articles.withColumn("_hit", F.explode(hits)).select(*articles.columns, "_hit.*")
 
-    grams = articles.select(row_id, F.explode(_substrings(text, _lengths(terms, "term"))).alias("term"))
-    # a term may be listed for several subjects: find each distinct term once, then expand
-    found = _gram_join(grams, terms.select("term").distinct(), "term", row_id)
-    return articles.join(_gram_join(found, terms, "term", row_id), row_id)
+    # every term is anchored by its first 1, 2, 4, 8 or 16 characters; an article's distinct substrings of
+    # those lengths find its candidate terms by equality, and the whole text decides
+    anchored = terms.withColumn("_k", _anchor_length(F.col("term")))
+    kinds = [r[0] for r in anchored.select("_k").distinct().collect()]  # at most five
+    anchors = anchored.select(F.expr("substring(term, 1, _k)").alias("_gram"), "term").distinct()
+    grams = articles.select(row_id, F.explode(_substrings(text, sorted(kinds))).alias("_gram"))
+    candidates = _gram_join(grams, anchors, "_gram", row_id).groupBy(row_id).agg(F.collect_set("term").alias("_terms"))
+    found = articles.join(candidates, row_id).select(
+        *articles.columns, F.explode(F.filter("_terms", lambda t: F.contains(text, t))).alias("term")
+    )
+    # a term may be listed for several subjects, and be common: spread its articles as well
+    return _gram_join(found, terms, "term", row_id).select(*articles.columns, *[f.name for f in fields])
+
+
+def _anchor_length(term: Column) -> Column:
+    n = F.length(term)
+    return F.when(n >= 16, 16).when(n >= 8, 8).when(n >= 4, 4).when(n >= 2, 2).otherwise(1)
