@@ -1,0 +1,31 @@
+import pytest
+
+from newsgauge.session import build_session
+
+
+@pytest.fixture(scope="session")
+def spark():
+    session = build_session(
+        "tests", "local[4]",
+        **{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "4", "spark.driver.memory": "8g",
+           "spark.python.sql.dataFrameDebugging.enabled": "false"},
+    )
+    session.sparkContext.setLogLevel("ERROR")
+    yield session
+    session.stop()
+
+
+@pytest.fixture(scope="session")
+def apply(spark):
+    """Evaluate a column function on a list of single values or tuples."""
+    from pyspark.sql import functions as F
+
+    def run(fn, values, types="string"):
+        types = [types] if isinstance(types, str) else types
+        rows = [(i, *(v if isinstance(v, tuple) else (v,))) for i, v in enumerate(values)]
+        schema = "i int, " + ", ".join(f"c{j} {t}" for j, t in enumerate(types))
+        df = spark.createDataFrame(rows, schema)
+        out = df.select("i", fn(*[F.col(f"c{j}") for j in range(len(types))]).alias("v")).collect()
+        return [r["v"] for r in sorted(out, key=lambda r: r["i"])]
+
+    return run
