@@ -79,7 +79,7 @@ WITH {_LINES_SQL}, b AS (SELECT doc_id, {_NEWS_BODY_SQL} AS body FROM lines GROU
 p AS (SELECT doc_id, string_split(body, '{_H3}') AS parts FROM b),
 w AS (SELECT doc_id, j, substr('{_H3}' || array_to_string(parts[j:j + 12], '{_H3}'), 1, 1500) AS w FROM (SELECT *, unnest(range(2, len(parts) + 1)) AS j FROM p)),
 t AS (SELECT *, {k.trim(k.strip_tags(f"regexp_extract(w, '(?s){_H3}<a href=\"([^\"]*)\"[^>]*>(.*?)</a>', 2)"))} AS title FROM w),
-k AS (SELECT *, regexp_extract(w, '(?s)(news-source.{{0,889}})', 1) AS line, row_number() OVER (PARTITION BY doc_id ORDER BY j) - 1 AS pos FROM t WHERE length(title) >= 4),
+k AS (SELECT *, CASE WHEN contains(w, 'news-source') THEN substr(w, strpos(w, 'news-source'), 900) ELSE '' END AS line, row_number() OVER (PARTITION BY doc_id ORDER BY j) - 1 AS pos FROM t WHERE length(title) >= 4),
 d AS (SELECT *, COALESCE(nullif(regexp_extract(w, 'aria-label="发布于：([^"]*)"', 1), ''), nullif(regexp_extract(line, '([0-9]+ *天前)', 1), ''),
   nullif(regexp_extract(line, '([0-9]+ *小时前)', 1), ''), nullif(regexp_extract(line, '([0-9]+月[0-9]+日)', 1), ''), '') AS said,
   regexp_extract(w, '<a[^>]*class="[^"]*source-link[^"]*"[^>]*href="([^"]*)"', 1) AS link FROM k)

@@ -25,6 +25,13 @@ def _explode(df: DataFrame, articles: Column, body: str, max_results: int | None
     return rows.select(*keep, "pos", "_a.*")
 
 
+def _accepted(parts: Column, fields, max_results: int | None = None) -> Column:
+    """Raw fields of each part, found once, for the parts whose title is long enough."""
+    found = F.transform(parts, fields)
+    found = F.filter(found, lambda r: F.length(r["title"]) >= v.MIN_TITLE_CHARS)
+    return found if max_results is None else F.slice(found, 1, max_results)
+
+
 def _inner(c: Column, tag: str) -> Column:
     return F.regexp_extract(c, rf"(?is)<{tag}>(.*?)</{tag.split('[')[0]}>", 1)
 
@@ -32,34 +39,42 @@ def _inner(c: Column, tag: str) -> Column:
 def parse_rss(df: DataFrame, body: str = "body", max_results: int | None = None) -> DataFrame:
     """``<item>`` elements of an RSS feed; the cap counts accepted items."""
 
-    def full_title(item: Column) -> Column:
-        return t.trim_ws(t.decode_entities(t.strip_cdata(_inner(item, "title")), v.RSS_TITLE_ENTITIES))
-
-    def article(item: Column) -> Column:
-        parts = t.split_title_outlet(full_title(item), _inner(item, "source[^>]*"))
-        description = t.strip_tags(t.strip_cdata(_inner(item, "description")))
+    def fields(item: Column) -> Column:
+        title = t.decode_entities(t.strip_cdata(_inner(item, "title")), v.RSS_TITLE_ENTITIES)
         return F.struct(
-            parts["title"].alias("title"),
-            t.trim_ws(_inner(item, "link")).alias("url"),
-            dates.mail_date_day(t.trim_ws(_inner(item, "pubDate"))).alias("date"),
-            parts["media"].alias("media"),
-            t.truncate(
-                t.trim_ws(t.decode_entities(description, v.RSS_SNIPPET_ENTITIES)), v.SNIPPET_CHARS
-            ).alias("snippet"),
+            t.trim_ws(title).alias("title"),
+            _inner(item, "link").alias("link"),
+            t.trim_ws(_inner(item, "pubDate")).alias("date"),
+            _inner(item, "source[^>]*").alias("source"),
+            _inner(item, "description").alias("description"),
+        )
+
+    def article(r: Column) -> Column:
+        snippet = t.decode_entities(t.strip_tags(t.strip_cdata(r["description"])), v.RSS_SNIPPET_ENTITIES)
+        date = dates.mail_date_day(r["date"])
+        return t.bind(
+            t.split_title_outlet(r["title"], r["source"]),
+            lambda split: F.struct(
+                split["title"].alias("title"),
+                t.trim_ws(r["link"]).alias("url"),
+                date.alias("date"),
+                split["media"].alias("media"),
+                t.truncate(t.trim_ws(snippet), v.SNIPPET_CHARS).alias("snippet"),
+            ),
         )
 
     items = F.regexp_extract_all(F.col(body), F.lit("(?is)<item>(.*?)</item>"), F.lit(1))
-    items = F.filter(items, lambda i: F.length(full_title(i)) >= v.MIN_TITLE_CHARS)
-    if max_results is not None:
-        items = F.slice(items, 1, max_results)
-    return _explode(df, F.transform(items, article), body, None)
+    return _explode(df, F.transform(_accepted(items, fields, max_results), article), body, None)
 
 
 def short_outlet(url: Column) -> Column:
     """Short outlet name for a link's host: first known fragment, else the host, else the text."""
-    name = urls.site(url)
-    known = reduce(lambda acc, kv: acc.when(F.contains(name, F.lit(kv[0])), kv[1]), v.HOST_SHORT_NAMES, F)
-    return F.when(name == "", url).otherwise(known.otherwise(name))
+
+    def named(name: Column) -> Column:
+        known = reduce(lambda acc, kv: acc.when(F.contains(name, F.lit(kv[0])), kv[1]), v.HOST_SHORT_NAMES, F)
+        return F.when(name == "", url).otherwise(known.otherwise(name))
+
+    return t.bind(urls.site(url), named)
 
 
 _NEWS_H3 = r'<h3[^>]*class="[^"]*news-title[^"]*"[^>]*>'
@@ -68,36 +83,34 @@ _NEWS_H3 = r'<h3[^>]*class="[^"]*news-title[^"]*"[^>]*>'
 def parse_news_html(df: DataFrame, as_of, body: str = "body", max_results: int | None = None) -> DataFrame:
     """Result list HTML: one window of fixed length per headline, windows may overlap."""
 
-    def window_title(w: Column) -> Column:
-        raw = F.regexp_extract(w, rf'(?is){_NEWS_H3}{t.WS}*<a[^>]*href="([^"]*)"[^>]*>(.*?)</a>', 2)
-        return t.trim_ws(t.strip_tags(raw))
+    ws = t.WS
+    anchor = rf'(?is){_NEWS_H3}{ws}*<a[^>]*href="([^"]*)"[^>]*>'
+    marks = [rf"[0-9]+{ws}*天前", rf"[0-9]+{ws}*小时前", rf"[0-9]+{ws}*分钟前", "[0-9]{1,2}月[0-9]{1,2}日"]
 
-    def article(w: Column) -> Column:
-        title = window_title(w)
-        link = F.regexp_extract(w, rf'(?is){_NEWS_H3}{t.WS}*<a[^>]*href="([^"]*)"[^>]*>', 1)
-        source_link = t.blank_to_null(
-            F.regexp_extract(w, '<a[^>]*class="[^"]*source-link[^"]*"[^>]*href="([^"]*)"', 1)
-        )
-        media = F.coalesce(
-            t.blank_to_null(F.regexp_extract(w, 'aria-label="新闻来源：([^"]*)"', 1)),
-            t.blank_to_null(short_outlet(source_link)),
-            F.lit(v.UNKNOWN_OUTLET),
+    def fields(w: Column) -> Column:
+        return F.struct(
+            w.alias("window"),
+            t.trim_ws(t.strip_tags(F.regexp_extract(w, rf"{anchor}(.*?)</a>", 2))).alias("title"),
+            F.regexp_extract(w, 'aria-label="新闻来源：([^"]*)"', 1).alias("media"),
+            F.regexp_extract(w, '<a[^>]*class="[^"]*source-link[^"]*"[^>]*href="([^"]*)"', 1).alias("source_link"),
+            F.regexp_extract(w, 'aria-label="发布于：([^"]*)"', 1).alias("date"),
+            # without a label the date is looked for only on the source line, never in the summary
+            F.regexp_extract(w, rf"(?s)(news-source.{{0,{v.SOURCE_LINE_CHARS - len('news-source')}}})", 1).alias("line"),
         )
-        # without a label the date is looked for only on the source line, never in the summary
-        line = F.regexp_extract(w, rf"(?s)(news-source.{{0,{v.SOURCE_LINE_CHARS - len('news-source')}}})", 1)
-        ws = t.WS
-        marks = [rf"[0-9]+{ws}*天前", rf"[0-9]+{ws}*小时前", rf"[0-9]+{ws}*分钟前", "[0-9]{1,2}月[0-9]{1,2}日"]
-        date = F.coalesce(
-            t.blank_to_null(F.regexp_extract(w, 'aria-label="发布于：([^"]*)"', 1)),
-            *[t.blank_to_null(F.regexp_extract(line, f"({m})", 1)) for m in marks],
+
+    def article(r: Column) -> Column:
+        said = F.coalesce(
+            t.blank_to_null(r["date"]),
+            *[t.blank_to_null(F.regexp_extract(r["line"], f"({m})", 1)) for m in marks],
             F.lit(""),
         )
-        summary = F.replace(t.squeeze_ws(t.strip_tags(w, " ")), title, F.lit(""))
+        media = F.when(r["media"] != "", r["media"]).when(r["source_link"] != "", short_outlet(r["source_link"]))
+        summary = F.replace(t.squeeze_ws(t.strip_tags(r["window"], " ")), r["title"], F.lit(""))
         return F.struct(
-            title.alias("title"),
-            link.alias("url"),
-            dates.normalise_date(date, as_of).alias("date"),
-            media.alias("media"),
+            r["title"].alias("title"),
+            F.regexp_extract(r["window"], anchor, 1).alias("url"),
+            t.bind(said, lambda x: dates.normalise_date(x, as_of)).alias("date"),
+            F.coalesce(media, F.lit(v.UNKNOWN_OUTLET)).alias("media"),
             t.truncate(t.trim_ws(summary), v.SNIPPET_CHARS).alias("snippet"),
         )
 
@@ -106,50 +119,53 @@ def parse_news_html(df: DataFrame, as_of, body: str = "body", max_results: int |
         F.lit(rf"(?i)(?={_NEWS_H3})(?=((?s:.{{1,{v.RESULT_WINDOW_CHARS}}})))"),
         F.lit(1),
     )
-    windows = F.filter(windows, lambda w: F.length(window_title(w)) >= v.MIN_TITLE_CHARS)
-    return _explode(df, F.transform(windows, article), body, max_results)
+    return _explode(df, F.transform(_accepted(windows, fields, max_results), article), body, None)
 
 
 def parse_wechat_html(df: DataFrame, body: str = "body", max_results: int | None = None) -> DataFrame:
     """Account-article result page. A block's own time mark dates it; a block without one takes the
     mark at its position among the accepted blocks."""
-    mark = F.lit(r"timeConvert\('([0-9]+)'\)")
     link = r'(?is)<a[^>]*href="(/link\?url=[^"]*)"[^>]*>(.*?)</a>'
 
     def clean(c: Column) -> Column:
         return t.decode_entities(t.trim_ws(t.strip_tags(c)), v.WECHAT_ENTITIES)
 
-    def block_title(b: Column) -> Column:
-        return clean(F.regexp_extract(b, link, 2))
+    def fields(b: Column) -> Column:
+        return F.struct(
+            b.alias("block"),
+            clean(F.regexp_extract(b, link, 2)).alias("title"),
+            F.regexp_extract(b, r"timeConvert\('([0-9]+)'\)", 1).alias("mark"),
+        )
 
     def account(b: Column) -> Column:
         spans = F.transform(
             F.regexp_extract_all(b, F.lit("(?i)<span[^>]*>([^<]{2,})</span>"), F.lit(1)), t.trim_ws
         )
         named = F.filter(
-            spans, lambda s: ~s.rlike("document\\.write|timeConvert") & F.length(s).between(2, 49)
+            spans, lambda s: ~t.contains_any(s, ["document.write", "timeConvert"]) & F.length(s).between(2, 49)
         )
         return F.coalesce(F.try_element_at(named, F.lit(1)), F.lit(v.WECHAT_OUTLET))
 
-    marks = F.regexp_extract_all(F.col(body), mark, F.lit(1))
+    def articles(page: Column) -> Column:
+        def article(r: Column, i: Column) -> Column:
+            seconds = F.coalesce(t.blank_to_null(r["mark"]), F.try_element_at(page["marks"], i + 1)).try_cast("bigint")
+            summary = clean(F.regexp_extract(r["block"], r'(?is)<p[^>]*class="[^"]*s-p[^"]*"[^>]*>(.*?)</p>', 1))
+            return F.struct(
+                r["title"].alias("title"),
+                F.concat(F.lit(v.WECHAT_LINK_ROOT), F.regexp_extract(r["block"], link, 1)).alias("url"),
+                t.bind(seconds, lambda x: dates.epoch_day(x, 2_000_000_000)).alias("date"),
+                account(r["block"]).alias("media"),
+                t.truncate(summary, v.SNIPPET_CHARS).alias("snippet"),
+            )
 
-    def article(b: Column, i: Column) -> Column:
-        seconds = F.coalesce(
-            t.blank_to_null(F.regexp_extract(b, r"timeConvert\('([0-9]+)'\)", 1)),
-            F.try_element_at(marks, i + 1),
-        ).try_cast("bigint")
-        summary = clean(F.regexp_extract(b, r'(?is)<p[^>]*class="[^"]*s-p[^"]*"[^>]*>(.*?)</p>', 1))
-        return F.struct(
-            block_title(b).alias("title"),
-            F.concat(F.lit(v.WECHAT_LINK_ROOT), F.regexp_extract(b, link, 1)).alias("url"),
-            dates.epoch_day(seconds, 2_000_000_000).alias("date"),
-            account(b).alias("media"),
-            t.truncate(summary, v.SNIPPET_CHARS).alias("snippet"),
-        )
+        return F.transform(page["blocks"], article)
 
     parts = F.split(F.col(body), 'class="txt-box"')
-    blocks = F.filter(F.slice(parts, F.lit(2), F.size(parts)), lambda b: F.length(block_title(b)) >= v.MIN_TITLE_CHARS)
-    return _explode(df, F.transform(blocks, article), body, max_results)
+    page = F.struct(
+        F.regexp_extract_all(F.col(body), F.lit(r"timeConvert\('([0-9]+)'\)"), F.lit(1)).alias("marks"),
+        _accepted(F.slice(parts, F.lit(2), F.size(parts)), fields, max_results).alias("blocks"),
+    )
+    return _explode(df, t.bind(page, articles), body, None)
 
 
 _WECHAT_API = (
@@ -169,7 +185,7 @@ def parse_wechat_api(df: DataFrame, body: str = "body", max_results: int | None
         return F.struct(
             t.clean_api_text(i["title"]).alias("title"),
             i["doc_url"].alias("url"),
-            F.coalesce(dates.epoch_day(i["timestamp"].try_cast("bigint")), F.lit("")).alias("date"),
+            F.coalesce(t.bind(i["timestamp"].try_cast("bigint"), lambda x: dates.epoch_day(x)), F.lit("")).alias("date"),
             F.coalesce(t.blank_to_null(i["source"]["title"]), F.lit(v.WECHAT_OUTLET)).alias("media"),
             t.truncate(t.clean_api_text(F.coalesce(i["desc"], F.lit(""))), v.SNIPPET_CHARS).alias("snippet"),
         )
