@@ -107,12 +107,8 @@ def keyword_hygiene(spark, sf):
 # --- the whole job ------------------------------------------------------------------------------------
 
 def request_keywords(rows):
-    """Every keyword of the article view, ranked by name, as a request would list them."""
-    from pyspark.sql import Window
-
-    names = rows.select("keyword").distinct()
-    # a handful of names, one per requested subject
-    return names.withColumn("keyword_rank", F.row_number().over(Window.orderBy("keyword")))
+    """Every keyword of the article view, in the order of their first articles."""
+    return rows.groupBy("keyword").agg(F.min("ord").alias("keyword_rank"))
 
 
 def landed_pages(rows):
@@ -163,7 +159,7 @@ _KEPT_URL = k.decode("url", v.URL_ENTITIES)
 _DOMAIN_NAME = f"COALESCE({k.first_pair('lower(media)', v.DOMAIN_OUTLETS)}, {k.first_pair('lower(url)', v.DOMAIN_OUTLETS)})"
 _COVERAGE_SQL = f"""
 WITH terms AS ({_TERMS_SQL}),
-ranks AS (SELECT keyword, row_number() OVER (ORDER BY keyword) AS keyword_rank FROM {_KEYWORDS_SQL}),
+ranks AS (SELECT lang AS keyword, min(doc_id) AS keyword_rank FROM documents GROUP BY lang),
 raw AS (SELECT a.*, t.project, t.terms, r.keyword_rank FROM {ARTICLES_SQL} a JOIN terms t USING (keyword) JOIN ranks r USING (keyword)
   WHERE NOT regexp_matches(date, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}\\z') OR date BETWEEN '{DATE_FROM}' AND '{DATE_TO}'),
 f1 AS (SELECT *, CASE WHEN regexp_matches(media, '八局|中建|中国建筑') THEN '自身发布内容' ELSE COALESCE({k.noise('title', 'snippet')},
@@ -172,7 +168,7 @@ f2 AS (SELECT *, CASE WHEN r1 IS NULL AND row_number() OVER (PARTITION BY keywor
   THEN '重复内容' ELSE r1 END AS r2 FROM f1),
 f3 AS (SELECT *, CASE WHEN r2 IS NULL AND score < 0 THEN '报道评分不足' ELSE r2 END AS r3 FROM {k.score('f2')}),
 f4 AS (SELECT *, CASE WHEN r3 IS NULL THEN {_tier('media')} END AS cat1 FROM f3),
-f5 AS (SELECT * REPLACE (CASE WHEN r3 IS NULL AND contains(url, 'news.google.com') AND md5(url)[1] < '8'
+f5 AS (SELECT * REPLACE (CASE WHEN contains(url, 'news.google.com') AND md5(url)[1] < '8'
     THEN 'https://www.thepaper.cn/' || md5(url) ELSE url END AS url), CASE WHEN r3 IS NULL AND cat1 = '个人账号' THEN '个人账号' ELSE r3 END AS r5 FROM f4),
 f6 AS (SELECT *, row_number() OVER (PARTITION BY r5 IS NULL, substr(url, 1, 120)
     ORDER BY keyword_rank, {k.tier_rank('cat1')}, score DESC, date DESC, ord) AS owner FROM f5),

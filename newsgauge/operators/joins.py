@@ -25,13 +25,11 @@ def attach(left: DataFrame, right: DataFrame, on: str | list[str], spread_by: st
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
-def attach_where(left: DataFrame, right: DataFrame, left_key: Column, right_key: str, row_id: str) -> DataFrame:
-    """Left join on a key that is NULL for most rows; ``right`` has unique keys.
+def broadcast_if_small(df: DataFrame, text: str, max_rows: int = 200_000, max_chars: int = 64_000_000) -> DataFrame:
+    """Mark a table for broadcast if its counted rows and the length of its text column are bounded.
 
-    NULL keys would all hash to one task, so they are replaced by a per-row key that matches nothing.
-    Non-NULL keys must be unique on the left.
+    For tables that Spark cannot estimate, joined to one too large to shuffle for their sake. Beyond
+    the bounds the join is left to shuffle.
     """
-    filler = F.concat(F.lit("\x00"), F.col(row_id).cast("string"))
-    left = left.withColumn("_key", F.coalesce(left_key, filler))
-    right = right.withColumnRenamed(right_key, "_key")
-    return left.join(right, "_key", "left").drop("_key")
+    rows, chars = df.agg(F.count("*"), F.coalesce(F.sum(F.length(text)), F.lit(0))).first()
+    return F.broadcast(df) if rows <= max_rows and chars <= max_chars else df

@@ -40,6 +40,9 @@ def with_position(df: DataFrame, order: list[Column], group: list[str] | None =
     same = F.col("_part") == F.col("_p")
     for i, g in enumerate(group):
         same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    if not group:
+        # one row per partition of the sorted table: bounded by the partition count, not by the data
+        starts = F.broadcast(starts)
     return placed.join(starts, same).select(
         *df.columns, (F.col("_local") + F.col("_shift") + 1).alias(name)
     )

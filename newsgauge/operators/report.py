@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from newsgauge import values as v
 from newsgauge.functions.text import display_label
 from newsgauge.operators.classify import tier_rank
+from newsgauge.operators.joins import attach
 from newsgauge.operators.position import with_position
 
 
@@ -36,8 +37,12 @@ def with_rank(df: DataFrame, group: list[str] | None = None, row_id: str = "ord"
 def by_project(df: DataFrame, keywords: DataFrame, row_id: str = "ord") -> DataFrame:
     """Every requested keyword with its articles in report order; keywords without articles keep one
     row with NULLs."""
-    placed = with_rank(df, ["project"], row_id)
-    return keywords.select("keyword", "keyword_rank", "project").join(placed.drop("keyword", "keyword_rank"), "project", "left")
+    placed = with_rank(df, ["project"], row_id).drop("keyword", "keyword_rank")
+    asked = keywords.select("keyword", "keyword_rank", "project")
+    # an outer join could not split a hot project, so the two cases are joined apart
+    listed = attach(placed, asked, "project", row_id, how="inner")
+    empty = asked.join(df.select("project").distinct(), "project", "left_anti")
+    return listed.unionByName(empty, allowMissingColumns=True)
 
 
 def sort_rejected(df: DataFrame, reason: str = "filter_reason") -> DataFrame:

@@ -8,7 +8,7 @@ from newsgauge import values as v
 from newsgauge.functions.text import decode_entities, is_title_artifact, is_unreliable_outlet, outlet_from_page
 from newsgauge.functions.urls import is_http, is_redirect
 from newsgauge.operators.dedup import flag_first
-from newsgauge.operators.joins import attach
+from newsgauge.operators.joins import attach, broadcast_if_small
 from newsgauge.operators.lookup import first_containing, pairs_array
 from newsgauge.sources.payloads import page_block_reason
 
@@ -63,7 +63,7 @@ def correct_by_page(df: DataFrame, pages: DataFrame, row_id: str = "ord") -> Dat
     found = (
         pages.select("url", "final_url", "html")
         .where(page_block_reason(F.col("html")).isNull())
-        .join(checks, "url")
+        .join(broadcast_if_small(checks, "url"), "url")
         .select(
             row_id,
             outlet_from_page(F.col("html"), F.col("_artifact")).alias("_name"),

@@ -80,6 +80,10 @@ class Report:
     def funnel(self) -> DataFrame:
         return report.funnel_counts(self.rows)
 
+    def unlabelled(self) -> DataFrame:
+        """Outlets of kept articles that no rule and no label has placed."""
+        return self.kept.where(F.col("category") == v.UNCLASSIFIED).select("media").distinct()
+
     def ranked(self) -> DataFrame:
         return report.with_rank(self.kept)
 
@@ -104,7 +108,6 @@ def coverage_report(articles: DataFrame, keywords: DataFrame, dims: Dimensions,
     after each stage that later stages read more than once; it shrinks from stage to stage.
     """
     planned = kw.plan_searches(kw.resolve_keywords(kw.clean_keywords(keywords), dims.subjects))
-    planned = cut(planned)
     terms = planned.select("keyword", "keyword_rank", "project", "match_terms", "co_occur")
 
     # funnel: one narrow stage after the keyword lookup; out-of-range rows leave without a reason
@@ -122,14 +125,16 @@ def coverage_report(articles: DataFrame, keywords: DataFrame, dims: Dimensions,
     rows = dedup.flag_first(rows, [F.col("keyword"), key], [F.col("ord")], "ord")
     rows = _reject(rows, ~F.col("is_first"), v.REASON_DUPLICATE).drop("is_first")
     rows = score.with_score(rows)
-    rows = cut(_reject(rows, F.col("score") < settings.min_score, v.REASON_SCORE))
+    rows = _reject(rows, F.col("score") < settings.min_score, v.REASON_SCORE)
+    # the score has seen the links as found; from here on they are resolved, on rejected rows too
+    if dims.resolved is not None:
+        rows = verify.resolve_links(rows, dims.resolved)
+    rows = cut(rows)
 
     dropped = rows.where(F.col("filter_reason").isNotNull())
     live = _finalise(rows.where(F.col("filter_reason").isNull()), dims, settings)
-    if dims.resolved is not None:
-        live = verify.resolve_links(live, dims.resolved)
 
-    # rows rejected here keep the links they had; the others compete across subjects
+    # rows rejected by now are out; the others compete for a link across subjects
     rejected = F.col("filter_reason").isNotNull()
     key = F.when(rejected, F.concat(F.lit("r"), F.col("ord").cast("string"))).otherwise(
         F.concat(F.lit("u"), dedup.url_prefix(F.col("url")))

@@ -60,3 +60,18 @@ def test_streamed_counts_equal_the_batch(spark, tmp_path):
 def test_partials_add_up(spark):
     parts = spark.createDataFrame([("a", "x", 1), ("a", "x", 2), ("b", "x", 3)], "dimension string, key string, n long")
     assert sorted(tuple(r) for r in report.merge_partials(parts).collect()) == [("a", "x", 3), ("b", "x", 3)]
+
+
+def test_landed_articles_prune_folders(spark, tmp_path):
+    from newsgauge.sources.landed import read_articles, write_articles
+
+    rows = [(0, "2024-01-01", "news"), (1, "2024-02-01", "news"), (2, "", "news"), (3, "5天前", "wechat"), (4, "2024-02-30", "news"), (5, "2024-01-15", "wechat")]
+    df = spark.createDataFrame(rows, "ord long, date string, source string")
+    write_articles(df, str(tmp_path / "a"))
+    got = read_articles(spark, str(tmp_path / "a"), "2024-01-01", "2024-01-31")
+    assert sorted(r["ord"] for r in got.collect()) == [0, 2, 3, 4, 5]
+    news = read_articles(spark, str(tmp_path / "a"), "2024-01-01", "2024-01-31", "news")
+    assert sorted(r["ord"] for r in news.collect()) == [0, 2, 4]
+    plan = news._jdf.queryExecution().executedPlan().toString()
+    filters = plan[plan.index("PartitionFilters"):].split("]")[0]
+    assert "source" in filters and "day" in filters
