@@ -141,34 +141,34 @@ def article_sheet(df: DataFrame, row_id: str = "ord") -> DataFrame:
 
 def summary_sheet(df: DataFrame, keyword: str, date_from: str, date_to: str) -> DataFrame:
     """Key/value summary: request, total, tiers in fixed order without empty ones, then sources."""
-    spark = df.sparkSession
-    counts = df.groupBy("category", "source").agg(F.count("*").alias("n"))
-    text = "seq int, item string, content string"
-    head = spark.createDataFrame(
-        [(1, "搜索关键词", keyword), (2, "日期范围", f"{date_from} 至 {date_to}"), (4, "", ""),
-         (5, "===== 按媒体类别统计 =====", ""), (90, "", ""), (91, "===== 按数据来源统计 =====", "")], text,
+    news, accounts = v.SOURCE_LABELS["news"], v.SOURCE_LABELS["wechat"]
+    lines = [
+        (1, "搜索关键词", keyword, None), (2, "日期范围", f"{date_from} 至 {date_to}", None), (3, "发稿总数", None, 0),
+        (4, "", "", None), (5, "===== 按媒体类别统计 =====", "", None),
+        (90, "", "", None), (91, "===== 按数据来源统计 =====", "", None), (92, news, None, 0), (93, accounts, None, 0),
+    ]
+    fixed = df.sparkSession.createDataFrame(lines, "seq int, item string, content string, n long")
+    # one pass for the total, the tiers and the sources; the fixed lines supply the zeros
+    counted = report_stats(df.select("category", source_label(F.col("source")).alias("source")), ("category", "source"))
+    tier = reduce(lambda acc, it: acc.when(F.col("key") == it[1], 10 + it[0]), enumerate(v.SUMMARY_TIERS), F)
+    seq = (
+        F.when(F.col("dimension") == "total", 3)
+        .when(F.col("dimension") == "category", tier)
+        .when(F.col("key") == news, 92)
+        .otherwise(93)
     )
-
-    def count_row(seq: int, item: str, which: Column) -> DataFrame:
-        n = F.coalesce(F.sum(F.when(which, F.col("n"))), F.lit(0))
-        return counts.agg(n.cast("string").alias("content")).select(
-            F.lit(seq).alias("seq"), F.lit(item).alias("item"), "content"
-        )
-
-    rank = reduce(lambda acc, it: acc.when(F.col("category") == it[1], 10 + it[0]), enumerate(v.SUMMARY_TIERS), F)
-    tiers = (
-        counts.where(F.col("category").isin(*v.SUMMARY_TIERS))
-        .groupBy("category")
-        .agg(F.sum("n").alias("n"))
-        .select(rank.alias("seq"), F.col("category").alias("item"), F.col("n").cast("string").alias("content"))
+    counted = counted.select(
+        seq.alias("seq"),
+        F.when(F.col("dimension") == "total", "发稿总数").otherwise(F.col("key")).alias("item"),
+        F.lit(None).cast("string").alias("content"),
+        "n",
+    )
+    return (
+        fixed.unionByName(counted.where("seq IS NOT NULL"))
+        .groupBy("seq", "item")
+        .agg(F.coalesce(F.max("content"), F.sum("n").cast("string")).alias("content"))
+        .orderBy("seq")
     )
-    parts = [
-        head, tiers,
-        count_row(3, "发稿总数", F.lit(True)),
-        count_row(92, v.SOURCE_LABELS["news"], F.col("source") == "news"),
-        count_row(93, v.SOURCE_LABELS["wechat"], F.col("source") == "wechat"),
-    ]
-    return reduce(DataFrame.unionByName, parts).orderBy("seq")
 
 
 def tier_cards(df: DataFrame) -> DataFrame:

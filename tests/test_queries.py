@@ -27,7 +27,10 @@ def plain(frame):
 
 @pytest.mark.parametrize("name", sorted(driver.queries()))
 def test_query(spark, check, name):
-    got = driver.queries()[name](spark, SF).toPandas()
+    df = driver.queries()[name](spark, SF)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not [p for p in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython") if p in plan]
+    got = df.toPandas()
     sql = driver.oracle_sql().get(name)
     if sql is None:
         assert len(got) > 0
