@@ -198,11 +198,13 @@ def coverage_rows(spark, sf):
 
 
 @query("coverage_report", _COVERAGE_SQL + """, shown AS (SELECT CASE WHEN filter_reason IS NULL THEN category END AS category,
-  CASE WHEN filter_reason IS NULL THEN source END AS source, CASE WHEN filter_reason IS NULL THEN project END AS project, filter_reason FROM done WHERE NOT elsewhere)
+  CASE WHEN filter_reason IS NULL THEN source END AS source, CASE WHEN filter_reason IS NULL THEN project END AS project, filter_reason,
+  CASE WHEN filter_reason IS NULL THEN 'kept' ELSE 'filtered' END AS status FROM done WHERE NOT elsewhere)
 SELECT 'category' AS dimension, category AS key, count(*) AS n FROM shown WHERE category IS NOT NULL GROUP BY category
 UNION ALL SELECT 'source', source, count(*) FROM shown WHERE source IS NOT NULL GROUP BY source
 UNION ALL SELECT 'project', project, count(*) FROM shown WHERE project IS NOT NULL GROUP BY project
 UNION ALL SELECT 'filter_reason', filter_reason, count(*) FROM shown WHERE filter_reason IS NOT NULL GROUP BY filter_reason
+UNION ALL SELECT 'status', status, count(*) FROM shown GROUP BY status
 UNION ALL SELECT 'total', '', count(*) FROM shown""")
 def coverage_stats(spark, sf):
     return run_coverage(spark, sf).stats()

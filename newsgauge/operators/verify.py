@@ -10,6 +10,7 @@ from newsgauge.functions.urls import is_http, is_redirect
 from newsgauge.operators.dedup import flag_first
 from newsgauge.operators.joins import attach, broadcast_if_small
 from newsgauge.operators.lookup import first_containing, pairs_array
+from newsgauge.session import cut
 from newsgauge.sources.payloads import page_block_reason
 
 
@@ -57,6 +58,7 @@ def correct_by_page(df: DataFrame, pages: DataFrame, row_id: str = "ord") -> Dat
     Only the pages of flagged rows are read for names, and only the short name travels back. Adds
     ``page_result``: ``corrected``, ``skipped`` (no usable page or name) or NULL where not checked.
     """
+    df = cut(df)  # read three times below: to count the checks, to join them, and for the result
     checks = df.where("page_check").select(
         row_id, "url", is_title_artifact(F.col("media")).alias("_artifact")
     )

@@ -68,8 +68,13 @@ class Report:
             F.when(kept, F.col("source")).alias("source"),
             F.when(kept, F.col("project")).alias("project"),
             F.col("filter_reason"),
+            F.col("status"),
         )
-        return report.report_stats(shown)
+        return report.report_stats(shown, ("category", "source", "project", "filter_reason", "status"))
+
+    def rejected_sample(self, n: int = v.FILTERED_SAMPLE) -> DataFrame:
+        """The first rejected rows; :meth:`stats` has the exact totals."""
+        return report.rejected_sample(self.filtered, [F.col("ord")], n)
 
     def by_project(self) -> DataFrame:
         return report.count_by_project(self.keywords, self.kept, self.rows)
@@ -153,7 +158,7 @@ def coverage_report(articles: DataFrame, keywords: DataFrame, dims: Dimensions,
             "page_result", F.when(F.col("page_check"), F.lit("skipped"))
         )
     else:
-        merged = verify.correct_by_page(cut(merged), dims.pages)
+        merged = verify.correct_by_page(merged, dims.pages)
     merged = _finalise(cut(merged), dims, settings)
 
     def status(df: DataFrame, value: str | Column) -> DataFrame:

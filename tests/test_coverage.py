@@ -63,6 +63,8 @@ def test_names_and_links_are_corrected(report):
 def test_counts(report):
     stats = {(r["dimension"], r["key"]): r["n"] for r in report.stats().collect()}
     assert stats[("total", "")] == 10
+    assert (stats[("status", "kept")], stats[("status", "filtered")]) == (3, 7)
+    assert [r["ord"] for r in report.rejected_sample(2).collect()] == [1, 3]
     assert {k[1]: n for k, n in stats.items() if k[0] == "category"} == {"中央级": 2, "央广": 1}
     assert {k[1]: n for k, n in stats.items() if k[0] == "project"} == {"甲中心": 2, "乙": 1}
     assert sum(n for k, n in stats.items() if k[0] == "filter_reason") == 7
