@@ -9,7 +9,7 @@ from newsgauge.catalogue import checks as k
 from newsgauge.catalogue.registry import query, table
 from newsgauge.catalogue.views import ARTICLES_SQL, SUBJECT_ROWS, articles, sql_rows, subjects
 from newsgauge.operators import keywords as kw
-from newsgauge.operators.lookup import INLINE_ENTRIES, match_terms
+from newsgauge.operators.lookup import INLINE_TERMS, match_terms
 from newsgauge.plans.search import search_articles
 
 
@@ -146,7 +146,7 @@ def _matches(spark, sf, inline):
 
 @query("term_matches", _MATCHES_SQL)
 def term_matches(spark, sf):
-    return _matches(spark, sf, INLINE_ENTRIES)
+    return _matches(spark, sf, INLINE_TERMS)
 
 
 @query("term_matches_large", _MATCHES_SQL)

@@ -51,7 +51,7 @@ def classify_outlets(names: DataFrame, dictionary: DataFrame | None = None, citi
     outlets = outlets.select("media", F.when(name == "", v.UNCLASSIFIED).otherwise(rules).alias("_rule"))
     if labels is None:
         return outlets.select("media", F.col("_rule").alias("category"), F.lit(False).alias("labelled"))
-    given = labels.select("media", F.col("category").alias("_label")).dropDuplicates(["media"])
+    given = labels.groupBy("media").agg(F.min("category").alias("_label"))
     unknown = F.col("_rule") == v.UNCLASSIFIED
     return outlets.join(given, "media", "left").select(
         "media",

@@ -3,7 +3,7 @@
 A containment test is no equi-join key, and a nested-loop join would pair every row with every entry.
 Two plans avoid that, chosen by the counted size of the dictionary:
 
-* up to ``INLINE_ENTRIES`` entries: the dictionary becomes one constant array inside the expression,
+* up to ``INLINE_ENTRIES`` names or ``INLINE_TERMS`` terms: the dictionary becomes one constant array inside the expression,
   tested row by row in a narrow stage;
 * above: both sides are turned into substrings of the lengths that occur and joined on equality.
 """
@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from newsgauge.functions.text import bind
 from newsgauge.operators.joins import SALTS, salt_of
 
-INLINE_ENTRIES = 2000
+INLINE_ENTRIES = 2000  # names are short and distinct
+INLINE_TERMS = 1000  # texts are long: about here the substring plan becomes the faster one
 
 
 def constant_array(rows: list[dict], schema: str) -> Column:
@@ -89,7 +90,7 @@ def first_match(names: DataFrame, name: str, dictionary: DataFrame, both_ways: b
 
 
 def match_terms(articles: DataFrame, text: Column, row_id: str, terms: DataFrame,
-                inline: int = INLINE_ENTRIES) -> DataFrame:
+                inline: int = INLINE_TERMS) -> DataFrame:
     """One row per article and contained term: the article's columns plus those of ``terms``.
 
     ``terms`` needs a text column ``term``; its other columns come along. Texts are searched whole.

@@ -21,7 +21,8 @@ def outlet_from_domain(text: Column, pairs=v.DOMAIN_OUTLETS) -> Column:
 
 def resolve_links(df: DataFrame, resolved: DataFrame, row_id: str = "ord") -> DataFrame:
     """Replace redirect links by their targets from ``resolved(url, final_url)``."""
-    found = resolved.where(is_redirect(F.col("url")) & ~is_redirect(F.col("final_url"))).select("url", "final_url")
+    found = resolved.where(is_redirect(F.col("url")) & ~is_redirect(F.col("final_url")))
+    found = found.groupBy("url").agg(F.min("final_url").alias("final_url"))
     joined = attach(df, found, "url", row_id)
     return joined.withColumn("url", F.coalesce("final_url", "url")).drop("final_url").select(*df.columns)
 
@@ -73,6 +74,10 @@ def correct_by_page(df: DataFrame, pages: DataFrame, row_id: str = "ord") -> Dat
                 (F.col("final_url") != "") & ~is_redirect(F.col("final_url")), F.col("final_url")
             ).alias("_final"),
         )
+        # a page landed twice must not double its article
+        .groupBy(row_id)
+        .agg(F.max(F.struct("_name", "_final")).alias("_found"))
+        .select(row_id, "_found.*")
     )
     changed = {"media": F.coalesce("_name", "media"), "url": F.coalesce("_final", "url")}
     return df.join(found, row_id, "left").select(

@@ -49,7 +49,7 @@ class Settings:
 @dataclass
 class Report:
     """``rows`` has every in-range article once, with ``status`` and ``filter_reason``; the other
-    tables are views of it, so nothing is computed twice."""
+    tables are views of it. Articles that left before the score have none."""
 
     rows: DataFrame
     keywords: DataFrame
@@ -98,6 +98,10 @@ def _reject(df: DataFrame, when: Column, reason: str) -> DataFrame:
     return df.withColumn("filter_reason", F.coalesce("filter_reason", F.when(when, reason)))
 
 
+def _resolved(df: DataFrame, dims: Dimensions) -> DataFrame:
+    return df if dims.resolved is None else verify.resolve_links(df, dims.resolved)
+
+
 def _finalise(df: DataFrame, dims: Dimensions, settings: Settings) -> DataFrame:
     """Own-account rule, tier, personal-account rule."""
     df = classify.with_category(df, "ord", dims.outlets, dims.cities, dims.labels)
@@ -122,19 +126,20 @@ def coverage_report(articles: DataFrame, keywords: DataFrame, dims: Dimensions,
     rows = rows.withColumn("filter_reason", funnel.funnel_reason(settings.own_accounts, settings.noise_rules))
     rows = rows.drop("match_terms", "co_occur")
 
-    # duplicates: only rows still in the funnel compete for a link
-    alive = F.col("filter_reason").isNull()
-    key = F.when(alive, F.concat(F.lit("u"), canonical_url(F.col("url")))).otherwise(
-        F.concat(F.lit("r"), F.col("ord").cast("string"))
-    )
-    rows = dedup.flag_first(rows, [F.col("keyword"), key], [F.col("ord")], "ord")
+    # Most rows leave here. They take no part in the shuffles below and are read again for the final
+    # table, which costs one more scan instead of two more shuffles of the bulk.
+    off_topic = _resolved(rows.where(F.col("filter_reason").isNotNull()), dims)
+
+    # rows still in the funnel compete for a link, and the first of each link is scored
+    rows = rows.where(F.col("filter_reason").isNull()).withColumn("filter_reason", F.lit(None).cast("string"))
+    rows = dedup.flag_first(rows, [F.col("keyword"), canonical_url(F.col("url"))], [F.col("ord")], "ord")
     rows = _reject(rows, ~F.col("is_first"), v.REASON_DUPLICATE).drop("is_first")
-    rows = score.with_score(rows)
-    rows = _reject(rows, F.col("score") < settings.min_score, v.REASON_SCORE)
+    scored = score.with_score(rows)
+    single = F.col("filter_reason").isNull()
+    scored = scored.withColumns({c: F.when(single, F.col(c)) for c in ("score", "score_detail")})
+    scored = _reject(scored, F.col("score") < settings.min_score, v.REASON_SCORE)
     # the score has seen the links as found; from here on they are resolved, on rejected rows too
-    if dims.resolved is not None:
-        rows = verify.resolve_links(rows, dims.resolved)
-    rows = cut(rows)
+    rows = cut(_resolved(scored, dims))
 
     dropped = rows.where(F.col("filter_reason").isNotNull())
     live = _finalise(rows.where(F.col("filter_reason").isNull()), dims, settings)
@@ -165,8 +170,8 @@ def coverage_report(articles: DataFrame, keywords: DataFrame, dims: Dimensions,
         return df.withColumn("status", F.lit(value) if isinstance(value, str) else value)
 
     final = F.when(rejected, "filtered").otherwise("kept")
-    parts = [status(merged, final), status(verify.clean_links(dropped), "filtered"), status(early, "filtered"),
-             status(elsewhere, DUPLICATE_ELSEWHERE)]
+    parts = [status(merged, final), status(verify.clean_links(off_topic), "filtered"),
+             status(verify.clean_links(dropped), "filtered"), status(early, "filtered"), status(elsewhere, DUPLICATE_ELSEWHERE)]
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p, allowMissingColumns=True)
