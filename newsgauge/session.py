@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "newsgauge", master: str | None = None, **conf) -> SparkSession:
-    """A session with the settings the jobs expect; the cluster's own settings win where given."""
+    """A session with the settings the jobs expect; ``conf`` adds to them or overrides them."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)

@@ -51,8 +51,8 @@ def rejected_columns(df: DataFrame) -> DataFrame:
 
 def write_kept_csv(df: DataFrame, path: str, row_id: str = "ord") -> None:
     """Numbered article list in report order; the part files follow the numbering."""
-    numbered = with_rank(df, row_id=row_id)
-    kept_columns(numbered.repartitionByRange("rank").sortWithinPartitions("rank")).write.options(**_CSV).csv(path)
+    # the numbered table is sorted over its partitions already
+    kept_columns(with_rank(df, row_id=row_id)).write.options(**_CSV).csv(path)
 
 
 def write_scored_csv(df: DataFrame, path: str, row_id: str = "ord") -> None:

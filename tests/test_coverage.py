@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from newsgauge.plans.coverage import Dimensions, Settings, coverage_report
 from newsgauge.plans.search import request_articles

@@ -75,3 +75,15 @@ def test_landed_articles_prune_folders(spark, tmp_path):
     plan = news._jdf.queryExecution().executedPlan().toString()
     filters = plan[plan.index("PartitionFilters"):].split("]")[0]
     assert "source" in filters and "day" in filters
+
+
+def test_kept_csv_parts_follow_the_numbering(spark, tmp_path):
+    import csv
+
+    rows = [(i, f"2024-01-{i % 28 + 1:02d}", f"t{i}", "m", "行业", "u", "s", "p", i % 7, None) for i in range(500)]
+    files.write_kept_csv(spark.createDataFrame(rows, COLS).repartition(4), str(tmp_path / "kept"))
+    numbers = []
+    for part in sorted((tmp_path / "kept").glob("part-*")):
+        with part.open(encoding="utf-8") as f:
+            numbers += [int(r["序号"]) for r in csv.DictReader(f)]
+    assert numbers == list(range(1, 501))
