@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as driver
+from newsgauge.catalogue import QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -25,7 +26,7 @@ def plain(frame):
     return sorted(tuple(repr(round(x, 9)) if isinstance(x, float) else str(x) for x in row) for row in frame.itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, check, name):
     df = driver.queries()[name](spark, SF)
     plan = df._jdf.queryExecution().executedPlan().toString()
