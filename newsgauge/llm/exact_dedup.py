@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from newsgauge.llm.common import query, table, text_of
+from newsgauge.llm.common import query, staged, table, text_of
 
 SPACES = (" ", "\t", "\n", "\x0b", "\f", "\r")
 
@@ -26,11 +26,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     row with the most code points in the original text stays, then the smallest id (a null id is the
     largest). Returns one row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
-    The grouping key is a 128-bit hash of the text. Only hashes that more than one row carries have
-    their bytes compared: their smallest and largest text are equal unless the hash collides, and the
-    rows of a colliding hash are grouped by the text itself. Groups are aggregated before the shuffle,
-    so a text that a third of all rows carry sends one row per task; the rows of a hot text meet their
-    group in a join whose large partitions adaptive execution splits.
+    The grouping key is a 128-bit hash of the text. The bytes of a group are compared through its
+    smallest and largest text, which are equal unless the hash collides; the rows of a colliding hash
+    are grouped by the text itself. Groups are aggregated before the shuffle, so a text that a third of
+    all rows carry sends one row per task; the rows of a hot text meet their group in a join of narrow
+    rows, whose large partitions adaptive execution splits. The groups are written once, so that Spark
+    knows how few hashes collide before it plans the join of the texts with them.
 
     A null text counts as empty, and all empty texts are one group. Rows that repeat an id and a text
     are one document: if it stays, all its rows are marked. An empty table gives an empty result. Other
@@ -46,18 +47,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                           F.col("doc_id").alias("id")))
 
     def groups(df: DataFrame, *by: str) -> DataFrame:
-        out = df.groupBy(*by).agg(best.alias("_best"), F.count("*").alias("group_size"))
-        return out.select(*by, F.col("_best.id").alias("keep_id"), "group_size")
-
-    repeated = narrow.groupBy("_hash").agg(F.count("*").alias("_n")).where("_n > 1").select("_hash")
-    compared = (
-        full.select("_hash", "_norm").join(repeated, "_hash", "left_semi")
-        .groupBy("_hash").agg(F.min("_norm").alias("_low"), F.max("_norm").alias("_high"))
-    )
-    colliding = compared.where("_low != _high").select("_hash")
-
-    plain = narrow.join(colliding, "_hash", "left_anti")
-    plain = plain.join(groups(plain, "_hash", "text_sha256"), ["_hash", "text_sha256"])
+        out = df.groupBy(*by).agg(best.alias("_best"), F.count("*").alias("group_size"),
+                                  F.min("_norm").alias("_low"), F.max("_norm").alias("_high"))
+        return out.select(*by, F.col("_best.id").alias("keep_id"), "group_size", (F.col("_low") != F.col("_high")).alias("_collides"))
+
+    classes = staged(groups(full, "_hash"), "exact-classes")
+    colliding = classes.where("_collides").select("_hash")
+
+    plain = narrow.join(classes.where("not _collides"), "_hash")
     odd = full.join(colliding, "_hash", "left_semi").withColumn("text_sha256", F.sha2("_norm", 256))
     odd = odd.join(groups(odd, "_hash", "_norm"), ["_hash", "_norm"])
 
