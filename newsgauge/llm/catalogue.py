@@ -1,6 +1,6 @@
 """The named queries of this subpackage. Each module registers its own."""
 
 from newsgauge.llm.common import ORACLE, QUERIES
-from newsgauge.llm import exact_dedup, impact_search, packing, personal_data, piece_codec, secret_scan, token_files  # noqa: F401
+from newsgauge.llm import exact_dedup, impact_search, near_dup, packing, personal_data, piece_codec, secret_scan, token_files  # noqa: F401
 
 __all__ = ["ORACLE", "QUERIES"]
