@@ -128,13 +128,13 @@ class Model:
         return out
 
     def evidence(self, texts: list[str]) -> np.ndarray:
-        """For each text the margin of its best word, within -1 and 1, and the logarithm of its number of hits."""
+        """For each text the margin of its best word, within -1 and 2, and the logarithm of its number of sure hits."""
         words = words_of(texts)
         margin = self.margins(words)
         best, hits = np.full(len(texts), -1.0), np.zeros(len(texts))
         np.maximum.at(best, words.text, margin)
-        np.add.at(hits, words.text[margin > 0], 1)
-        return np.column_stack([np.clip(best, -1, 1), np.log1p(hits)])
+        np.add.at(hits, words.text[margin >= 1], 1)
+        return np.column_stack([np.clip(best, -1, 2), np.log1p(hits)])
 
     def scores(self, texts: list[str]) -> np.ndarray:
         a, b, c = self.scale
@@ -148,13 +148,14 @@ def _inserted(word: str, random: np.random.Generator) -> list[str]:
     return [word[:at] + "qxzjwvk"[int(random.integers(7))] + word[at:], word[:at] + word[at - 1] + word[at:]]
 
 
-def train(words: list[str], toxic: np.ndarray, clean: np.ndarray, landmarks: int = 96, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
+def train(words: list[str], toxic: np.ndarray, clean: np.ndarray, landmarks: int = 192, ridge: float = 1e-5) -> tuple[np.ndarray, float]:
     """The support vector machine from words with the number of toxic and clean sentences that hold them.
 
-    A sentence has its document's label, and so does each word in it: a word is a positive instance as
-    often as it stands in toxic sentences and a negative one as often as in clean ones. Counts are damped
-    by their square roots. Landmarks are the words that speak most for toxic sentences and the commonest
-    others. Words that stand in toxic sentences alone also count with inserted letters.
+    A sentence has its document's label, and so does each word in it, though few words make it toxic. So
+    a word is a positive instance as often as it stands in toxic sentences beyond what chance explains
+    (four standard deviations of what its total would give), by the share of its sentences which that
+    is, and a negative one by the square root of its count in clean ones. Landmarks are the words that speak most for toxic sentences and the
+    commonest others. Words that stand in toxic sentences alone also count with inserted letters.
     """
     total = toxic + clean
     rate = (toxic + 0.5) / (total + 5)
@@ -169,11 +170,15 @@ def train(words: list[str], toxic: np.ndarray, clean: np.ndarray, landmarks: int
     random = np.random.default_rng(7)
     extra = [(v, toxic[i] / 4) for i in leading if toxic[i] >= 5 and toxic[i] >= 9 * clean[i] for v in _inserted(words[i], random)]
     names = [*words, *(v for v, _ in extra)]
-    up = np.sqrt(np.concatenate([toxic, [n for _, n in extra]]))
+    chance = toxic.sum() / total.sum() * total
+    beyond = np.maximum(0, toxic - chance - 4 * np.sqrt(chance))
+    up = np.concatenate([beyond * beyond / total, [n for _, n in extra]])
+    if not up.any():
+        up = np.concatenate([toxic, [n for _, n in extra]])
     down = np.sqrt(np.concatenate([clean, np.zeros(len(extra))]))
     x = np.concatenate([kernel_rows(names[a:a + 2000]) @ z.T for a in range(0, len(names), 2000)]) @ to_features
     x = np.column_stack([x, np.ones(len(x))])
-    up, down = up / up.sum(), down / down.sum() * 4
+    up, down = up / up.sum(), down / down.sum() * 10
     beta = np.zeros(x.shape[1])
     for _ in range(40):  # Newton steps on the squared hinge
         f = x @ beta
