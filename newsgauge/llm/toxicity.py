@@ -128,13 +128,16 @@ class Model:
         return out
 
     def evidence(self, texts: list[str]) -> np.ndarray:
-        """For each text the margin of its best word, within -1 and 2, and the logarithm of its number of sure hits."""
+        """For each text the cube of its best word's margin, within 0 and 2, and the logarithm of its number of sure hits.
+
+        The cube keeps scores level where the machine is undecided, so that mislabelled documents do not tilt them.
+        """
         words = words_of(texts)
         margin = self.margins(words)
         best, hits = np.full(len(texts), -1.0), np.zeros(len(texts))
         np.maximum.at(best, words.text, margin)
         np.add.at(hits, words.text[margin >= 1], 1)
-        return np.column_stack([np.clip(best, -1, 2), np.log1p(hits)])
+        return np.column_stack([np.clip(best, 0, 2) ** 3, np.log1p(hits)])
 
     def scores(self, texts: list[str]) -> np.ndarray:
         a, b, c = self.scale
@@ -153,8 +156,8 @@ def train(words: list[str], toxic: np.ndarray, clean: np.ndarray, landmarks: int
 
     A sentence has its document's label, and so does each word in it, though few words make it toxic. So
     a word is a positive instance as often as it stands in toxic sentences beyond what chance explains
-    (four standard deviations of what its total would give), by the share of its sentences which that
-    is, and a negative one by the square root of its count in clean ones. Landmarks are the words that speak most for toxic sentences and the
+    (four standard deviations of what its total would give), if that is most of its sentences, and a
+    negative one by the square root of its count in clean ones. Landmarks are the words that speak most for toxic sentences and the
     commonest others. Words that stand in toxic sentences alone also count with inserted letters.
     """
     total = toxic + clean
@@ -172,7 +175,7 @@ def train(words: list[str], toxic: np.ndarray, clean: np.ndarray, landmarks: int
     names = [*words, *(v for v, _ in extra)]
     chance = toxic.sum() / total.sum() * total
     beyond = np.maximum(0, toxic - chance - 4 * np.sqrt(chance))
-    up = np.concatenate([beyond * beyond / total, [n for _, n in extra]])
+    up = np.concatenate([np.where(beyond >= total / 2, beyond, 0), [n for _, n in extra]])
     if not up.any():
         up = np.concatenate([toxic, [n for _, n in extra]])
     down = np.sqrt(np.concatenate([clean, np.zeros(len(extra))]))
