@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from newsgauge.llm.common import query, table, text_of
+from newsgauge.llm.common import in_slices, query, table, text_of
 from newsgauge.llm.tokens import tokenizer_file
 
 PIECES = "piece_bpe_32k.model"
@@ -47,7 +47,13 @@ class PieceModel:
             else:
                 self.ids[piece], self.score[piece] = i, model.get_score(i)
                 self.raw.append(piece.replace(SPACE, " ").encode())
+        self.code = {piece: np.array([i], "<u4").tobytes() for piece, i in self.ids.items()}
         self.longest = max(map(len, self.ids))
+        #: Lengths of the pieces, by their last two characters, the longest first.
+        lengths: dict[str, set[int]] = {}
+        for piece in self.ids:
+            lengths.setdefault(piece[-2:], {1}).add(len(piece))
+        self.tails = {tail: tuple(sorted(n, reverse=True)) for tail, n in lengths.items() if len(tail) == 2}
         #: No piece has a space mark behind another character, so paths meet before a mark that begins a word.
         self.words_are_apart = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.pairs: dict[tuple[str, str], bool] = {}
@@ -79,6 +85,9 @@ class PieceModel:
         return [self.byte_ids[b] for b in (SPACE if piece == OWN_MARK else piece).encode()]
 
 
+_ONE = (1,)
+
+
 class StreamEncoder:
     """Encodes characters as they come; ``feed`` gives the pieces that nothing later can change.
 
@@ -94,24 +103,31 @@ class StreamEncoder:
         self.committed: str | None = None
 
     def feed(self, chars: str) -> Iterator[str]:
-        known, longest, follows = self.model.ids, self.model.longest, self.model.may_follow
-        for c in chars:
-            self.text += c
-            end = len(self.text)
-            for n in range(min(longest, end), 0, -1):
-                piece = self.text[end - n:]
-                if n > 1 and piece not in known:
+        known, tails, pairs, follows = self.model.ids, self.model.tails, self.model.pairs, self.model.may_follow
+        window, end, last = 2 * self.model.longest, len(self.text), self.last
+        text = self.text + chars
+        while end < len(text):
+            end += 1
+            for n in tails.get(text[end - 2:end] if end > 1 else "", _ONE):
+                start = end - n
+                if start < 0:
                     continue
-                before = self.last[end - n] if end > n else self.committed
-                if end > n and before is None:
+                before = last[start] if start else self.committed
+                if before is None and start:
+                    continue
+                piece = text[start:end]
+                if n > 1 and piece not in known:
                     continue
-                if before is None or follows(before, piece):
-                    self.last.append(piece)
+                if before is None or (pairs[before, piece] if (before, piece) in pairs else follows(before, piece)):
+                    last.append(piece)
                     break
             else:
-                self.last.append(None)
-            if end >= 2 * longest:
+                last.append(None)
+            if end >= window:
+                self.text, rest = text[:end], text[end:]
                 yield from self._commit(self._meeting())
+                text, end, last = self.text + rest, len(self.text), self.last
+        self.text = text
 
     def _meeting(self) -> int:
         """The last position that the paths to all positions still in reach have in common."""
@@ -151,8 +167,8 @@ class PieceCodec:
         yield from stream.finish()
 
     def _bytes(self, marked: str) -> bytes:
-        ids = [i for piece in self._streamed(marked) for i in self.model.ids_of(piece)]
-        return np.array(ids, "<u4").tobytes()
+        code = self.model.code
+        return b"".join([code.get(piece) or np.array(self.model.ids_of(piece), "<u4").tobytes() for piece in self._streamed(marked)])
 
     def _remembered(self, part: str) -> bytes:
         out = self.words.get(part)
@@ -206,7 +222,7 @@ def encode_pieces(docs: DataFrame, model: str = PIECES, id_col: str = "doc_id",
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = codec(model).encode
-        for batch in batches:
+        for batch in in_slices(batches):
             ids = [ids_of(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
@@ -218,7 +234,7 @@ def decode_pieces(encoded: DataFrame, model: str = PIECES) -> DataFrame:
 
     def decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text_from = codec(model).decode
-        for batch in batches:
+        for batch in in_slices(batches):
             texts = [text_from(x or b"") for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "ids")), pa.array(texts, pa.string())],
                                              names=["doc_id", "ids", "text"])
