@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from newsgauge.llm.common import query, staged, table, text_of
+from newsgauge.llm.common import carried, given_back, query, staged, table, text_of
 
 SPACES = (" ", "\t", "\n", "\x0b", "\f", "\r")
 
@@ -19,18 +19,19 @@ def without_spaces(text: Column) -> Column:
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                content_hash: Callable[[Column], Column] = F.md5) -> DataFrame:
+                content_hash: Callable[[Column], Column] = F.md5, keep: Sequence[str] = ()) -> DataFrame:
     """Which row of each set of equal texts stays.
 
     Texts are equal when their bytes are equal once ASCII white space is removed. Of equal texts the
     row with the most code points in the original text stays, then the smallest id (a null id is the
-    largest). Returns one row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
+    largest). Returns one row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256 and
+    the columns ``keep`` of ``docs``.
 
     The grouping key is a 128-bit hash of the text. The bytes of a group are compared through its
     smallest and largest text, which are equal unless the hash collides; the rows of a colliding hash
     are grouped by the text itself. Groups are aggregated before the shuffle, so a text that a third of
     all rows carry sends one row per task; the rows of a hot text meet their group in a join of narrow
-    rows, whose large partitions adaptive execution splits. The groups are written once, so that Spark
+    rows (but for ``keep``), whose large partitions adaptive execution splits. The groups are written once, so that Spark
     knows how few hashes collide before it plans the join of the texts with them.
 
     A null text counts as empty, and all empty texts are one group. Rows that repeat an id and a text
@@ -39,9 +40,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     text = text_of(text_col)
     full = docs.select(F.col(id_col).alias("doc_id"), F.char_length(text).alias("_chars"),
-                       without_spaces(text).alias("_norm"))
+                       without_spaces(text).alias("_norm"), *carried(keep))
     full = full.withColumn("_hash", content_hash(F.col("_norm")))
-    narrow = full.select("doc_id", "_chars", "_hash", F.sha2("_norm", 256).alias("text_sha256"))
+    narrow = full.withColumn("text_sha256", F.sha2("_norm", 256)).drop("_norm", "_chars")
 
     best = F.min(F.struct((-F.col("_chars")).alias("chars"), F.col("doc_id").isNull().alias("none"),
                           F.col("doc_id").alias("id")))
@@ -60,7 +61,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def result(df: DataFrame) -> DataFrame:
         kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-        return df.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+        return df.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256", *given_back(keep))
 
     return result(plain).unionByName(result(odd))
 

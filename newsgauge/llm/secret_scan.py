@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import cache
 
@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newsgauge.llm.automaton import Automaton, compile_rules
-from newsgauge.llm.common import query, table, text_of
+from newsgauge.llm.common import carried, given_back, in_slices, query, table, text_of
 
 
 @dataclass(frozen=True)
@@ -121,32 +121,33 @@ SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end"
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES,
-                 mask: bool = False) -> DataFrame:
-    """The secrets in each text: doc_id and spans (kind, start, end in code points, end exclusive).
+                 mask: bool = False, keep: Sequence[str] = ()) -> DataFrame:
+    """The secrets in each text: doc_id, the columns ``keep`` and spans (kind, start, end in code points, end exclusive).
 
     Matches are leftmost and do not overlap within a kind; those of different kinds may. With ``mask``
     a column masked_text holds the text with its secrets replaced. One row per row of ``docs``, whatever
     its other columns are called; a null or empty text has no spans. Each row is scanned for itself, so
     nothing is shuffled and no key can be hot.
     """
-    kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
-    given = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-
+    given = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"), *carried(keep))
     find = scanner(rules).spans
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
+        for batch in in_slices(batches):
+            texts = batch.column("_text").to_pylist()
             spans = [find(t) for t in texts]
-            cols = [batch.column("doc_id"), pa.array([[dict(zip(("kind", "start", "end"), x)) for x in s] for s in spans], SPANS)]
-            names = ["doc_id", "spans"]
+            names = [n for n in batch.schema.names if n != "_text"]
+            cols = [*(batch.column(n) for n in names),
+                    pa.array([[dict(zip(("kind", "start", "end"), x)) for x in s] for s in spans], SPANS)]
             if mask:
                 cols.append(pa.array([masked(t, s) for t, s in zip(texts, spans)], pa.string()))
-                names.append("masked_text")
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+            yield pa.RecordBatch.from_arrays(cols, names=[*names, "_spans", "_masked"][: len(cols)])
 
-    out = f"doc_id {kind}, spans array<struct<kind: string, start: bigint, end: bigint>>"
-    return given.mapInArrow(scan, out + (", masked_text string" if mask else ""))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in given.schema if f.name != "_text")
+    out = f"{kinds}, _spans array<struct<kind: string, start: bigint, end: bigint>>"
+    found = given.mapInArrow(scan, out + (", _masked string" if mask else ""))
+    return found.select(F.col("_id").alias("doc_id"), *given_back(keep), F.col("_spans").alias("spans"),
+                        *([F.col("_masked").alias("masked_text")] if mask else []))
 
 
 def joined(spans, *kinds: str):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import cache
 
@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from newsgauge.llm.common import query, table, text_of
+from newsgauge.llm.common import carried, given_back, in_slices, query, table, text_of
 
 LONGEST, OVERLAP, SPAN, DECAY = 20, 10, 7, 0.6
 _SENTENCE = re.compile(r"[.!?]+\s|\n")
@@ -272,17 +272,17 @@ def _in_chunks(texts: list[str], fn, chars: int = 1 << 19) -> np.ndarray:
     return np.concatenate(out) if out else fn([])
 
 
-def score_toxicity(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = ()) -> DataFrame:
-    """doc_id, the columns ``keep`` and score, 0 to 1, for every whole text.
+def score_toxicity(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, the columns ``keep`` of ``docs`` and score, 0 to 1, for every whole text.
 
     A null or empty text is scored as a text without words. Without a model the score is 0. Each row is
     scored for itself from its text alone; there is one row per row of ``docs``. Other columns are
     ignored, whatever their names.
     """
-    given = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"), *[F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)])
+    given = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"), *carried(keep))
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             texts = batch.column("_text").to_pylist()
             s = _in_chunks(texts, model.scores) if model else np.zeros(len(texts))
             names = [n for n in batch.schema.names if n != "_text"]
@@ -290,7 +290,7 @@ def score_toxicity(docs: DataFrame, model: Model | None, id_col: str = "doc_id",
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in given.schema if f.name != "_text")
     out = given.mapInArrow(score, f"{kinds}, score double")
-    return out.select(F.col("_id").alias("doc_id"), *[F.col(f"_keep{i}").alias(c) for i, c in enumerate(keep)], "score")
+    return out.select(F.col("_id").alias("doc_id"), *given_back(keep), "score")
 
 
 @query("op3_toxicity")
