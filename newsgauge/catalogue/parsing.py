@@ -229,3 +229,13 @@ def landed_search(spark, sf):
         bodies = bodies.unionByName(other)
     landed = bodies.join(where, "doc_id").drop("doc_id")
     return build_request(landed, AS_OF)
+
+
+@query("landed_rejects", """
+SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN 'unknown_engine' ELSE 'too_short' END AS block_reason
+FROM documents WHERE doc_id % 3 = 2 OR (doc_id % 3 = 0 AND length(text) < 200)""")
+def landed_rejects(spark, sf):
+    """Payloads that no parser reads, with the reason: every text as a page of one of three engines."""
+    engine = F.element_at(F.array(F.lit("rss"), F.lit("news_api"), F.lit("telegraph")), F.pmod("doc_id", F.lit(3)).cast("int") + 1)
+    landed = _docs(spark, sf).select("doc_id", engine.alias("engine"), F.col("text").alias("body"))
+    return p.rejected_payloads(landed).select("doc_id", "block_reason")

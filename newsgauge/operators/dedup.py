@@ -53,6 +53,11 @@ def by_url(df: DataFrame, order: str = "ord", within: list[str] | None = None) -
     return keep_first(df, [*keys, canonical_url(F.col("url"))], [F.col(order)])
 
 
+def dropped(df: DataFrame, kept: DataFrame, column: str = "url") -> DataFrame:
+    """Rows that a de-duplication lost: those whose ``column`` no kept row has."""
+    return df.join(kept.select(column).distinct(), column, "left_anti").select(*df.columns)
+
+
 def by_url_or_title(df: DataFrame, order: str = "ord", within: list[str] | None = None, n: int = 100) -> DataFrame:
     """One row per first ``n`` characters of the link, or of the title where there is no link."""
     key = F.substring(F.coalesce(blank_to_null(F.col("url")), F.col("title")), 1, n)
@@ -139,13 +144,15 @@ def merge_searches(df: DataFrame, max_per_query: int = v.MAX_PER_QUERY, max_tota
 
     Takes at most ``max_per_query`` rows of each engine and query (the size of one result list), merges
     per query, then over the queries of a keyword, and cuts the list at ``max_total``.
-    Needs ``keyword, query_rank, engine_rank, page_no, pos`` and the article columns.
+    Needs ``keyword, query_rank, engine_rank, page_no, pos`` and the article columns; with ``payload``,
+    which names the fetch of a page, rows of one page number are ordered by it.
     """
-    order = ["engine_rank", "page_no", "pos"]
+    fetch = ["payload"] if "payload" in df.columns else []
+    order = ["engine_rank", "page_no", *fetch, "pos"]
     lists = top_n(
         df, [F.col("keyword"), F.col("query_rank"), F.col("engine_rank")],
-        [F.col("page_no"), F.col("pos")], max_per_query,
+        [F.col(c) for c in order[1:]], max_per_query,
     )
     per_query = merge_similar(lists, ["keyword", "query_rank"], order, threshold, place="query_place")
     merged = merge_similar(per_query, ["keyword"], ["query_rank", "query_place"], threshold, max_total)
-    return merged.drop("query_place")
+    return merged.drop("query_place", *fetch)

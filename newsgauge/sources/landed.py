@@ -9,14 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newsgauge.functions.dates import ISO_DAY
-from newsgauge.operators.joins import salt_of
 
 
-def write_articles(df: DataFrame, path: str, row_id: str = "ord", files_per_day: int = 8) -> None:
-    """Store articles; a day's rows are spread over at most ``files_per_day`` files."""
+def write_articles(df: DataFrame, path: str) -> None:
+    """Store articles. A day's rows come together, and adaptive execution splits days that are too large for a task."""
     day = F.when(F.col("date").rlike(ISO_DAY), F.col("date").try_cast("date"))
-    rows = df.withColumn("day", day)
-    rows = rows.repartition("source", "day", salt_of(F.col(row_id), files_per_day))
+    rows = df.withColumn("day", day).hint("rebalance", "source", "day")
     rows.write.partitionBy("source", "day").parquet(path)
 
 

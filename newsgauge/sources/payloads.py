@@ -238,6 +238,24 @@ def page_block_reason(body: Column) -> Column:
     return block_reason(body, 1000, v.BLOCK_PAGE_PATTERN, 3000)
 
 
+#: What makes a payload of an engine unusable; engines without an entry have no such sign.
+ENGINE_GUARDS = {"rss": rss_block_reason, "wechat_html": wechat_block_reason}
+ENGINES = ("news_html", "rss", "news_api", "wechat_api", "wechat_html")
+
+
+def payload_reason(engine: Column, body: Column) -> Column:
+    """Why a landed payload is not parsed: ``unknown_engine``, the reason of its engine's guard, or NULL."""
+    reason = F.when(~F.coalesce(engine.isin(*ENGINES), F.lit(False)), "unknown_engine")
+    for name, guard in ENGINE_GUARDS.items():
+        reason = reason.when(engine == name, guard(body))
+    return reason
+
+
+def rejected_payloads(payloads: DataFrame) -> DataFrame:
+    """Landed payloads that no parser reads, with their ``block_reason``."""
+    return quarantine(payloads, payload_reason(F.col("engine"), F.col("body")))[1]
+
+
 def quarantine(df: DataFrame, reason: Column) -> tuple[DataFrame, DataFrame]:
     """Usable payloads, and the rejected ones with their ``block_reason``."""
     tagged = df.withColumn("block_reason", reason)

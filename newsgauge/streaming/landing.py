@@ -12,7 +12,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from newsgauge.functions.urls import canonical_url
 from newsgauge.operators.funnel import noise_reason
 from newsgauge.operators.report import merge_partials
-from newsgauge.sources import payloads as p
+from newsgauge.plans.search import parse_engine
 
 LANDING_SCHEMA = (
     "engine string, keyword string, keyword_rank int, query_rank int, page_no int, body string, fetched_at timestamp"
@@ -25,16 +25,8 @@ def read_landing(spark: SparkSession, path: str, max_files: int = 1000) -> DataF
 
 
 def parse_landing(payloads: DataFrame, engine: str, as_of) -> DataFrame:
-    """Articles of one engine's payloads; works on streams because parsing is a narrow stage."""
-    rows = payloads.where(F.col("engine") == engine)
-    parsers = {
-        "rss": p.parse_rss,
-        "news_api": p.parse_news_api,
-        "wechat_api": p.parse_wechat_api,
-        "wechat_html": p.parse_wechat_html,
-        "news_html": lambda df: p.parse_news_html(df, as_of),
-    }
-    return parsers[engine](rows)
+    """Articles of one engine's usable payloads, by the parser and guard of the batch job."""
+    return parse_engine(payloads, engine, as_of).drop("engine_rank")
 
 
 def first_seen(articles: DataFrame, delay: str = "1 day") -> DataFrame:

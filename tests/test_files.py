@@ -39,7 +39,7 @@ def test_scored_csv(spark, tmp_path):
 
 
 def test_streamed_counts_equal_the_batch(spark, tmp_path):
-    bodies = [f"<item><title>第{i}条新闻标题{'招聘' if i % 3 == 0 else ''}</title><link>https://a/{i % 4}</link></item>" for i in range(9)]
+    bodies = [f"<item><title>第{i}条新闻标题{'招聘' if i % 3 == 0 else ''}</title><link>https://a/{i % 4}</link></item>" + " " * 200 for i in range(9)]
     rows = [("rss", f"k{i % 2}", 0, 0, i, b) for i, b in enumerate(bodies)]
     src = str(tmp_path / "in")
     df = spark.createDataFrame(rows, "engine string, keyword string, keyword_rank int, query_rank int, page_no int, body string")

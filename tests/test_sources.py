@@ -96,3 +96,32 @@ def test_ordinal(spark):
     assert got == sorted(got) and len(set(got)) == 5
     with pytest.raises(Exception, match="out of range"):
         p.with_ordinal(spark.createDataFrame([(0, 64, 0, 0, 0)], cols)).collect()
+
+
+def test_pages_fetched_twice_lose_nothing(spark):
+    """Two fetches of one page with other items, and one body landed twice."""
+    from newsgauge.plans.search import request_articles
+
+    def feed(*numbers):
+        words = ("开工仪式", "封顶大吉", "竣工验收", "道路通车", "桥梁合龙", "隧道贯通", "电站并网")
+        items = "".join(
+            f"<item><title>{words[n % 7]}现场报道第{n}号独家稿件 - 报社{n}</title><link>https://a.example/{n}</link>"
+            "<pubDate>Mon, 04 Mar 2024 08:00:00 GMT</pubDate></item>" for n in numbers)
+        return f"<rss>{items}</rss>" + " " * 300
+
+    rows = [("rss", "甲", 0, 0, 1, feed(1, 2, 3), "2024-03-05 00:00:00"), ("rss", "甲", 0, 0, 1, feed(4, 5, 6), "2024-03-05 06:00:00"),
+            ("rss", "甲", 0, 0, 1, feed(4, 5, 6), "2024-03-05 07:00:00"), ("rss", "甲", 0, 0, 2, "blocked", "2024-03-05 07:00:00")]
+    landed = spark.createDataFrame(rows, "engine string, keyword string, keyword_rank int, query_rank int, page_no int, body string, fetched_at string")
+    got = [r["url"] for r in request_articles(landed, "2024-03-05T02:00:00").orderBy("ord").collect()]
+    assert got == [f"https://a.example/{n}" for n in range(1, 7)]
+
+
+def test_streams_and_batches_share_their_guards(spark):
+    from newsgauge.sources.payloads import rejected_payloads
+    from newsgauge.streaming.landing import parse_landing
+
+    rows = [("rss", "k", "<item><title>这是一个足够长的标题</title></item>"), ("other", "k", "x" * 500), (None, "k", "x"), ("news_api", "k", "{}")]
+    landed = spark.createDataFrame(rows, "engine string, keyword string, body string")
+    assert parse_landing(landed, "rss", "2024-03-05T02:00:00").count() == 0
+    got = sorted((r["engine"] or "", r["block_reason"]) for r in rejected_payloads(landed).collect())
+    assert got == [("", "unknown_engine"), ("other", "unknown_engine"), ("rss", "too_short")]
