@@ -56,9 +56,7 @@ def reason_counts(spark, sf):
 
 @query("totals", "SELECT count(*) AS total, count(*) FILTER (WHERE l_returnflag = 'R') AS shown FROM lineitem")
 def totals(spark, sf):
-    return table(spark, sf, "lineitem").agg(
-        F.count("*").alias("total"), F.count_if(F.col("l_returnflag") == "R").alias("shown")
-    )
+    return report.totals(table(spark, sf, "lineitem"), F.col("l_returnflag") == "R")
 
 
 _DIMS = ("l_returnflag", "l_linestatus", "l_linenumber")

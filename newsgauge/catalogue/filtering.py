@@ -11,7 +11,7 @@ from newsgauge.catalogue.views import (
     ARTICLES_SQL, LABEL_ROWS, OUTLET_ROWS, SUBJECT_ROWS, articles, labels, outlets, quote, sql_array, sql_rows, subjects,
 )
 from newsgauge.operators import funnel, keywords as kw, score
-from newsgauge.plans.coverage import Dimensions, Report, Settings, coverage_report
+from newsgauge.plans.coverage import Dimensions, Report, Settings, coverage_report, unrequested_articles
 
 DATE_FROM, DATE_TO = "2024-02-01", "2024-10-31"
 
@@ -224,12 +224,15 @@ def coverage_by_project(spark, sf):
     return run_coverage(spark, sf).by_project()
 
 
-@query("coverage_funnel", _COVERAGE_SQL + f""", r AS (SELECT project, COALESCE(filter_reason, '') AS r FROM done)
-SELECT project, count(*) AS in_range,
-  count(*) FILTER (WHERE NOT list_contains({sql_array((v.REASON_OWN, *[x for _, x in v.NOISE_RULES]))}, r)) AS after_content,
-  count(*) FILTER (WHERE NOT list_contains({sql_array((v.REASON_OWN, *[x for _, x in v.NOISE_RULES], v.REASON_PRECISION))}, r)) AS after_precision,
-  count(*) FILTER (WHERE NOT list_contains({sql_array((v.REASON_OWN, *[x for _, x in v.NOISE_RULES], v.REASON_PRECISION, v.REASON_DUPLICATE))}, r)) AS after_dedup,
-  count(*) FILTER (WHERE NOT list_contains({sql_array((v.REASON_OWN, *[x for _, x in v.NOISE_RULES], v.REASON_PRECISION, v.REASON_DUPLICATE, v.REASON_SCORE))}, r)) AS after_score
-FROM r GROUP BY project""")
+@query("coverage_funnel", _COVERAGE_SQL + """
+SELECT project, count(*) AS in_range, count(*) FILTER (WHERE r1 IS NULL OR r1 = '未提到具体项目名') AS after_content,
+  count(*) FILTER (WHERE r1 IS NULL) AS after_precision, count(*) FILTER (WHERE r2 IS NULL) AS after_dedup,
+  count(*) FILTER (WHERE r3 IS NULL) AS after_score FROM done GROUP BY project""")
 def coverage_funnel(spark, sf):
     return run_coverage(spark, sf).funnel()
+
+
+@query("unrequested_articles", f"SELECT ord, keyword FROM {ARTICLES_SQL} WHERE keyword NOT IN ('en', 'fr')")
+def unrequested(spark, sf):
+    asked = spark.createDataFrame([(" en ", 0), ("fr", 1), ("　", 2)], "keyword string, keyword_rank int")
+    return unrequested_articles(articles(spark, sf), asked).select("ord", "keyword")

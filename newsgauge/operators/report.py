@@ -38,16 +38,20 @@ def by_project(df: DataFrame, keywords: DataFrame, row_id: str = "ord") -> DataF
     """Every requested keyword with its articles in report order; keywords without articles keep one
     row with NULLs."""
     placed = with_rank(df, ["project"], row_id).drop("keyword", "keyword_rank")
-    asked = keywords.select("keyword", "keyword_rank", "project")
+    # a project asked for by several keywords is listed once, under the first of them
+    asked = keywords.groupBy("project").agg(F.min(F.struct("keyword_rank", "keyword")).alias("_first"))
+    asked = asked.select("_first.keyword", "_first.keyword_rank", "project")
     # an outer join could not split a hot project, so the two cases are joined apart
     listed = attach(placed, asked, "project", row_id, how="inner")
     empty = asked.join(df.select("project").distinct(), "project", "left_anti")
     return listed.unionByName(empty, allowMissingColumns=True)
 
 
-def sort_rejected(df: DataFrame, reason: str = "filter_reason") -> DataFrame:
-    """Rejected rows by reason in Chinese collation."""
-    return df.orderBy(F.collate(F.col(reason), "zh"))
+def sort_rejected(df: DataFrame, reason: str = "filter_reason", row_id: str = "ord") -> DataFrame:
+    """Rejected rows by reason in Chinese collation, then by ``row_id`` where there is one, so that a common
+    reason is split over tasks."""
+    ties = [F.col(row_id)] if row_id in df.columns else []
+    return df.orderBy(F.collate(F.col(reason), "zh"), *ties)
 
 
 def rejected_sample(df: DataFrame, order: list[Column], n: int = v.FILTERED_SAMPLE) -> DataFrame:
@@ -61,6 +65,11 @@ def count_by(df: DataFrame, column: str, name: str = "n") -> DataFrame:
     return df.groupBy(column).agg(F.count("*").alias(name))
 
 
+def totals(df: DataFrame, shown: Column) -> DataFrame:
+    """The number of rows, and of those that are shown."""
+    return df.agg(F.count("*").alias("total"), F.count_if(shown).alias("shown"))
+
+
 def source_counts(df: DataFrame) -> DataFrame:
     return df.agg(
         F.count_if(F.col("source") == "news").alias("news"),
@@ -78,19 +87,15 @@ def count_by_project(keywords: DataFrame, kept: DataFrame, raw: DataFrame | None
     return out.select("keyword", "project", *[F.coalesce(c, F.lit(0)).alias(c) for c in counts])
 
 
+#: Stages of the funnel in which a row may be rejected, in order; later ones are ``final``.
+STAGES = ("content", "precision", "dedup", "score")
+
+
 def funnel_counts(df: DataFrame, group: str = "project") -> DataFrame:
-    """Rows left after each stage, from rows with their ``filter_reason``."""
-    reason = F.coalesce(F.col("filter_reason"), F.lit(""))
-    content = [v.REASON_OWN, *[r for _, r in v.NOISE_RULES]]
-    precise = [*content, v.REASON_PRECISION]
-    unique = [*precise, v.REASON_DUPLICATE]
-    return df.groupBy(group).agg(
-        F.count("*").alias("in_range"),
-        F.count_if(~reason.isin(content)).alias("after_content"),
-        F.count_if(~reason.isin(precise)).alias("after_precision"),
-        F.count_if(~reason.isin(unique)).alias("after_dedup"),
-        F.count_if(~reason.isin([*unique, v.REASON_SCORE])).alias("after_score"),
-    )
+    """Rows left after each stage, from rows with the ``stage`` that rejected them (NULL: none)."""
+    stage = F.coalesce(F.col("stage"), F.lit(""))
+    left = [F.count_if(~stage.isin(list(STAGES[: i + 1]))).alias(f"after_{s}") for i, s in enumerate(STAGES)]
+    return df.groupBy(group).agg(F.count("*").alias("in_range"), *left)
 
 
 def report_stats(rows: DataFrame, dims=("category", "source", "project", "filter_reason")) -> DataFrame:

@@ -140,9 +140,9 @@ def with_score(df: DataFrame, exclude=v.EXCLUDE_PATTERNS, low_quality=v.LOW_QUAL
     )
 
 
-def good_reports(df: DataFrame, min_score: int = v.MIN_REPORT_SCORE) -> DataFrame:
-    """Scored rows at or above the threshold, best first."""
-    return df.where(F.col("score") >= min_score).orderBy(F.col("score").desc())
+def good_reports(df: DataFrame, min_score: int = v.MIN_REPORT_SCORE, row_id: str = "ord") -> DataFrame:
+    """Scored rows at or above the threshold, best first, equal ones by ``row_id``, so that one score is split over tasks."""
+    return df.where(F.col("score") >= min_score).orderBy(F.col("score").desc(), *([F.col(row_id)] if row_id in df.columns else []))
 
 
 def score_stats(scored: DataFrame) -> DataFrame:

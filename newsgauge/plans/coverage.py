@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from newsgauge import values as v
 from newsgauge.functions.dates import check_range
+from newsgauge.functions.text import trim_ws
 from newsgauge.functions.urls import canonical_url
 from newsgauge.operators import classify, dedup, funnel, keywords as kw, report, score, verify
 from newsgauge.operators.joins import attach
@@ -48,8 +49,8 @@ class Settings:
 
 @dataclass
 class Report:
-    """``rows`` has every in-range article once, with ``status`` and ``filter_reason``; the other
-    tables are views of it. Articles that left before the score have none."""
+    """``rows`` has every in-range article once, with ``status``, ``filter_reason`` and the ``stage``
+    that rejected it; the other tables are views of it. Articles that left before the score have none."""
 
     rows: DataFrame
     keywords: DataFrame
@@ -57,7 +58,7 @@ class Report:
     filtered: DataFrame = field(init=False)
 
     def __post_init__(self):
-        self.kept = self.rows.where("status = 'kept'").drop("status", "filter_reason")
+        self.kept = self.rows.where("status = 'kept'").drop("status", "filter_reason", "stage")
         self.filtered = self.rows.where("status = 'filtered'")
 
     def stats(self) -> DataFrame:
@@ -93,9 +94,27 @@ class Report:
         return report.with_rank(self.kept)
 
 
-def _reject(df: DataFrame, when: Column, reason: str) -> DataFrame:
-    """Set a reason on rows that have none yet."""
-    return df.withColumn("filter_reason", F.coalesce("filter_reason", F.when(when, reason)))
+def _reject(df: DataFrame, when: Column, reason: str, stage: str = "final") -> DataFrame:
+    """Set a reason, and the stage that gives it, on rows that have none yet."""
+    return df.withColumns({
+        "stage": F.coalesce("stage", F.when(F.col("filter_reason").isNull() & when, stage)),
+        "filter_reason": F.coalesce("filter_reason", F.when(when, reason)),
+    })
+
+
+def _entered(articles: DataFrame) -> DataFrame:
+    """Articles with trimmed keywords, and without NULLs in the texts that the rules read."""
+    return articles.withColumns({
+        "keyword": trim_ws(F.col("keyword")),
+        **{c: F.coalesce(F.col(c), F.lit("")) for c in ("title", "media", "snippet", "url")},
+    })
+
+
+def unrequested_articles(articles: DataFrame, keywords: DataFrame) -> DataFrame:
+    """Articles whose keyword is none of the request's (blanks around either do not count)."""
+    asked = kw.clean_keywords(keywords).select(F.col("keyword").alias("_asked"))
+    named = articles.withColumn("_keyword", F.coalesce(trim_ws(F.col("keyword")), F.lit("")))
+    return named.join(asked, F.col("_keyword") == F.col("_asked"), "left_anti").drop("_keyword")
 
 
 def _resolved(df: DataFrame, dims: Dimensions) -> DataFrame:
@@ -121,9 +140,12 @@ def coverage_report(articles: DataFrame, keywords: DataFrame, dims: Dimensions,
 
     # funnel: one narrow stage after the keyword lookup; out-of-range rows leave without a reason
     found = articles if settings.mode == "all" else articles.where(F.col("source") == settings.mode)
+    found = _entered(found)
     found = found.where(funnel.in_date_range(F.col("date"), settings.date_from, settings.date_to))
     rows = attach(found, terms, "keyword", "ord", how="inner")
     rows = rows.withColumn("filter_reason", funnel.funnel_reason(settings.own_accounts, settings.noise_rules))
+    precision = F.col("filter_reason") == v.REASON_PRECISION
+    rows = rows.withColumn("stage", F.when(precision, "precision").when(F.col("filter_reason").isNotNull(), "content"))
     rows = rows.drop("match_terms", "co_occur")
 
     # Most rows leave here. They take no part in the shuffles below and are read again for the final
@@ -133,11 +155,11 @@ def coverage_report(articles: DataFrame, keywords: DataFrame, dims: Dimensions,
     # rows still in the funnel compete for a link, and the first of each link is scored
     rows = rows.where(F.col("filter_reason").isNull()).withColumn("filter_reason", F.lit(None).cast("string"))
     rows = dedup.flag_first(rows, [F.col("keyword"), canonical_url(F.col("url"))], [F.col("ord")], "ord")
-    rows = _reject(rows, ~F.col("is_first"), v.REASON_DUPLICATE).drop("is_first")
+    rows = _reject(rows, ~F.col("is_first"), v.REASON_DUPLICATE, "dedup").drop("is_first")
     scored = score.with_score(rows)
     single = F.col("filter_reason").isNull()
     scored = scored.withColumns({c: F.when(single, F.col(c)) for c in ("score", "score_detail")})
-    scored = _reject(scored, F.col("score") < settings.min_score, v.REASON_SCORE)
+    scored = _reject(scored, F.col("score") < settings.min_score, v.REASON_SCORE, "score")
     # the score has seen the links as found; from here on they are resolved, on rejected rows too
     rows = cut(_resolved(scored, dims))
 

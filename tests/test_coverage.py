@@ -99,3 +99,23 @@ def test_request_articles_over_all_engines(spark):
     assert {r["title"] for r in got[:6]} >= {"百度来的一条新闻"}
     assert len({r["ord"] for r in got}) == len(got)
     assert request_articles(payloads, "2024-03-05T00:00:00", "wechat").count() == 2
+
+
+def test_stages_nulls_and_blanks(spark):
+    """An own rule counts at its stage, NULL titles are judged, and blanks around keywords do not lose articles."""
+    from newsgauge.plans.coverage import Dimensions, Settings, coverage_report, unrequested_articles
+
+    subjects = spark.createDataFrame([(1, "项目", ["甲"], ["大桥"])], "ord int, primary string, aliases array<string>, terms array<string>")
+    rows = [
+        (1, " 甲 ", "大桥顺利合龙通车仪式举行", "https://a.example/1", "2024-01-02", "人民日报", None, "news"),
+        (2, "甲", "大桥禁词内容", "https://a.example/2", "2024-01-02", "人民日报", "", "news"),
+        (3, "甲", None, "https://a.example/3", "2024-01-02", None, None, "news"),
+        (4, "乙", "大桥", "https://a.example/4", "2024-01-02", "人民日报", "", "news"),
+    ]
+    articles = spark.createDataFrame(rows, "ord long, keyword string, title string, url string, date string, media string, snippet string, source string")
+    keywords = spark.createDataFrame([(" 甲", 0)], "keyword string, keyword_rank int")
+    report = coverage_report(articles, keywords, Dimensions(subjects), Settings("2024-01-01", "2024-02-01", noise_rules=(("禁词", "自定规则"),)))
+    got = {r["ord"]: (r["status"], r["filter_reason"], r["stage"]) for r in report.rows.collect()}
+    assert got == {1: ("kept", None, None), 2: ("filtered", "自定规则", "content"), 3: ("filtered", "未提到具体项目名", "precision")}
+    assert [tuple(r)[1:] for r in report.funnel().collect()] == [(3, 2, 1, 1, 1)]
+    assert [r["ord"] for r in unrequested_articles(articles, keywords).collect()] == [4]
