@@ -113,11 +113,11 @@ def search_plan(spark, sf):
 
 # --- search over articles --------------------------------------------------------------------------
 
-_TERM = "regexp_extract(text, '^[^ ]+ [^ ]+', 0)"
+_TERM = "text"
 
 
 def _terms(spark, sf):
-    """Search terms: the leading words of the benchmark passages."""
+    """Search terms: the benchmark passages, whole."""
     return spark.sql(
         f"SELECT CAST(min(item_id) AS STRING) AS keyword, 0 AS keyword_rank, 0 AS query_rank, {_TERM} AS term FROM {{b}} GROUP BY {_TERM}",
         b=table(spark, sf, "benchmark"),

@@ -6,6 +6,8 @@ import datetime as dt
 
 from pyspark.sql import Column, functions as F
 
+from newsgauge.functions.text import WS
+
 ISO_DAY = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z"
 
 
@@ -35,10 +37,10 @@ def normalise_date(text: Column, as_of) -> Column:
     now = as_instant(as_of)
 
     def ago(unit: str, seconds: int):
-        # nine digits at most: longer counts are no dates
-        n = F.regexp_extract(text, rf"([0-9]+)\s*{unit}", 1)
-        usable = (n != "") & (F.length(n) <= 6)
-        return usable, utc_day(now, F.expr("bigint(1)") * n.try_cast("bigint") * seconds)
+        # a count that leads out of the calendar, or out of a LONG, leaves the text as it is
+        n = F.regexp_extract(text, rf"([0-9]+){WS}*{unit}", 1).try_cast("bigint")
+        usable = n.isNotNull() & (n <= 60_000_000_000 // seconds)
+        return usable, utc_day(now, F.when(usable, n) * seconds)
 
     days, hours, minutes = ago("天前", 86400), ago("小时前", 3600), ago("分钟前", 60)
     month_day = "([0-9]{1,2})月([0-9]{1,2})日"

@@ -25,11 +25,10 @@ def attach(left: DataFrame, right: DataFrame, on: str | list[str], spread_by: st
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
-def broadcast_if_small(df: DataFrame, text: str, max_rows: int = 200_000, max_chars: int = 64_000_000) -> DataFrame:
-    """Mark a table for broadcast if its counted rows and the length of its text column are bounded.
+def is_small(df: DataFrame, text: str, max_rows: int = 200_000, max_chars: int = 64_000_000) -> bool:
+    """Whether the counted rows of a table and the length of its text column allow a broadcast.
 
-    For tables that Spark cannot estimate, joined to one too large to shuffle for their sake. Beyond
-    the bounds the join is left to shuffle.
+    For tables that Spark cannot estimate, joined to one too large to shuffle for their sake.
     """
     rows, chars = df.agg(F.count("*"), F.coalesce(F.sum(F.length(text)), F.lit(0))).first()
-    return F.broadcast(df) if rows <= max_rows and chars <= max_chars else df
+    return rows <= max_rows and chars <= max_chars

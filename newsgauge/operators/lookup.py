@@ -19,6 +19,7 @@ from newsgauge.operators.joins import SALTS, salt_of
 
 INLINE_ENTRIES = 2000  # names are short and distinct
 INLINE_TERMS = 1000  # texts are long: about here the substring plan becomes the faster one
+INLINE_CHARS = 200_000  # what one literal in a plan may hold
 
 
 def constant_array(rows: list[dict], schema: str) -> Column:
@@ -35,10 +36,18 @@ def first_containing(text: Column, pairs: Column) -> Column:
     return bind(text, lambda x: F.try_element_at(F.filter(pairs, lambda e: F.contains(x, e["k"])), F.lit(1))["v"])
 
 
-def _read_small(dictionary: DataFrame, limit: int):
-    """The dictionary's rows if it has at most ``limit``, else None; never reads more than that."""
-    rows = dictionary.select("ord", "key", "value").limit(limit + 1).collect()
-    return sorted(rows, key=lambda r: r["ord"]) if len(rows) <= limit else None
+def _bounded(df: DataFrame, column: str, limit: int):
+    """The rows of a table if they are at most ``limit`` with at most INLINE_CHARS characters in ``column``, else None.
+
+    Never reads more rows than that.
+    """
+    size = df.select(F.length(column).alias("n")).limit(limit + 1).agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    return df.collect() if size[0] <= limit and size[1] <= INLINE_CHARS else None
+
+
+def _entries(dictionary: DataFrame) -> DataFrame:
+    """Dictionary entries that can match: a blank key, which every text contains, is none."""
+    return dictionary.select("ord", "key", "value").where(F.length(F.trim("key")) > 0)
 
 
 def _substrings(c: Column, sizes: list[int]) -> Column:
@@ -63,8 +72,10 @@ def first_match(names: DataFrame, name: str, dictionary: DataFrame, both_ways: b
                 inline: int = INLINE_ENTRIES) -> DataFrame:
     """Add ``value`` to a table of **distinct** names: exact key, else first key in ``ord`` order that
     the name contains (or, with ``both_ways``, that contains the name). NULL where nothing matches."""
-    small = _read_small(dictionary, inline)
+    dictionary = _entries(dictionary)
+    small = _bounded(dictionary, "key", inline)
     if small is not None:
+        small = sorted(small, key=lambda r: (r["ord"], r["key"], r["value"] or ""))
         entries = constant_array([{"k": r["key"], "v": r["value"]} for r in small], "k:string,v:string")
         n = F.col(name)
         hits = F.filter(
@@ -75,16 +86,17 @@ def first_match(names: DataFrame, name: str, dictionary: DataFrame, both_ways: b
         value = F.coalesce(F.try_element_at(exact, F.lit(1)), F.try_element_at(hits, F.lit(1)))["v"]
         return names.withColumn("value", value)
 
-    keys = dictionary.select("ord", "key", "value")
+    keys = dictionary
     inside = names.select(name, F.explode(_substrings(F.col(name), _lengths(keys, "key"))).alias("key"))
     hits = _gram_join(inside, keys, "key", name).where(F.contains(F.col(name), F.col("key"))).select(
-        name, F.when(F.col(name) == F.col("key"), F.lit(-1)).otherwise(F.col("ord")).alias("ord"), "value"
+        name, F.struct((F.col(name) != F.col("key")).alias("inexact"), "ord", "key", F.coalesce("value", F.lit("")).alias("v")).alias("ord"), "value"
     )
     if both_ways:
         around = keys.select(
-            "ord", "value", F.explode(_substrings(F.col("key"), _lengths(names, name))).alias(name)
+            "ord", "key", "value", F.explode(_substrings(F.col("key"), _lengths(names, name))).alias(name)
         )
-        hits = hits.unionByName(names.select(name).join(around, name).select(name, "ord", "value"))
+        hits = hits.unionByName(names.select(name).join(around, name).select(name, F.struct(
+            (F.col(name) != F.col("key")).alias("inexact"), "ord", "key", F.coalesce("value", F.lit("")).alias("v")).alias("ord"), "value"))
     best = hits.groupBy(name).agg(F.min_by("value", "ord").alias("value"))
     return names.join(best, name, "left")
 
@@ -93,11 +105,13 @@ def match_terms(articles: DataFrame, text: Column, row_id: str, terms: DataFrame
                 inline: int = INLINE_TERMS) -> DataFrame:
     """One row per article and contained term: the article's columns plus those of ``terms``.
 
-    ``terms`` needs a text column ``term``; its other columns come along. Texts are searched whole.
+    ``terms`` needs a text column ``term``; its other columns come along. Texts are searched whole. A
+    blank term matches nothing.
     """
     fields = terms.schema.fields
-    rows = terms.limit(inline + 1).collect()
-    if len(rows) <= inline:
+    terms = terms.where(F.length(F.trim("term")) > 0)
+    rows = _bounded(terms, "term", inline)
+    if rows is not None:
         schema = ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in fields)
         entries = constant_array([r.asDict() for r in rows], schema)
         hits = F.filter(entries, lambda e: F.contains(text, e["term"]))
@@ -108,7 +122,7 @@ def match_terms(articles: DataFrame, text: Column, row_id: str, terms: DataFrame
     anchored = terms.withColumn("_k", _anchor_length(F.col("term")))
     kinds = [r[0] for r in anchored.select("_k").distinct().collect()]  # at most five
     anchors = anchored.select(F.expr("substring(term, 1, _k)").alias("_gram"), "term").distinct()
-    grams = articles.select(row_id, F.explode(_substrings(text, sorted(kinds))).alias("_gram"))
+    grams = articles.select(row_id, F.explode(F.filter(_substrings(text, sorted(kinds)), _may_be_in(anchors, "_gram"))).alias("_gram"))
     candidates = _gram_join(grams, anchors, "_gram", row_id).groupBy(row_id).agg(F.collect_set("term").alias("_terms"))
     found = articles.join(candidates, row_id).select(
         *articles.columns, F.explode(F.filter("_terms", lambda t: F.contains(text, t))).alias("term")
@@ -117,6 +131,28 @@ def match_terms(articles: DataFrame, text: Column, row_id: str, terms: DataFrame
     return _gram_join(found, terms, "term", row_id).select(*articles.columns, *[f.name for f in fields])
 
 
+def _may_be_in(df: DataFrame, column: str, words: int = 1 << 14):
+    """A test that all values of ``column`` pass and few others do: one bit for each of 2^20 hashes.
+
+    The bits are one literal of ``words`` LONGs, whatever the table's size, so values are dropped within
+    their row, before anything is exploded or shuffled.
+    """
+    bit = F.pmod(F.xxhash64(column), F.lit(words * 64))
+    word = F.shiftright(bit, 6).cast("int")
+    one = F.call_function("shiftleft", F.expr("1L"), F.pmod(bit, F.lit(64)).cast("int"))
+    held = [0] * words
+    for r in df.select(word.alias("w"), one.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).collect():  # at most ``words`` rows
+        held[r["w"]] = r["b"]
+    bits = F.from_json(F.lit(json.dumps(held)), "array<bigint>")
+
+    def test(value: Column) -> Column:
+        at = F.pmod(F.xxhash64(value), F.lit(words * 64))
+        mine = F.get(bits, F.shiftright(at, 6).cast("int"))
+        return F.call_function("shiftrightunsigned", mine, F.pmod(at, F.lit(64)).cast("int")).bitwiseAND(1) == 1
+
+    return test
+
+
 def _anchor_length(term: Column) -> Column:
     n = F.length(term)
     return F.when(n >= 16, 16).when(n >= 8, 8).when(n >= 4, 4).when(n >= 2, 2).otherwise(1)

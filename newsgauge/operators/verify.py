@@ -8,7 +8,7 @@ from newsgauge import values as v
 from newsgauge.functions.text import decode_entities, is_title_artifact, is_unreliable_outlet, outlet_from_page
 from newsgauge.functions.urls import is_http, is_redirect
 from newsgauge.operators.dedup import flag_first
-from newsgauge.operators.joins import attach, broadcast_if_small
+from newsgauge.operators.joins import attach, is_small
 from newsgauge.operators.lookup import first_containing, pairs_array
 from newsgauge.session import cut
 from newsgauge.sources.payloads import page_block_reason
@@ -53,23 +53,29 @@ def flag_page_checks(df: DataFrame, row_id: str = "ord") -> DataFrame:
     return flagged.withColumn("page_check", wanted & F.col("_first")).drop("_first")
 
 
-def correct_by_page(df: DataFrame, pages: DataFrame, row_id: str = "ord") -> DataFrame:
+def correct_by_page(df: DataFrame, pages: DataFrame, row_id: str = "ord", broadcast: bool | None = None) -> DataFrame:
     """Correct flagged rows from landed article pages ``pages(url, final_url, html)``, one per link.
 
-    Only the pages of flagged rows are read for names, and only the short name travels back. Adds
-    ``page_result``: ``corrected``, ``skipped`` (no usable page or name) or NULL where not checked.
+    If the flagged rows are few enough to broadcast, names are read from their pages only. Otherwise both
+    names a page may give are read where it is scanned, so that only those, never the page, are shuffled.
+    Adds ``page_result``: ``corrected``, ``skipped`` (no usable page or name) or NULL where not checked.
     """
     df = cut(df)  # read three times below: to count the checks, to join them, and for the result
     checks = df.where("page_check").select(
         row_id, "url", is_title_artifact(F.col("media")).alias("_artifact")
     )
+    usable = pages.select("url", "final_url", "html").where(page_block_reason(F.col("html")).isNull())
+    if is_small(checks, "url") if broadcast is None else broadcast:
+        named = usable.join(F.broadcast(checks), "url")
+        name = outlet_from_page(F.col("html"), F.col("_artifact"))
+    else:
+        read = {f"_name_{flag}": outlet_from_page(F.col("html"), F.lit(flag)) for flag in (True, False)}
+        named = usable.select("url", "final_url", *[c.alias(n) for n, c in read.items()]).join(checks, "url")
+        name = F.when(F.col("_artifact"), F.col("_name_True")).otherwise(F.col("_name_False"))
     found = (
-        pages.select("url", "final_url", "html")
-        .where(page_block_reason(F.col("html")).isNull())
-        .join(broadcast_if_small(checks, "url"), "url")
-        .select(
+        named.select(
             row_id,
-            outlet_from_page(F.col("html"), F.col("_artifact")).alias("_name"),
+            name.alias("_name"),
             F.when(
                 (F.col("final_url") != "") & ~is_redirect(F.col("final_url")), F.col("final_url")
             ).alias("_final"),

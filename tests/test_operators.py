@@ -240,7 +240,8 @@ def test_tiers(spark):
 
 # --- outlet correction ------------------------------------------------------------------------------------------
 
-def test_verification(spark):
+@pytest.mark.parametrize("broadcast", [None, False])
+def test_verification(spark, broadcast):
     rows = [
         (0, "news.cnr.cn", "https://x/0", "news"), (1, "搜狐", "https://news.cctv.com/1", "news"), (2, "搜狐", "https://s.com/2", "news"),
         (3, "搜狐", "https://s.com/2", "news"), (4, "未知来源", "https://s.com/4", "news"), (5, "搜狐", "https://s.com/2", "wechat"),
@@ -253,7 +254,10 @@ def test_verification(spark):
         ("https://s.com/4", "", "来源：人民之声" + "安全验证" + pad),
         ("https://s.com/7", "https://news.google.com/x", '<meta name="source" content="搜狐新闻">' + pad),
     ], "url string, final_url string, html string")
-    done = verify.correct_by_page(verify.flag_page_checks(verify.correct_by_domain(df)), pages)
+    done = verify.correct_by_page(verify.flag_page_checks(verify.correct_by_domain(df)), pages, broadcast=broadcast)
+    if broadcast is False:
+        plan = done._jdf.queryExecution().executedPlan().toString()
+        assert not [line for line in plan.splitlines() if "Exchange" in line and "html" in line]
     got = {r["ord"]: (r["media"], r["url"], r["page_result"]) for r in done.collect()}
     assert got[0] == ("央广网", "https://x/0", None) and got[1][0] == "央视网"
     assert got[2] == ("新华日报", "https://final.com/2", "corrected") and got[3] == ("搜狐", "https://s.com/2", None)
@@ -308,3 +312,42 @@ def test_projects_without_articles_count_zero(spark):
     kept = spark.createDataFrame([("甲",), ("甲",)], "project string")
     got = {r["keyword"]: (r["n_kept"], r["n_raw"]) for r in report.count_by_project(asked, kept, kept).collect()}
     assert got == {"a": (2, 2), "b": (0, 0)}
+
+
+@pytest.mark.parametrize("inline", [100, 0])
+def test_blank_and_tied_keys_mean_the_same_in_both_plans(spark, inline):
+    from newsgauge.operators.lookup import first_match, match_terms
+
+    entries = spark.createDataFrame([(1, "", "EMPTY"), (2, "b", "B2"), (2, "a", "A2"), (3, "abc", "EXACT"), (1, "  ", "BLANK")], "ord int, key string, value string")
+    names = spark.createDataFrame([("abc",), ("zzz",), ("xba",)], "name string")
+    for both in (False, True):
+        got = {r["name"]: r["value"] for r in first_match(names, "name", entries, both, inline).collect()}
+        assert got == {"abc": "EXACT", "zzz": None, "xba": "A2"}
+    articles = spark.createDataFrame([(1, "text b here"), (2, "other")], "id long, body string")
+    terms = spark.createDataFrame([("",), ("b",), (" ",)], "term string")
+    from pyspark.sql import functions as F
+
+    got = [(r["id"], r["term"]) for r in match_terms(articles, F.col("body"), "id", terms, inline).collect()]
+    assert got == [(1, "b")]
+
+
+def test_common_reasons_and_scores_are_split_over_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from newsgauge.operators import report, score
+
+    rows = spark.range(20_000, numPartitions=4).select(F.col("id").alias("ord"), F.when(F.col("id") % 10 == 0, "甲").otherwise("乙").alias("filter_reason"), F.lit(20).alias("score"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for out in (report.sort_rejected(rows), score.good_reports(rows)):
+            sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+            assert len(sizes) == 4 and max(sizes) < 2 * sum(sizes) / len(sizes)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_long_counts_and_wide_blanks_in_relative_dates(apply):
+    from newsgauge.functions.dates import normalise_date
+
+    got = apply(lambda c: normalise_date(c, "2024-03-05T02:30:00"), ["1234567分钟前", "3　天前", "3 天前", "99999999999999999999天前", "9999999999天前"])
+    assert got == ["2021-10-29", "2024-03-02", "2024-03-02", "99999999999999999999天前", "9999999999天前"]
