@@ -170,7 +170,7 @@ f3 AS (SELECT *, CASE WHEN r2 IS NULL AND score < 0 THEN '报道评分不足' EL
 f4 AS (SELECT *, CASE WHEN r3 IS NULL THEN {_tier('media')} END AS cat1 FROM f3),
 f5 AS (SELECT * REPLACE (CASE WHEN contains(url, 'news.google.com') AND md5(url)[1] < '8'
     THEN 'https://www.thepaper.cn/' || md5(url) ELSE url END AS url), CASE WHEN r3 IS NULL AND cat1 = '个人账号' THEN '个人账号' ELSE r3 END AS r5 FROM f4),
-f6 AS (SELECT *, row_number() OVER (PARTITION BY r5 IS NULL, substr(url, 1, 120)
+f6 AS (SELECT *, row_number() OVER (PARTITION BY r5 IS NULL, url
     ORDER BY keyword_rank, {k.tier_rank('cat1')}, score DESC, date DESC, ord) AS owner FROM f5),
 f7 AS (SELECT * REPLACE ({_KEPT_URL} AS url), r5 IS NULL AND owner > 1 AS elsewhere, r5 IS NULL AND owner = 1 AS live FROM f6),
 f8 AS (SELECT * REPLACE (CASE WHEN live AND source = 'news' AND {k.unreliable('media')} THEN COALESCE({_DOMAIN_NAME}, media) ELSE media END AS media),

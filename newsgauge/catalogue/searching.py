@@ -10,6 +10,7 @@ from newsgauge.catalogue.registry import query, table
 from newsgauge.catalogue.views import ARTICLES_SQL, SUBJECT_ROWS, articles, sql_rows, subjects
 from newsgauge.operators import keywords as kw
 from newsgauge.operators.lookup import INLINE_TERMS, match_terms
+from newsgauge.plans.request import requested_articles
 from newsgauge.plans.search import search_articles
 
 
@@ -155,3 +156,19 @@ def term_matches_large(spark, sf):
     return _matches(spark, sf, 0)
 
 
+
+
+# the first three queries generated for each keyword from SUBJECT_ROWS
+_REQUEST = ((0, "en", ("ing the ", "English desk", "en")), (1, "fr", ("Bureau", "fr", "bureau")),
+            (2, "de", ("Redaktion Deutschland", "de", "Redaktion Deutschland " + " ".join(v.NEWS_WORDS[:3]))))
+_REQUEST_SQL = sql_rows(tuple((r, k, i, q) for r, k, qs in _REQUEST for i, q in enumerate(qs)), "keyword_rank, keyword, query_rank, term")
+
+
+@query("requested_articles", f"""
+WITH h AS (SELECT q.*, a.ord, row_number() OVER (PARTITION BY q.keyword, q.query_rank ORDER BY a.date DESC, a.ord) AS pos
+  FROM {ARTICLES_SQL} a JOIN {_REQUEST_SQL} q ON contains(a.title || a.snippet, q.term)),
+f AS (SELECT *, row_number() OVER (PARTITION BY keyword, ord ORDER BY query_rank, pos) AS n FROM h WHERE pos <= 40)
+SELECT keyword, ord AS landed_ord, row_number() OVER (ORDER BY keyword_rank, query_rank, pos, ord) AS ord FROM f WHERE n = 1""")
+def requested(spark, sf):
+    asked = spark.createDataFrame([(k, r) for r, k, _ in _REQUEST], "keyword string, keyword_rank int")
+    return requested_articles(articles(spark, sf), asked, subjects(spark)).select("keyword", "landed_ord", "ord")

@@ -58,25 +58,26 @@ def dropped(df: DataFrame, kept: DataFrame, column: str = "url") -> DataFrame:
     return df.join(kept.select(column).distinct(), column, "left_anti").select(*df.columns)
 
 
-def by_url_or_title(df: DataFrame, order: str = "ord", within: list[str] | None = None, n: int = 100) -> DataFrame:
-    """One row per first ``n`` characters of the link, or of the title where there is no link."""
-    key = F.substring(F.coalesce(blank_to_null(F.col("url")), F.col("title")), 1, n)
+def by_url_or_title(df: DataFrame, order: str = "ord", within: list[str] | None = None, n: int | None = None) -> DataFrame:
+    """One row per link, or title where there is no link; of either the first ``n`` characters if given."""
+    key = url_prefix(F.coalesce(blank_to_null(F.col("url")), F.col("title")), n)
     return keep_first(df, [*[F.col(c) for c in within or []], key], [F.col(order)])
 
 
-def url_prefix(url: Column, n: int = 120) -> Column:
-    return F.substring(url, 1, n)
+def url_prefix(url: Column, n: int | None = None) -> Column:
+    """The whole link, or its first ``n`` characters."""
+    return url if n is None else F.substring(url, 1, n)
 
 
-def by_url_prefix(df: DataFrame, order: list[Column], n: int = 120) -> DataFrame:
-    """One row per link prefix over all subjects; the first subject owns the row."""
+def by_url_prefix(df: DataFrame, order: list[Column], n: int | None = None) -> DataFrame:
+    """One row per link, or link prefix, over all subjects; the first subject owns the row."""
     return keep_first(df, [url_prefix(F.col("url"), n)], order)
 
 
-def by_link_then_title(df: DataFrame, order: str = "ord", within: list[str] | None = None) -> DataFrame:
-    """Account articles: link prefix first, then the exact trimmed title among the survivors."""
+def by_link_then_title(df: DataFrame, order: str = "ord", within: list[str] | None = None, n: int | None = None) -> DataFrame:
+    """Account articles: link (its first ``n`` characters if given) first, then the exact trimmed title among the survivors."""
     keys = [F.col(c) for c in within or []]
-    once = keep_first(df, [*keys, url_prefix(F.col("url"))], [F.col(order)])
+    once = keep_first(df, [*keys, url_prefix(F.col("url"), n)], [F.col(order)])
     return keep_first(once, [*keys, trim_ws(F.col("title"))], [F.col(order)])
 
 

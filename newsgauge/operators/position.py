@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from newsgauge.session import cut
+from newsgauge.session import cut_in_place
 
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the row's place in its partition here
 
@@ -19,7 +19,7 @@ def with_position(df: DataFrame, order: list[Column], group: list[str] | None =
     """
     group = group or []
     keys = [F.col(g).asc() for g in group] + list(order)
-    placed = cut(df.repartitionByRange(*keys).sortWithinPartitions(*keys))
+    placed = cut_in_place(df.repartitionByRange(*keys).sortWithinPartitions(*keys))
     placed = placed.select(
         "*",
         F.spark_partition_id().alias("_part"),

@@ -42,6 +42,7 @@ class Settings:
     own_accounts: str = v.OWN_ACCOUNT_PATTERN
     noise_rules: tuple = v.NOISE_RULES
     min_score: int = 0
+    link_chars: int | None = None             # compare links by so many characters; None: whole
 
     def __post_init__(self):
         self.date_from, self.date_to = check_range(self.date_from, self.date_to)
@@ -169,7 +170,7 @@ def coverage_report(articles: DataFrame, keywords: DataFrame, dims: Dimensions,
     # rows rejected by now are out; the others compete for a link across subjects
     rejected = F.col("filter_reason").isNotNull()
     key = F.when(rejected, F.concat(F.lit("r"), F.col("ord").cast("string"))).otherwise(
-        F.concat(F.lit("u"), dedup.url_prefix(F.col("url")))
+        F.concat(F.lit("u"), dedup.url_prefix(F.col("url"), settings.link_chars))
     )
     owner_order = [F.col("keyword_rank"), *report.report_order()]
     live = dedup.flag_first(live, [key], owner_order, "ord", "is_owner")

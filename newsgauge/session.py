@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,10 +38,20 @@ def use_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and go on from the written copy.
+    """Write ``df`` once to the shared folder and go on from the written copy.
 
     Used where a result is read by several later branches: each would otherwise recompute the whole
-    lineage. The copy is replicated storage, so losing executors does not lose it.
+    lineage. The copy is columnar, so branches read only their columns, and replicated storage, so losing
+    executors does not lose it.
     """
+    spark = df.sparkSession
+    use_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def cut_in_place(df: DataFrame) -> DataFrame:
+    """Like :func:`cut`, for a result whose partitions and their order are to stay as they are."""
     use_checkpoint_dir(df.sparkSession)
     return df.checkpoint()

@@ -119,3 +119,21 @@ def test_stages_nulls_and_blanks(spark):
     assert got == {1: ("kept", None, None), 2: ("filtered", "自定规则", "content"), 3: ("filtered", "未提到具体项目名", "precision")}
     assert [tuple(r)[1:] for r in report.funnel().collect()] == [(3, 2, 1, 1, 1)]
     assert [r["ord"] for r in unrequested_articles(articles, keywords).collect()] == [4]
+
+
+def test_request_end_to_end(spark):
+    """Keywords find their articles in a landed table and are reported; one article may serve two keywords."""
+    from newsgauge.plans.coverage import Dimensions, Settings
+    from newsgauge.plans.request import request_report
+
+    subjects = spark.createDataFrame([(1, "跨江大桥", ["甲"], ["跨江大桥"]), (2, "高速隧道", ["乙"], ["高速隧道"])], "ord int, primary string, aliases array<string>, terms array<string>")
+    rows = [
+        (7, "跨江大桥顺利合龙通车仪式", "https://a.example/1", "2024-01-02", "人民日报", "", "news"),
+        (8, "高速隧道全线贯通仪式举行", "https://a.example/2", "2024-01-03", "新华社", "跨江大桥", "news"),
+        (9, "无关内容的一篇长长报道", "https://a.example/3", "2024-01-03", "新华社", "", "news"),
+    ]
+    articles = spark.createDataFrame(rows, "ord long, title string, url string, date string, media string, snippet string, source string")
+    keywords = spark.createDataFrame([("甲", 0), ("乙", 1)], "keyword string, keyword_rank int")
+    report = request_report(articles, keywords, Dimensions(subjects), Settings("2024-01-01", "2024-02-01"))
+    got = sorted((r["project"], r["landed_ord"], r["status"]) for r in report.rows.collect())
+    assert got == [("跨江大桥", 7, "kept"), ("跨江大桥", 8, "kept"), ("高速隧道", 8, "owned_elsewhere")]

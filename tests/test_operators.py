@@ -128,7 +128,8 @@ def test_link_then_title(spark):
 
 def test_link_or_title(spark):
     df = articles(spark, [("", "甲", ""), ("", "甲", ""), ("u" * 120, "x", ""), ("u" * 110, "y", "")])
-    assert ids(dedup.by_url_or_title(df)) == [0, 2]
+    assert ids(dedup.by_url_or_title(df, n=100)) == [0, 2]
+    assert ids(dedup.by_url_or_title(df)) == [0, 2, 3]
 
 
 def merged_by_hand(rows, limit=None):

@@ -125,3 +125,24 @@ def test_streams_and_batches_share_their_guards(spark):
     assert parse_landing(landed, "rss", "2024-03-05T02:00:00").count() == 0
     got = sorted((r["engine"] or "", r["block_reason"]) for r in rejected_payloads(landed).collect())
     assert got == [("", "unknown_engine"), ("other", "unknown_engine"), ("rss", "too_short")]
+
+
+def test_account_queries_can_share_the_places(spark):
+    import json
+
+    from newsgauge.plans import search
+
+    def page(query):
+        return json.dumps({"query": query})
+
+    rows = [("wechat_api", "甲", 0, q, 1, page(q)) for q in (0, 1)]
+    landed = spark.createDataFrame(rows, "engine string, keyword string, keyword_rank int, query_rank int, page_no int, body string")
+    parsed = landed.selectExpr("*", "body AS payload", "0 AS engine_rank", "explode(sequence(1, 9)) AS pos").drop("body").selectExpr(
+        "*", "concat('https://a/', query_rank, '/', pos) AS url", "concat('标题', query_rank, pos) AS title")
+    original, search._parse = search._parse, lambda *a: parsed
+    try:
+        got = {share: sorted(r["url"] for r in search.wechat_articles(landed, "2024-03-05T02:00:00", 6, share).collect()) for share in (False, True)}
+    finally:
+        search._parse = original
+    assert got[False] == [f"https://a/0/{n}" for n in range(1, 7)]
+    assert got[True] == [f"https://a/{q}/{n}" for q in (0, 1) for n in (1, 2, 3)]
