@@ -308,7 +308,8 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, words: int = 5, tolera
     are compared in pairs of blocks of bounded size (``bucket_rows`` nodes, ``block_shingles`` shingles).
 
     A document without words, null or empty, is linked to none and is its own group, as is a row without
-    an id (whose ids here are null). Rows that repeat an id and a text are copies of each other. An empty
+    an id (whose ids here are null). Rows that repeat an id and a text are copies of each other; an id stands for
+    one text. An empty
     table gives no rows. Other columns are ignored, whatever their names. Ids are whole numbers.
     """
     profiles = staged(_profiles(docs, words, id_col, text_col), "profiles")
