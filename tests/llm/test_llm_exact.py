@@ -173,6 +173,7 @@ def test_streamed_pieces_are_the_librarys(pieces, text):
     marked = (" " + text).replace(" ", "▁")
     streamed = [i for p in own._streamed(marked) for i in own.model.ids_of(p)]
     assert not text or streamed == other.encode(text)
+    assert own.model.path(marked) == list(own._streamed(marked))
     assert own.model.merged(marked) == list(own._streamed(marked))
 
 
