@@ -17,9 +17,14 @@ def domain_tier(name: Column, pairs=v.DOMAIN_TIERS) -> Column:
 
 
 def newspaper_tier(name: Column, cities=(), provinces=v.PROVINCES) -> Column:
-    """Papers by place: a province or no known place is provincial, a city is local."""
+    """Papers by place: a province or no known place is provincial, a city is local.
+
+    ``cities``: their names, or whether the name contains one.
+    """
     tier = F.when(name.rlike(any_of(provinces)), v.PROVINCIAL)
-    if cities:
+    if isinstance(cities, Column):
+        tier = tier.when(cities, v.LOCAL)
+    elif cities:
         listed = constant_array([{"c": c} for c in cities], "c:string")
         tier = tier.when(F.exists(listed, lambda e: F.contains(name, e["c"])), v.LOCAL)
     return F.when(name.rlike(any_of(v.PAPER_WORDS)), tier.otherwise(v.PROVINCIAL))
@@ -37,12 +42,20 @@ def label_tier(label: Column) -> Column:
 def classify_outlets(names: DataFrame, dictionary: DataFrame | None = None, cities=(),
                      labels: DataFrame | None = None) -> DataFrame:
     """Tier per outlet of a table with distinct ``media``: dictionary, domain, place and industry
-    rules, then the external labels for what is left. Adds ``category`` and ``labelled``."""
+    rules, then the external labels for what is left. Adds ``category`` and ``labelled``.
+
+    ``cities`` is a list of names or a table with a column ``city``, of any size.
+    """
     outlets = names.select("media", trim_ws(F.col("media")).alias("_name"))
     if dictionary is None:
         outlets = outlets.withColumn("value", F.lit(None).cast("string"))
     else:
         outlets = first_match(outlets, "_name", dictionary, both_ways=True)
+    if isinstance(cities, DataFrame):
+        listed = cities.select(F.lit(0).alias("ord"), F.col("city").alias("key"), F.lit(v.LOCAL).alias("value"))
+        outlets = first_match(outlets.withColumnRenamed("value", "_listed"), "_name", listed)
+        outlets = outlets.withColumnsRenamed({"value": "_city", "_listed": "value"})
+        cities = F.col("_city").isNotNull()
     name = F.col("_name")
     rules = F.coalesce(
         F.col("value"), domain_tier(name), newspaper_tier(name, cities), industry_tier(name),

@@ -31,7 +31,7 @@ class Dimensions:
     labels: DataFrame | None = None           # media, category
     resolved: DataFrame | None = None         # url, final_url
     pages: DataFrame | None = None            # url, final_url, html; one row per url
-    cities: tuple[str, ...] = ()
+    cities: tuple[str, ...] | DataFrame = ()  # names, or a table: city
 
 
 @dataclass

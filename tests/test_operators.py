@@ -352,3 +352,14 @@ def test_long_counts_and_wide_blanks_in_relative_dates(apply):
 
     got = apply(lambda c: normalise_date(c, "2024-03-05T02:30:00"), ["1234567分钟前", "3　天前", "3 天前", "99999999999999999999天前", "9999999999天前"])
     assert got == ["2021-10-29", "2024-03-02", "2024-03-02", "99999999999999999999天前", "9999999999天前"]
+
+
+@pytest.mark.parametrize("inline", [2000, 0])
+def test_cities_come_from_a_table(spark, monkeypatch, inline):
+    names = ["宁波晚报", "浙江日报", "某某日报", "浙江宁波日报", "宁波台"]
+    outlets = spark.createDataFrame([(n,) for n in names], "media string")
+    cities = spark.createDataFrame([("宁波",), ("", ), ("温州",)], "city string")
+    monkeypatch.setattr(lookup, "INLINE_CHARS", inline)
+    got = {r["media"]: r["category"] for r in classify.classify_outlets(outlets, cities=cities).collect()}
+    want = {r["media"]: r["category"] for r in classify.classify_outlets(outlets, cities=("宁波", "温州")).collect()}
+    assert got == want and got["宁波晚报"] == v.LOCAL and got["某某日报"] == v.PROVINCIAL
