@@ -79,6 +79,32 @@ class PieceModel:
             known = self.pairs[left, right] = self.merged(left + right) == [left, right]
         return known
 
+    def path(self, text: str) -> list[str]:
+        """The pieces of a text short enough to hold as a whole: the pass of StreamEncoder without commits."""
+        known, tails, pairs, follows = self.ids, self.tails, self.pairs, self.may_follow
+        last: list[str | None] = [None]
+        for end in range(1, len(text) + 1):
+            for n in tails.get(text[end - 2:end] if end > 1 else "", _ONE):
+                start = end - n
+                if start < 0 or (before := last[start]) is None and start:
+                    continue
+                piece = text[start:end]
+                if n > 1 and piece not in known:
+                    continue
+                if start:
+                    fits = pairs.get((before, piece))
+                    if not (follows(before, piece) if fits is None else fits):
+                        continue
+                last.append(piece)
+                break
+            else:
+                last.append(None)
+        out, at = [], len(text)
+        while at:
+            out.append(last[at])
+            at -= len(last[at])
+        return out[::-1]
+
     def ids_of(self, piece: str) -> list[int]:
         if piece in self.ids:
             return [self.ids[piece]]
@@ -156,7 +182,7 @@ class StreamEncoder:
 class PieceCodec:
     """Whole texts to ids and back. Encoded words are remembered, up to a bounded number of them."""
 
-    def __init__(self, name: str = PIECES, entries: int = 500_000, word: int = 48):
+    def __init__(self, name: str = PIECES, entries: int = 800_000, word: int = 48):
         self.model = PieceModel(name)
         self.entries, self.word = entries, word
         self.words: dict[str, bytes] = {}
@@ -168,7 +194,8 @@ class PieceCodec:
 
     def _bytes(self, marked: str) -> bytes:
         code = self.model.code
-        return b"".join([code.get(piece) or np.array(self.model.ids_of(piece), "<u4").tobytes() for piece in self._streamed(marked)])
+        pieces = self.model.path(marked) if len(marked) <= 2 * self.model.longest else self._streamed(marked)
+        return b"".join([code.get(piece) or np.array(self.model.ids_of(piece), "<u4").tobytes() for piece in pieces])
 
     def _remembered(self, part: str) -> bytes:
         out = self.words.get(part)
