@@ -31,8 +31,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     smallest and largest text, which are equal unless the hash collides; the rows of a colliding hash
     are grouped by the text itself. Groups are aggregated before the shuffle, so a text that a third of
     all rows carry sends one row per task; the rows of a hot text meet their group in a join of narrow
-    rows (but for ``keep``), whose large partitions adaptive execution splits. The groups are written once, so that Spark
-    knows how few hashes collide before it plans the join of the texts with them.
+    rows (but for ``keep``), whose large partitions adaptive execution splits. The colliding hashes are
+    written for themselves, so that Spark knows how few they are before it joins the texts with them.
 
     A null text counts as empty, and all empty texts are one group. Rows that repeat an id and a text
     are one document: if it stays, all its rows are marked. An empty table gives an empty result. Other
@@ -53,7 +53,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return out.select(*by, F.col("_best.id").alias("keep_id"), "group_size", (F.col("_low") != F.col("_high")).alias("_collides"))
 
     classes = staged(groups(full, "_hash"), "exact-classes")
-    colliding = classes.where("_collides").select("_hash")
+    colliding = staged(classes.where("_collides").select("_hash"), "colliding-hashes")
 
     plain = narrow.join(classes.where("not _collides"), "_hash")
     odd = full.join(colliding, "_hash", "left_semi").withColumn("text_sha256", F.sha2("_norm", 256))
