@@ -1,7 +1,8 @@
-"""Toxicity: a subsequence string kernel with Nyström landmarks, a support vector machine, calibrated scores."""
+"""Toxicity: a subsequence string kernel with Nyström landmarks, a support vector machine, stems, calibrated scores."""
 
 from __future__ import annotations
 
+import heapq
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator, Sequence
@@ -9,12 +10,18 @@ from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from newsgauge.llm.common import carried, given_back, in_slices, query, table, text_of
+from newsgauge.llm.common import carried, given_back, in_slices, query, staged, table, text_of
 
 LONGEST, OVERLAP, SPAN, DECAY = 20, 10, 7, 0.6
+SHORTEST_STEM, LONGEST_STEM = 4, 9
+#: How many standard deviations beyond chance a stem's toxic sentences are; and the least log-odds it adds.
+SURE, LEAST_ODDS = 6.0, 1.0
+#: What a word of a text costs against the log-odds of its stems; calibration takes the best.
+COSTS = (0.0, 0.005, 0.01, 0.015, 0.02, 0.03, 0.04)
 _SENTENCE = re.compile(r"[.!?]+\s|\n")
 _DIGITS = dict(zip("013457", "oieast"))
 
@@ -108,15 +115,104 @@ def kernel_rows(words: list[str]) -> np.ndarray:
     return out
 
 
+def toxic_stems(hits: pd.DataFrame, chance: float) -> dict[str, float]:
+    """The log-odds of each stem that speaks for toxic sentences, from the words that hold it.
+
+    ``hits`` has a row for each stem and word, with the word's number of toxic and clean sentences. The
+    surest stem, of equal ones the longest, is taken first and its words are taken from all others, so
+    that none counts for what another explains.
+    """
+    stem, stems = pd.factorize(hits["stem"])
+    word, words = pd.factorize(hits["word"])
+    first = np.zeros(len(words), int)
+    first[word[::-1]] = np.arange(len(word))[::-1]
+    counts = hits[["toxic", "clean"]].to_numpy(float)[first]
+    holds: list[list[int]] = [[] for _ in stems]
+    within: list[list[int]] = [[] for _ in words]
+    for s, w in zip(stem.tolist(), word.tolist()):
+        holds[s].append(w)
+        within[w].append(s)
+    sums = np.array([counts[ws].sum(axis=0) for ws in holds]).reshape(-1, 2)
+    queue = [(-beyond_chance(*sums[s], chance), -len(stems[s]), stems[s], s) for s in range(len(stems))]
+    heapq.heapify(queue)
+    left, out = np.ones(len(words), bool), {}
+    while queue and -queue[0][0] >= SURE:
+        z, _, name, s = heapq.heappop(queue)
+        if -z != beyond_chance(*sums[s], chance):
+            continue
+        odds = np.log((sums[s][0] + 0.5) / (sums[s][1] + 0.5)) - np.log(chance / (1 - chance))
+        if odds < LEAST_ODDS:
+            continue
+        out[name] = float(odds)
+        changed = set()
+        for w in holds[s]:
+            if left[w]:
+                left[w] = False
+                for other in within[w]:
+                    sums[other] -= counts[w]
+                    changed.add(other)
+        for other in changed - {s}:
+            heapq.heappush(queue, (-beyond_chance(*sums[other], chance), -len(stems[other]), stems[other], other))
+    return out
+
+
+def beyond_chance(toxic, clean, chance):
+    """Standard deviations of the toxic count beyond what its total gives by chance; numbers or columns."""
+    total = toxic + clean
+    return (toxic - total * chance) / (total * (chance * (1 - chance)) + 1) ** 0.5
+
+
+class Stems:
+    """Finds stems in words: runs of letters anywhere, or behind ^ at a word's start. A word has the odds of its surest stem."""
+
+    def __init__(self, odds: dict[str, float]):
+        self.tables = []
+        for n in range(SHORTEST_STEM, LONGEST_STEM + 1):
+            for start in (False, True):
+                found = sorted((self._code(np.frombuffer(k.lstrip("^").encode(), np.uint8) - 97, np.zeros(1, int), n)[0], v)
+                               for k, v in odds.items() if len(k.lstrip("^")) == n and k.startswith("^") == start)
+                if found:
+                    self.tables.append((n, start, np.array([c for c, _ in found]), np.array([v for _, v in found], np.float32)))
+
+    @staticmethod
+    def _code(letters: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+        out = np.zeros(len(at), np.int64)
+        for i in range(n):
+            out = out * 26 + letters[at + i]
+        return out
+
+    def odds(self, words: Words) -> np.ndarray:
+        """For each word the log-odds of its surest stem, 0 without one."""
+        out = np.zeros(len(words.start), np.float32)
+        for n, start, codes, odds in self.tables:
+            rows = np.flatnonzero(words.length >= n)
+            if start:
+                at, word = words.start[rows], rows
+            else:
+                places = words.length[rows] - n + 1
+                word = np.repeat(rows, places)
+                at = words.start[word] + np.arange(len(word)) - np.repeat(np.cumsum(places) - places, places)
+            seen = self._code(words.letters, at, n)
+            place = np.minimum(np.searchsorted(codes, seen), len(codes) - 1)
+            found = np.flatnonzero(codes[place] == seen)
+            np.maximum.at(out, word[found], odds[place[found]])
+        return out
+
+
 @dataclass
 class Model:
     """``weights`` are the support vector machine's over subsequences: its sum over landmarks, each landmark's kernel
     being linear in the word's feature map, added up once. ``scale`` turns the best word and the number of hits of a
-    text into a log-odds."""
+    text into a log-odds; ``with_stems`` does so with the stems' odds too, ``cost`` being what each word takes from
+    them. The larger of both is the score, so that a word in a veiled spelling, which holds no stem, is worth what
+    the machine alone makes of it."""
 
     weights: np.ndarray
     bias: float
-    scale: tuple[float, float, float]
+    scale: tuple[float, ...]
+    stems: Stems
+    with_stems: tuple[float, ...] | None = None
+    cost: float = 0.0
 
     def margins(self, words: Words) -> np.ndarray:
         out = np.full(len(words.start), -1.0, np.float32)
@@ -128,21 +224,36 @@ class Model:
         return out
 
     def evidence(self, texts: list[str]) -> np.ndarray:
-        """For each text the cube of its best word's margin, within 0 and 2, and the logarithm of its number of sure hits.
+        """For each text the cube of its best word's margin, within 0 and 2, the logarithm of its number of sure hits,
+        the sum of its stems' odds, and its number of words.
 
         The cube keeps scores level where the machine is undecided, so that mislabelled documents do not tilt them.
+        A word that occurs again adds no odds.
         """
         words = words_of(texts)
         margin = self.margins(words)
         best, hits = np.full(len(texts), -1.0), np.zeros(len(texts))
         np.maximum.at(best, words.text, margin)
         np.add.at(hits, words.text[margin >= 1], 1)
-        return np.column_stack([np.clip(best, 0, 2) ** 3, np.log1p(hits)])
+        odds, of_word = np.zeros(len(texts)), self.stems.odds(words)
+        at = np.flatnonzero(of_word)
+        spelled = [words.letters[a:a + n].tobytes() for a, n in zip(words.start[at].tolist(), words.length[at].tolist())]
+        once = list({(t, w): i for t, w, i in zip(words.text[at].tolist(), spelled, at.tolist())}.values())
+        np.add.at(odds, words.text[once], of_word[once])
+        return np.column_stack([np.clip(best, 0, 2) ** 3, np.log1p(hits), odds, np.bincount(words.text, minlength=len(texts))])
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        a, b, c = self.scale
         e = self.evidence(texts)
-        return 1 / (1 + np.exp(-np.clip(a * e[:, 0] + b * e[:, 1] + c, -30, 30)))
+        z = _features(e) @ np.array(self.scale)
+        if self.with_stems:
+            z = np.maximum(z, _features(e, self.cost) @ np.array(self.with_stems))
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def _features(e: np.ndarray, cost: float | None = None) -> np.ndarray:
+    """What calibration weighs. With a cost, the odds of stems count as far as they exceed what so many words may hold by chance."""
+    stems = [] if cost is None else [np.clip(e[:, 2] - cost * e[:, 3], 0, 12)]
+    return np.column_stack([e[:, 0], e[:, 1], *stems, np.ones(len(e))])
 
 
 def _inserted(word: str, random: np.random.Generator) -> list[str]:
@@ -194,14 +305,15 @@ def train(words: list[str], toxic: np.ndarray, clean: np.ndarray, landmarks: int
     return ((to_features @ beta[:-1]) @ z).astype(np.float32), float(beta[-1])
 
 
-def _calibrated(e: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    x = np.column_stack([e, np.ones(len(e))])
-    beta = np.zeros(3)
+def _calibrated(x: np.ndarray, y: np.ndarray) -> tuple[tuple[float, ...], float]:
+    """The weights of the features, and the loss that is left with them."""
+    beta = np.zeros(x.shape[1])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(3)
+        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(beta))
         beta -= np.clip(np.linalg.solve(h, x.T @ (p - y) + 1e-2 * beta), -2, 2)
-    return tuple(float(b) for b in beta)
+    z = np.clip(x @ beta, -30, 30)
+    return tuple(float(b) for b in beta), float((np.logaddexp(0, z) - y * z).sum() + 5e-3 * beta @ beta)
 
 
 def fold(doc_id) -> F.Column:
@@ -213,9 +325,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_docs: int = 6000, le
                  text_col: str = "text", label_col: str = "toxic") -> Model | None:
     """Fit on at most ``sample_docs`` labelled documents outside fold 2, chosen by the hash of their ids.
 
-    Folds 0 and 1 train the machine, fold 3 calibrates. Sentences that occur again count once. Rows
-    without an id or label are left out; of several labels of one document the largest counts. None if
-    there are not both labels to learn from.
+    Folds 0 and 1 train the machine, fold 3 calibrates. Sentences that occur again count once. Stems are
+    counted over all words, however rare each is: a toxic stem may stand in no word twice. Rows without
+    an id or label are left out; of several labels of one document the largest counts. None if there are
+    not both labels to learn from.
     """
     chosen = (labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).where(fold(F.col(id_col)) != 2)
               .groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("label"))
@@ -236,25 +349,52 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_docs: int = 6000, le
 
     rows = given.where("fold < 2").select("label", "text").mapInArrow(sentences, "label int, word array<string>, sentence array<bigint>")
     rows = rows.select("label", F.explode(F.arrays_zip("word", "sentence")).alias("w")).select("label", "w.word", "w.sentence").distinct()
-    counts = (rows.groupBy("word").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
-              .where(F.col("toxic") + F.col("clean") >= least_sentences)
+    every = staged(rows.groupBy("word").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean")), "toxicity-words")
+    counts = (every.where(F.col("toxic") + F.col("clean") >= least_sentences)
               .orderBy(F.desc(F.col("toxic") + F.col("clean")), "word").limit(10 * sample_docs).toPandas())
     if counts.empty or counts["toxic"].sum() == 0 or counts["clean"].sum() == 0:
         return None
-    model = Model(*train(counts["word"].tolist(), counts["toxic"].to_numpy(float), counts["clean"].to_numpy(float)), (1.0, 0.0, 0.0))
+    model = Model(*train(counts["word"].tolist(), counts["toxic"].to_numpy(float), counts["clean"].to_numpy(float)), (1.0, 0.0, 0.0),
+                  Stems(fit_stems(every)))
+
+    kinds = ["best", "hits", "odds", "words"]
 
     def evidence(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             e = _in_chunks(batch.column("text").to_pylist(), model.evidence)
-            yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1]), batch.column("label")], names=["best", "hits", "label"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(e[:, i]) for i in range(4)), batch.column("label")], names=[*kinds, "label"])
 
-    seen = given.where("fold = 3").select("label", "text").mapInArrow(evidence, "best double, hits double, label int").toPandas()
+    seen = given.where("fold = 3").select("label", "text").mapInArrow(
+        evidence, "best double, hits double, odds double, words double, label int").toPandas()
     if seen["label"].nunique() < 2:
         return model
-    model.scale = _calibrated(seen[["best", "hits"]].to_numpy(), seen["label"].to_numpy(float))
+    e, y = seen[kinds].to_numpy(), seen["label"].to_numpy(float)
+    model.scale, _ = _calibrated(_features(e), y)
+    _, model.cost, model.with_stems = min((loss, cost, beta) for cost in COSTS for beta, loss in [_calibrated(_features(e, cost), y)])
     return model
 
 
+def fit_stems(counts: DataFrame) -> dict[str, float]:
+    """The stems that speak for toxic sentences, with their log-odds, from ``counts``: all words with their sentences.
+
+    A stem is a run of SHORTEST_STEM to LONGEST_STEM letters anywhere in a word or, with ^ before it, at
+    its start. Only those beyond chance come to the driver, with their words.
+    """
+    toxic, clean = counts.agg(F.sum("toxic"), F.sum("clean")).first()
+    if not toxic or not clean:
+        return {}
+    chance = toxic / (toxic + clean)
+    lengths = LONGEST_STEM - SHORTEST_STEM + 1
+    runs = (f"transform(sequence(0, length(word) * {lengths} - 1), i -> substring(word, i div {lengths} + 1, i % {lengths} + {SHORTEST_STEM}))")
+    starts = f"transform(sequence({SHORTEST_STEM}, {LONGEST_STEM}), n -> concat('^', left(word, n)))"
+    stems = F.expr(f"concat(filter(array_distinct({runs}), s -> length(s) >= {SHORTEST_STEM}), "
+                   f"filter(array_distinct({starts}), s -> length(s) > {SHORTEST_STEM}))")
+    held = counts.select("word", "toxic", "clean", F.explode(stems).alias("stem"))
+    beyond = (held.groupBy("stem").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
+              .where(beyond_chance(F.col("t"), F.col("c"), chance) >= SURE).select("stem"))
+    return toxic_stems(held.join(beyond, "stem").toPandas().sort_values(["stem", "word"], ignore_index=True), chance)
+
+
 def _digest(sentence: str) -> bytes:
     import xxhash
 

@@ -10,6 +10,7 @@ from itertools import combinations
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -210,6 +211,36 @@ def test_toxicity_on_folds_it_has_not_seen(spark, docs, no_docs):
     assert {r["score"] for r in toxicity.score_toxicity(table, None).collect()} == {0.0}
 
 
+def test_toxic_stems_with_changing_endings(spark):
+    draw = random.Random(6)
+    syllables = ["der", "und", "ein", "sch", "ach", "lich", "keit", "ung", "ver", "be", "ge", "en", "er", "zu", "tz", "pf", "ie", "au"]
+    def word(head=""):
+        return head + "".join(draw.choice(syllables) for _ in range(draw.randrange(2, 4)))
+    rows, labels = [], []
+    for i in range(900):
+        words = [word() for _ in range(60)]
+        bad = i % 6 == 0
+        for at in draw.sample(range(60), 3 if bad else int(i % 12 == 5)):  # clean texts hold the stem now and then
+            words[at] = word("kromul")
+        rows.append((i, ". ".join(" ".join(words[k:k + 10]) for k in range(0, 60, 10))))
+        labels.append((i, int(bad)))
+    model = toxicity.fit_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    unseen = [i for i in range(900) if zlib.crc32(str(i).encode()) % 4 == 2]
+    flagged = {i for i, s in zip(unseen, model.scores([rows[i][1] for i in unseen])) if s >= 0.3}
+    toxic = {i for i in unseen if i % 6 == 0}
+    assert len(flagged & toxic) >= 0.9 * len(toxic) and len(flagged - toxic) <= 0.02 * len(unseen)
+
+
+def test_stems_explain_words_once():
+    odds = toxicity.toxic_stems(pd.DataFrame(
+        [("abcde", "xabcde", 60, 0), ("bcdef", "xbcdef", 0, 30), ("abcde", "abcdef", 60, 0), ("bcdef", "abcdef", 60, 0)],
+        columns=["stem", "word", "toxic", "clean"]), 0.1)
+    assert list(odds) == ["abcde"]
+    found = toxicity.Stems({"abcde": 2.0, "^bcdef": 3.0, "^abcd": 1.0}).odds(toxicity.words_of(["xabcde abcdef bcdefg abcd x", "nothing", ""]))
+    assert found.tolist() == [2.0, 2.0, 3.0, 1.0, 0.0, 0.0]
+    assert toxicity.Stems({}).odds(toxicity.words_of([""])).tolist() == []
+
+
 # --- near copies
 
 def plain_join(rows, threshold=0.8):
