@@ -69,6 +69,20 @@ def test_boilerplate_without_an_article(spark, shard_chars):
     assert extract_main_text(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("few_runs", [200_000, 0])
+def test_repeats_are_those_of_the_whole_host(spark, few_runs):
+    """A passage on two pages of a host is seen in whichever shards they are; equal pages count as one."""
+    shared = "this passage stands on exactly two pages of the whole host"
+    rows = [(i, "http://a.example/%d" % i, f"<div>{shared if i in (3, 17) else ''} {i} alone {i * 7}</div>") for i in range(40)]
+    rows += [(i, "http://a.example/%d" % i, f"<article>{i if i < 52 else 52} {shared} of pages with an article</article>") for i in range(50, 54)]
+    rows += [(i, "http://b.example/%d" % i, "<div>one text that all pages of this other host have in full</div>") for i in range(60, 80)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    whole, dealt = (sorted(map(tuple, extract_main_text(pages, few_runs=few_runs, shard_chars=n).collect())) for n in (4_000_000, 60))
+    assert whole == dealt
+    assert {t for i, _, t, _ in dealt if i in (3, 17)} == {"3 alone 21", "17 alone 119"}
+    assert all(n >= 11 for i, _, _, n in dealt if 50 <= i < 54) and all(t.startswith("one text") for i, _, t, _ in dealt if i >= 60)
+
+
 def test_page_query(spark):
     for r, text in ((r, r["html"]) for r in spark.read.parquet(f"{SF}/pages.parquet").collect()):
         article = re.search(r"<article>(.*)</article>", text, re.DOTALL)[1]
