@@ -209,6 +209,11 @@ def json_payload(spark, sf):
     return table(spark, sf, "events").select("event_id", parsed.alias("k"))
 
 
+def page_of(doc_id):
+    """The result page a document stands for, as a LONG: later documents never come on earlier pages."""
+    return F.floor(doc_id / 60).cast("bigint")
+
+
 @query("landed_search")
 def landed_search(spark, sf):
     """All five engines end to end: each document is one result page of each engine for its language."""
@@ -221,7 +226,7 @@ def landed_search(spark, sf):
         F.col("source").alias("keyword"),
         F.regexp_extract("source", "[0-9]+", 0).cast("int").alias("keyword_rank"),
         F.pmod("doc_id", F.lit(3)).cast("int").alias("query_rank"),
-        F.pmod(F.floor(F.col("doc_id") / 60), F.lit(1 << 14)).cast("int").alias("page_no"),
+        page_of(F.col("doc_id")).alias("page_no"),
     )
     parts = [make(spark, sf).withColumn("engine", F.lit(engine)) for engine, make in docs.items()]
     bodies = parts[0]

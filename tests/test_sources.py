@@ -146,3 +146,18 @@ def test_account_queries_can_share_the_places(spark):
         search._parse = original
     assert got[False] == [f"https://a/0/{n}" for n in range(1, 7)]
     assert got[True] == [f"https://a/{q}/{n}" for q in (0, 1) for n in (1, 2, 3)]
+
+
+def test_page_numbers_do_not_wrap(spark):
+    from pyspark.sql import functions as F
+
+    from newsgauge.catalogue.parsing import page_of
+    from newsgauge.plans.search import news_articles
+
+    ids = [0, 59, 60, 983_039, 983_040, 60 << 33]
+    got = [r["p"] for r in spark.createDataFrame([(i,) for i in ids], "i long").select("i", page_of(F.col("i")).alias("p")).orderBy("i").collect()]
+    assert got == [0, 0, 1, 16_383, 16_384, 1 << 33]
+    rows = [("rss", "k", 0, 0, page, f"<rss><item><title><![CDATA[{title}]]></title><link>https://a.com/{page}</link></item>{' ' * 2000}</rss>")
+            for page, title in ((1 << 33, "桥梁建设完成通车"), (3, "新的学校今天开学"))]
+    landed = spark.createDataFrame(rows, "engine string, keyword string, keyword_rank int, query_rank int, page_no long, body string")
+    assert [r["title"] for r in news_articles(landed, "2026-08-14T00:00:00", max_per_query=1).collect()] == ["新的学校今天开学"]
