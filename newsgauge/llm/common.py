@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,6 +77,19 @@ def in_slices(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa
             yield batch.slice(at, rows)
 
 
+def in_slices_of(batches: Iterable[pa.RecordBatch], column: str, size: int) -> Iterator[pa.RecordBatch]:
+    """Smaller batches of consecutive rows whose binary ``column`` holds at most ``size`` bytes, or of one row."""
+    for batch in batches:
+        at = held = 0
+        for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
+            if held and held + n > size:
+                yield batch.slice(at, i - at)
+                at, held = i, 0
+            held += n
+        if at < batch.num_rows:
+            yield batch.slice(at)
+
+
 def in_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Tables of the rows of one key each, from batches sorted by the keys.
 
