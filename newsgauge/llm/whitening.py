@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from newsgauge.llm.common import query, staged, table
 
 LARGEST = 1 << 52  # whole numbers up to here are exact as doubles
-EXACT = np.finfo(float).eps
+EXACT = 8 * np.finfo(float).eps
 
 
 @dataclass
