@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from newsgauge import values as v
 from newsgauge.catalogue import checks as k
-from newsgauge.catalogue.registry import query, table
+from newsgauge.catalogue.deduping import merge_sql
+from newsgauge.catalogue.registry import ORACLE, query, table
 from newsgauge.catalogue.views import ARTICLES_SQL, AS_OF, articles, quote
 from newsgauge.operators.report import source_counts
 from newsgauge.plans.search import request_articles as build_request
@@ -214,9 +215,36 @@ def page_of(doc_id):
     return F.floor(doc_id / 60).cast("bigint")
 
 
-@query("landed_search")
-def landed_search(spark, sf):
-    """All five engines end to end: each document is one result page of each engine for its language."""
+def _landed_sql(limited: bool) -> str:
+    """The rows of all engines as the checking engine parses them, merged per keyword, perhaps cut, and numbered."""
+    pages = """(SELECT doc_id, source AS keyword, regexp_extract(source, '[0-9]+')::INT AS keyword_rank, doc_id % 3 AS q, doc_id // 60 AS page_no FROM documents)"""
+    short = {"rss": (_RSS_ITEM, "<rss></rss>", 200, ""), "wechat_html": (_BLOCK, "<html></html>", 1000, "OR bool_or(regexp_matches(line, '请输入验证码|antispider'))")}
+    out = []
+    for engine, (parsed, rank) in {"news_html": ("news_html_parse", 0), "rss": ("rss_parse", 1), "news_api": ("news_api_parse", 2),
+                                   "wechat_api": ("wechat_api_parse", 0), "wechat_html": ("wechat_html_parse", 1)}.items():
+        usable = ""
+        if engine in short:
+            item, frame, least, challenge = short[engine]
+            usable = (f" WHERE doc_id NOT IN (WITH {_LINES_SQL} SELECT doc_id FROM lines GROUP BY doc_id HAVING "
+                      f"sum(length({item.replace(' x, ', ' line, ')})) + {len(frame)} < {least} {challenge})")
+        out.append(f"SELECT '{engine}' AS engine, {rank} AS e, doc_id, pos, title, url, date, media, snippet FROM ({ORACLE[parsed]}){usable}")
+    every = f"(SELECT r.*, p.* EXCLUDE (doc_id), row_number() OVER (ORDER BY page_no, doc_id, pos) AS ord FROM ({' UNION ALL '.join(out)}) r JOIN {pages} p USING (doc_id))"
+    news = "(SELECT * FROM every WHERE engine IN ('news_html', 'rss', 'news_api'))"
+    key = k.canonical("url")
+    merged = merge_sql(news, f"substr({key}, 1, 150)", v.MAX_PER_QUERY, v.MAX_NEWS_PER_SUBJECT) if limited else merge_sql(news, key)
+    return merged.replace("WITH a AS", f"WITH every AS MATERIALIZED {every}, a AS", 1) + f""",
+n AS (SELECT keyword, 0 AS kind, generate_subscripts(ls, 1) AS place, unnest(list_transform(ls, lambda l: l.r.c)) AS ord FROM m2),
+once AS (SELECT *, row_number() OVER (PARTITION BY keyword, url ORDER BY e, q, ord) AS rl FROM every WHERE engine IN ('wechat_api', 'wechat_html')),
+twice AS (SELECT *, row_number() OVER (PARTITION BY keyword, {k.trim('title')} ORDER BY e, q, ord) AS rt FROM once WHERE rl = 1),
+w AS (SELECT keyword, 1 AS kind, row_number() OVER (PARTITION BY keyword ORDER BY e, q, ord) AS place, e, ord FROM twice WHERE rt = 1{f" QUALIFY place <= {v.MAX_WECHAT_PER_SUBJECT}" if limited else ""}),
+both_ AS (SELECT x.*, t.keyword_rank, t.title, t.url, t.date, t.media, t.snippet FROM n x JOIN every t ON t.ord = x.ord AND t.engine IN ('news_html', 'rss', 'news_api')
+  JOIN u1 ON u1.keyword = x.keyword AND u1.item.r.b = x.ord AND u1.item.r.a = t.e AND u1.item.r.title = t.title
+  UNION ALL SELECT w.keyword, kind, place, w.ord, t.keyword_rank, t.title, t.url, t.date, t.media, t.snippet FROM w JOIN every t ON t.ord = w.ord AND t.e = w.e AND t.engine IN ('wechat_api', 'wechat_html'))
+SELECT row_number() OVER (ORDER BY keyword_rank, keyword, kind, place) AS ord, keyword, CASE kind WHEN 0 THEN 'news' ELSE 'wechat' END AS source, title, url, date, media, snippet FROM both_"""
+
+
+def _landed(spark, sf):
+    """Each document as one result page of each engine for its source, fetched in order."""
     docs = {
         "news_html": news_payloads, "rss": rss_payloads, "news_api": news_api_payloads,
         "wechat_api": api_payloads, "wechat_html": wechat_payloads,
@@ -227,13 +255,27 @@ def landed_search(spark, sf):
         F.regexp_extract("source", "[0-9]+", 0).cast("int").alias("keyword_rank"),
         F.pmod("doc_id", F.lit(3)).cast("int").alias("query_rank"),
         page_of(F.col("doc_id")).alias("page_no"),
+        F.lpad(F.col("doc_id").cast("string"), 19, "0").alias("fetched_at"),
     )
     parts = [make(spark, sf).withColumn("engine", F.lit(engine)) for engine, make in docs.items()]
     bodies = parts[0]
     for other in parts[1:]:
         bodies = bodies.unionByName(other)
-    landed = bodies.join(where, "doc_id").drop("doc_id")
-    return build_request(landed, AS_OF)
+    return bodies.join(where, "doc_id").drop("doc_id")
+
+
+@query("landed_search", _landed_sql(True))
+def landed_search(spark, sf):
+    """All five engines end to end, with lists of limited length and links compared by their first 150 characters."""
+    found = build_request(_landed(spark, sf), AS_OF, max_per_query=v.MAX_PER_QUERY, max_news=v.MAX_NEWS_PER_SUBJECT,
+                          max_accounts=v.MAX_WECHAT_PER_SUBJECT, news_link_chars=150)
+    return found.select("ord", "keyword", "source", *_FIELDS)
+
+
+@query("landed_search_whole", _landed_sql(False))
+def landed_search_whole(spark, sf):
+    """All five engines end to end, with whole lists and links."""
+    return build_request(_landed(spark, sf), AS_OF).select("ord", "keyword", "source", *_FIELDS)
 
 
 @query("landed_rejects", """

@@ -187,7 +187,7 @@ def links(spark, sf):
 @query("url_canonical", f"SELECT page_id, copy, {k.canonical('url')} AS url_key, substr({k.canonical('url')}, 1, 150) AS dedup_key FROM {_LINKS_SQL}")
 def url_canonical(spark, sf):
     return links(spark, sf).select(
-        "page_id", "copy", urls.canonical_url(F.col("url")).alias("url_key"), urls.dedup_url(F.col("url")).alias("dedup_key")
+        "page_id", "copy", urls.canonical_url(F.col("url")).alias("url_key"), urls.dedup_url(F.col("url"), 150).alias("dedup_key")
     )
 
 

@@ -131,7 +131,7 @@ _TERMS_SQL = f"(SELECT min(item_id)::VARCHAR AS keyword, {_TERM} AS term FROM be
 @query("term_search", f"""
 WITH h AS (SELECT t.keyword, t.term, a.ord, row_number() OVER (PARTITION BY t.keyword ORDER BY a.date DESC, a.ord) AS pos
   FROM {ARTICLES_SQL} a JOIN {_TERMS_SQL} t ON contains(a.title || a.snippet, t.term))
-SELECT keyword, term, ord, pos FROM h WHERE pos <= 40""")
+SELECT keyword, term, ord, pos FROM h""")
 def term_search(spark, sf):
     hits = search_articles(articles(spark, sf), _terms(spark, sf))
     return hits.select("keyword", "term", "ord", F.col("pos").cast("long").alias("pos"))
@@ -167,7 +167,7 @@ _REQUEST_SQL = sql_rows(tuple((r, k, i, q) for r, k, qs in _REQUEST for i, q in
 @query("requested_articles", f"""
 WITH h AS (SELECT q.*, a.ord, row_number() OVER (PARTITION BY q.keyword, q.query_rank ORDER BY a.date DESC, a.ord) AS pos
   FROM {ARTICLES_SQL} a JOIN {_REQUEST_SQL} q ON contains(a.title || a.snippet, q.term)),
-f AS (SELECT *, row_number() OVER (PARTITION BY keyword, ord ORDER BY query_rank, pos) AS n FROM h WHERE pos <= 40)
+f AS (SELECT *, row_number() OVER (PARTITION BY keyword, ord ORDER BY query_rank, pos) AS n FROM h)
 SELECT keyword, ord AS landed_ord, row_number() OVER (ORDER BY keyword_rank, query_rank, pos, ord) AS ord FROM f WHERE n = 1""")
 def requested(spark, sf):
     asked = spark.createDataFrame([(k, r) for r, k, _ in _REQUEST], "keyword string, keyword_rank int")

@@ -57,9 +57,10 @@ def canonical_url(url: Column, trim: bool = True) -> Column:
     ).otherwise(trim_ws(bare) if trim else bare)
 
 
-def dedup_url(url: Column, n: int = 150) -> Column:
-    """Canonical key cut to ``n`` characters, as the near-duplicate merge compares it."""
-    return F.substring(canonical_url(url, trim=False), 1, n)
+def dedup_url(url: Column, n: int | None = None) -> Column:
+    """Canonical key as the near-duplicate merge compares it: whole, or its first ``n`` characters."""
+    key = canonical_url(url, trim=False)
+    return key if n is None else F.substring(key, 1, n)
 
 
 def is_http(url: Column) -> Column:

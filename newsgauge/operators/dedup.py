@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from newsgauge import values as v
-from newsgauge.functions.similarity import chars_similarity, title_chars
+from newsgauge.functions.similarity import title_chars
 from newsgauge.functions.text import blank_to_null, trim_ws
 from newsgauge.functions.urls import canonical_url, dedup_url
 from newsgauge.operators.joins import salt_of
+from newsgauge.operators.similar import FOLD_ROWS, merged_places
+from newsgauge.session import cut
 
 FLAG_SALTS = 256
 
@@ -83,77 +85,43 @@ def by_link_then_title(df: DataFrame, order: str = "ord", within: list[str] | No
 
 # --- near-duplicate titles -------------------------------------------------------------------------
 
-def _merge(items: Column, row_type: str, threshold: float, limit: int | None) -> Column:
-    """Greedy pass over rows in order; returns the leaders' rows.
-
-    A row is skipped if its URL key was seen at a leader. Else it meets the first leader with a
-    similar title: the one with the longer snippet stays, in the leader's place and under the leader's
-    URL key. A row that meets no leader becomes one.
-    """
-    leaders = F.expr(f"cast(array() as array<struct<k:string, r:{row_type}>>)")
-
-    def similar(a: Column, b: Column) -> Column:
-        return (F.lower(a["title"]) == F.lower(b["title"])) | (chars_similarity(a["chars"], b["chars"]) > threshold)
-
-    def entry(k: Column, r: Column) -> Column:
-        return F.struct(k.alias("k"), r.alias("r"))
-
-    def step(acc: Column, x: Column) -> Column:
-        place = F.array_position(F.transform(acc, lambda l: similar(l["r"], x)), True)
-
-        def placed(p: Column) -> Column:
-            replace = lambda l, i: F.when(
-                (i == p - 1) & (F.length(x["snippet"]) > F.length(l["r"]["snippet"])), entry(l["k"], x)
-            ).otherwise(l)
-            return F.when(p > 0, F.transform(acc, replace)).otherwise(
-                F.concat(acc, F.array(entry(x["url_key"], x)))
-            )
-
-        # the one-element array names the position, so that it is searched for once per row
-        decided = F.element_at(F.transform(F.array(place), placed), 1)
-        return F.when(F.exists(acc, lambda l: l["k"] == x["url_key"]), acc).otherwise(decided)
-
-    rows = F.transform(F.aggregate(items, leaders, step), lambda l: l["r"])
-    return rows if limit is None else F.slice(rows, 1, limit)
-
-
 def merge_similar(df: DataFrame, group: list[str], order: list[str], threshold: float = v.TITLE_SIMILARITY,
-                  limit: int | None = None, place: str = "place") -> DataFrame:
-    """Merge near-duplicate titles within each group, in order.
+                  limit: int | None = None, place: str = "place", link_chars: int | None = None,
+                  fold_rows: int = FOLD_ROWS) -> DataFrame:
+    """Merge near-duplicate titles within each group, in order; lists may have any length.
 
-    The pass is sequential per group, so the caller must have bounded the groups: see
-    :func:`merge_searches`, whose per-query caps do that. Returns the surviving rows and their
-    ``place`` in the merged list.
+    A row is skipped if its URL key was seen at a leader. Else it meets the first leader with a similar
+    title: the one with the longer snippet stays, in the leader's place and under the leader's URL key. A
+    row that meets no leader becomes one. Returns the leaders' rows and their ``place`` in the merged
+    list, the first ``limit`` of each if given. URL keys are compared whole, or by ``link_chars`` characters.
+
+    Only order, key, characters and snippet length take part; the other columns are joined to the result.
+    ``order`` should tell all rows of a group apart: ties are settled by a hash of the row.
     """
+    rows = cut(df.withColumn("_id", F.struct(F.xxhash64(*df.columns), F.monotonically_increasing_id())))
+    narrow = rows.select(*dict.fromkeys([*group, *order]), F.col("_id").alias("id"), dedup_url(F.col("url"), link_chars).alias("key"),
+                         title_chars(F.col("title")).alias("chars"), F.length("snippet").alias("size"))
+    led = merged_places(narrow, group, order, threshold, fold_rows)
+    if limit is not None:
+        led = led.where(F.col("place") < limit)
     payload = [c for c in df.columns if c not in group]
-    row = F.struct(
-        *[F.col(c) for c in order],
-        *[F.col(c) for c in payload if c not in order],
-        dedup_url(F.col("url")).alias("url_key"),
-        title_chars(F.col("title")).alias("chars"),
-    )
-    keyed = df.select(*group, row.alias("_r"))
-    row_type = keyed.schema["_r"].dataType.simpleString()
-    lists = keyed.groupBy(*group).agg(F.sort_array(F.collect_list("_r")).alias("_rows"))
-    merged = lists.select(*group, F.posexplode(_merge(F.col("_rows"), row_type, threshold, limit)).alias(place, "_r"))
-    return merged.select(*group, place, *[F.col(f"_r.{c}").alias(c) for c in payload])
-
-
-def merge_searches(df: DataFrame, max_per_query: int = v.MAX_PER_QUERY, max_total: int = v.MAX_NEWS_PER_SUBJECT,
-                   threshold: float = v.TITLE_SIMILARITY) -> DataFrame:
+    return rows.join(led.select(F.col("id").alias("_id"), F.col("place").alias("_place")), "_id").select(
+        *group, F.col("_place").alias(place), *payload)
+
+
+def merge_searches(df: DataFrame, max_per_query: int | None = None, max_total: int | None = None,
+                   threshold: float = v.TITLE_SIMILARITY, link_chars: int | None = None) -> DataFrame:
     """Result lists of several engines and queries to one list per keyword.
 
-    Takes at most ``max_per_query`` rows of each engine and query (the size of one result list), merges
-    per query, then over the queries of a keyword, and cuts the list at ``max_total``.
+    Merges per query, then over the queries of a keyword. Takes whole lists, or at most ``max_per_query`` rows of each engine
+    and query, and returns whole lists, or the first ``max_total`` rows.
     Needs ``keyword, query_rank, engine_rank, page_no, pos`` and the article columns; with ``payload``,
     which names the fetch of a page, rows of one page number are ordered by it.
     """
     fetch = ["payload"] if "payload" in df.columns else []
     order = ["engine_rank", "page_no", *fetch, "pos"]
-    lists = top_n(
-        df, [F.col("keyword"), F.col("query_rank"), F.col("engine_rank")],
-        [F.col(c) for c in order[1:]], max_per_query,
-    )
-    per_query = merge_similar(lists, ["keyword", "query_rank"], order, threshold, place="query_place")
-    merged = merge_similar(per_query, ["keyword"], ["query_rank", "query_place"], threshold, max_total)
+    if max_per_query is not None:
+        df = top_n(df, [F.col("keyword"), F.col("query_rank"), F.col("engine_rank")], [F.col(c) for c in order[1:]], max_per_query)
+    per_query = merge_similar(df, ["keyword", "query_rank"], order, threshold, place="query_place", link_chars=link_chars)
+    merged = merge_similar(per_query, ["keyword"], ["query_rank", "query_place"], threshold, max_total, link_chars=link_chars)
     return merged.drop("query_place", *fetch)

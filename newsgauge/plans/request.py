@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from newsgauge import values as v
 from newsgauge.operators import dedup, keywords as kw
 from newsgauge.operators.position import with_position
 from newsgauge.plans.coverage import Dimensions, Report, Settings, coverage_report
@@ -12,8 +11,9 @@ from newsgauge.plans.search import search_articles
 
 
 def requested_articles(articles: DataFrame, keywords: DataFrame, subjects: DataFrame,
-                       max_per_query: int = v.MAX_PER_QUERY) -> DataFrame:
-    """The articles that the generated queries of each keyword find, each once per keyword.
+                       max_per_query: int | None = None) -> DataFrame:
+    """The articles that the generated queries of each keyword find, each once per keyword: all of them, or of each query
+    the ``max_per_query`` newest.
 
     ``articles`` needs a unique ``ord`` and the article columns; ``ord`` of the result is new: keyword by
     keyword, query by query, newest first.
@@ -27,7 +27,7 @@ def requested_articles(articles: DataFrame, keywords: DataFrame, subjects: DataF
 
 
 def request_report(articles: DataFrame, keywords: DataFrame, dims: Dimensions, settings: Settings,
-                   max_per_query: int = v.MAX_PER_QUERY) -> Report:
+                   max_per_query: int | None = None) -> Report:
     """Search a landed article table for the keywords and report their coverage."""
     found = requested_articles(articles, keywords, dims.subjects, max_per_query)
     return coverage_report(found, keywords, dims, settings)

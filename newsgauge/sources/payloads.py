@@ -271,23 +271,3 @@ def union_engines(**tables: DataFrame) -> DataFrame:
 def choose_engines(df: DataFrame, mode: str = "all", column: str = "source") -> DataFrame:
     """Rows of one engine family, or all. On a table partitioned by ``source`` this prunes folders."""
     return df.where(F.col(column) == mode) if mode in ("news", "wechat") else df
-
-
-# bits of the packed ordinal, most significant first; 63 in all
-_ORD_BITS = (("keyword_rank", 24), ("query_rank", 6), ("engine_rank", 3), ("page_no", 14), ("pos", 16))
-
-
-def with_ordinal(df: DataFrame) -> DataFrame:
-    """Add ``ord``: one LONG that sorts like (keyword, query, engine, page, position) and is unique.
-
-    First-wins operators need an explicit order because a DataFrame has none. A component that does
-    not fit its bits is an error, not a wrong order.
-    """
-    packed = F.lit(0).cast("bigint")
-    for name, bits in _ORD_BITS:
-        c = F.col(name).cast("bigint")
-        fits = c.between(0, (1 << bits) - 1)
-        packed = packed * (1 << bits) + F.when(fits, c).otherwise(
-            F.raise_error(F.concat(F.lit(f"{name} out of range: "), F.coalesce(c.cast("string"), F.lit("NULL")))).cast("bigint")
-        )
-    return df.withColumn("ord", packed)

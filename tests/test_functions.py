@@ -98,7 +98,8 @@ def test_canonical_url(apply):
         "https://x.gov.cn/a?b=1&from=2&c#f", "https://a.com/?from=1&source=2&a=1&&b", "", "http://a.com/p?xfrom=1&from2=2",
     ])
     assert got == ["a.com/x", "a.com/x", "a.com/", "a.com/", "a b.com/x", "x.gov.cn/a?b=1&c=", "a.com/?a=1&b=", "", "a.com/p?xfrom=1&from2=2"]
-    assert apply(lambda c: urls.dedup_url(c), ["https://a.com/" + "x" * 300])[0] == ("a.com/" + "x" * 300)[:150]
+    assert apply(lambda c: urls.dedup_url(c), ["https://a.com/" + "x" * 300])[0] == "a.com/" + "x" * 300
+    assert apply(lambda c: urls.dedup_url(c, 150), ["https://a.com/" + "x" * 300])[0] == ("a.com/" + "x" * 300)[:150]
 
 
 def test_host_names(apply):

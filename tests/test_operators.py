@@ -135,6 +135,8 @@ def test_link_or_title(spark):
 def merged_by_hand(rows, limit=None):
     """Sequential restatement of the merge rule for the test."""
     def alike(a, b):
+        if a is None or b is None:
+            return False
         a, b = a.lower(), b.lower()
         return a == b or (max(len(set(a)), len(set(b))) > 0 and len(set(a) & set(b)) / max(len(set(a)), len(set(b))) > 0.85)
 
@@ -146,22 +148,33 @@ def merged_by_hand(rows, limit=None):
         if hit is None:
             keys.add(row["url"])
             leaders.append(row)
-        elif len(row["snippet"]) > len(leaders[hit]["snippet"]):
+        elif None not in (row["snippet"], leaders[hit]["snippet"]) and len(row["snippet"]) > len(leaders[hit]["snippet"]):
             leaders[hit] = row
     return leaders[:limit]
 
 
-def test_merge_similar_equals_the_sequential_rule(spark):
-    rng = random.Random(11)
+@pytest.mark.parametrize("fold_rows", [10_000, 25, 7])
+def test_merge_similar_equals_the_sequential_rule(spark, fold_rows):
+    """Also with lists longer than a fold takes, null groups and rows without a title or snippet."""
+    rng = random.Random(fold_rows)
     rows = []
-    for g in range(12):
-        for i in range(50):
-            rows.append({"g": g, "pos": i, "url": f"a.com/{rng.randint(0, 30)}", "title": "".join(rng.choice("甲乙丙丁戊己庚辛壬癸") for _ in range(rng.randint(0, 14))),
-                         "snippet": "s" * rng.randint(0, 30)})
+    for g, n in ((0, 70), (1, 3), (None, 40), (2, 25)):
+        for i in range(n):
+            letters = rng.choice(("甲乙丙丁戊己庚辛壬癸", "甲乙丙丁戊己庚辛壬癸abcdefgh"))
+            rows.append({"g": g, "pos": i, "url": f"a.com/{rng.randint(0, n)}", "snippet": None if rng.random() < 0.04 else "s" * rng.randint(0, 30),
+                         "title": None if rng.random() < 0.04 else "".join(rng.choice(letters) for _ in range(rng.randint(0, 14)))})
     df = spark.createDataFrame(rows, "g int, pos int, url string, title string, snippet string").repartition(5)
-    got = dedup.merge_similar(df, ["g"], ["pos"])
-    want = [(g, i, r["pos"]) for g in range(12) for i, r in enumerate(merged_by_hand([x for x in rows if x["g"] == g]))]
-    assert sorted(tuple(r) for r in got.select("g", "place", "pos").collect()) == want
+    got = dedup.merge_similar(df, ["g"], ["pos"], fold_rows=fold_rows)
+    want = [(str(g), i, r["pos"]) for g in (0, 1, None, 2) for i, r in enumerate(merged_by_hand([x for x in rows if x["g"] == g]))]
+    assert sorted((str(r["g"]), r["place"], r["pos"]) for r in got.collect()) == sorted(want)
+
+
+def test_merge_compares_whole_links(spark):
+    """Links that share their first 150 characters are one page only if asked for."""
+    titles = ("某项目全面封顶", "无关的新闻标题", "完全不同内容", "另有一件事情")
+    df = spark.createDataFrame([(i, "https://a.com/" + "p" * 150 + str(i), x, "") for i, x in enumerate(titles)], "pos int, url string, title string, snippet string").withColumn("g", F.lit(1))
+    assert dedup.merge_similar(df, ["g"], ["pos"]).count() == 4
+    assert dedup.merge_similar(df, ["g"], ["pos"], link_chars=150).count() == 1
 
 
 def test_merge_searches_two_levels(spark):
@@ -178,7 +191,7 @@ def test_merge_searches_two_levels(spark):
     for q in range(3):
         flat += merged_by_hand([r for e in range(2) for r in rows if r["query_rank"] == q and r["engine_rank"] == e and r["pos"] < 40])
     want = [(r["query_rank"], r["engine_rank"], r["pos"]) for r in merged_by_hand(flat, 25)]
-    got = dedup.merge_searches(df, max_total=25).orderBy("place").select("query_rank", "engine_rank", "pos").collect()
+    got = dedup.merge_searches(df, 40, 25).orderBy("place").select("query_rank", "engine_rank", "pos").collect()
     assert [tuple(r) for r in got] == want
 
 

@@ -87,17 +87,6 @@ def test_guards(spark):
     assert usable.count() == 1 and rejected.count() == 4
 
 
-def test_ordinal(spark):
-    import pytest
-
-    cols = "keyword_rank int, query_rank int, engine_rank int, page_no int, pos int"
-    ranks = [(0, 0, 0, 0, 1), (0, 0, 0, 1, 0), (0, 0, 1, 0, 0), (0, 1, 0, 0, 0), (1, 0, 0, 0, 0)]
-    got = [r["ord"] for r in p.with_ordinal(spark.createDataFrame(ranks, cols)).collect()]
-    assert got == sorted(got) and len(set(got)) == 5
-    with pytest.raises(Exception, match="out of range"):
-        p.with_ordinal(spark.createDataFrame([(0, 64, 0, 0, 0)], cols)).collect()
-
-
 def test_pages_fetched_twice_lose_nothing(spark):
     """Two fetches of one page with other items, and one body landed twice."""
     from newsgauge.plans.search import request_articles
@@ -161,3 +150,28 @@ def test_page_numbers_do_not_wrap(spark):
             for page, title in ((1 << 33, "桥梁建设完成通车"), (3, "新的学校今天开学"))]
     landed = spark.createDataFrame(rows, "engine string, keyword string, keyword_rank int, query_rank int, page_no long, body string")
     assert [r["title"] for r in news_articles(landed, "2026-08-14T00:00:00", max_per_query=1).collect()] == ["新的学校今天开学"]
+
+
+def test_whole_lists_of_all_engines(spark):
+    """News rows of whole lists against the sequential rule, besides the check SQL."""
+    from pyspark.sql import functions as F
+    from test_operators import merged_by_hand
+
+    from newsgauge.catalogue.parsing import _landed, landed_search_whole
+    from newsgauge.catalogue.views import AS_OF
+    from newsgauge.functions.urls import canonical_url
+    from newsgauge.plans import search
+
+    sf = "/root/testdata/sf0.001"
+    landed = _landed(spark, sf).where("keyword_rank % 4 = 1")
+    rows = search._parse(landed, search.NEWS_ENGINES, AS_OF).withColumn("key", canonical_url(F.col("url"), trim=False)).collect()
+    rows = sorted(({**r.asDict(), "url": r["key"], "link": r["url"]} for r in rows), key=lambda r: (r["keyword"], r["query_rank"], r["engine_rank"], r["page_no"], r["payload"], r["pos"]))
+    want = {}
+    for keyword in {r["keyword"] for r in rows}:
+        per_query = [x for q in range(3) for x in merged_by_hand([r for r in rows if r["keyword"] == keyword and r["query_rank"] == q])]
+        want[keyword] = [r["link"] for r in merged_by_hand(per_query)]
+    got = {}
+    for r in landed_search_whole(spark, sf).where("source = 'news'").orderBy("ord").collect():
+        got.setdefault(r["keyword"], []).append(r["url"])
+    assert len(want) > 2 and max(map(len, want.values())) > 30
+    assert {k: got[k] for k in want} == want
