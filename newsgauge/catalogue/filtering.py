@@ -191,7 +191,8 @@ done AS (SELECT *, CASE WHEN live AND regexp_matches(media, '八局|中建|中
 SELECT ord, project, title, media, url, COALESCE(category, '') AS category, CASE WHEN r2 IS NULL THEN score ELSE -999 END AS score, COALESCE(filter_reason, '') AS filter_reason,
   CASE WHEN elsewhere THEN 'owned_elsewhere' WHEN filter_reason IS NULL THEN 'kept' ELSE 'filtered' END AS status FROM done""")
 def coverage_rows(spark, sf):
-    return run_coverage(spark, sf).rows.select(
+    report = run_coverage(spark, sf)
+    return report.with_texts(report.rows, ("title",)).select(
         "ord", "project", "title", "media", "url", F.coalesce("category", F.lit("")).alias("category"), F.coalesce("score", F.lit(-999)).alias("score"),
         F.coalesce("filter_reason", F.lit("")).alias("filter_reason"), "status",
     )

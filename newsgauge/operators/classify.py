@@ -76,10 +76,11 @@ def classify_outlets(names: DataFrame, dictionary: DataFrame | None = None, citi
 
 
 def with_category(df: DataFrame, row_id: str = "ord", dictionary: DataFrame | None = None, cities=(),
-                  labels: DataFrame | None = None) -> DataFrame:
-    """Add ``category``. Each distinct outlet is classified once and joined back."""
+                  labels: DataFrame | None = None, labelled: bool = False) -> DataFrame:
+    """Add ``category``, and with ``labelled`` whether an external label was asked for it. Each distinct outlet is
+    classified once and joined back."""
     outlets = classify_outlets(df.select("media").distinct(), dictionary, cities, labels)
-    return attach(df, outlets.select("media", "category"), "media", row_id)
+    return attach(df, outlets if labelled else outlets.select("media", "category"), "media", row_id)
 
 
 def unlabelled_outlets(outlets: DataFrame) -> DataFrame:

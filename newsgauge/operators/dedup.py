@@ -8,12 +8,9 @@ from newsgauge import values as v
 from newsgauge.functions.similarity import title_chars
 from newsgauge.functions.text import blank_to_null, trim_ws
 from newsgauge.functions.urls import canonical_url, dedup_url
-from newsgauge.operators.joins import salt_of
 from newsgauge.operators.similar import FOLD_ROWS, merged_places
 from newsgauge.session import cut
 
-FLAG_SALTS = 256
-
 
 def keep_first(df: DataFrame, keys: list[Column], order: list[Column]) -> DataFrame:
     """The first row per key. The rank limit is applied before the shuffle, so a hot key sends one
@@ -29,22 +26,16 @@ def top_n(df: DataFrame, keys: list[Column], order: list[Column], n: int, name:
     return ranked if name else ranked.drop("_rn")
 
 
-def flag_first(df: DataFrame, keys: list[Column], order: list[Column], row_id: str,
-               name: str = "is_first", salts: int = FLAG_SALTS) -> DataFrame:
-    """Mark the first row per key, keeping all rows.
+def flag_first(df: DataFrame, keys: list[Column], order: list[Column], row_id: str, name: str = "is_first",
+               among: Column | None = None) -> DataFrame:
+    """Mark the first row per key, keeping all rows; ``row_id`` is unique and settles ties. With ``among`` only such rows compete.
 
-    One window per key would sort a hot key in one task. Here the first row is found per
-    (key, salt), and then among those winners only: the second window holds at most ``salts`` rows of
-    a key, while its losers are spread by their own id.
+    Two phases. Only key, order and row id are shuffled to find the winners, and of a hot key each map task
+    sends one row. The winners are then joined by row id, of which no two rows share one, so no key
+    decides how the wide rows are dealt; few winners are broadcast.
     """
-    keyed = df.select("*", *[k.alias(f"_k{i}") for i, k in enumerate(keys)])
-    ks = [f"_k{i}" for i in range(len(keys))]
-    local = Window.partitionBy(*ks, salt_of(F.col(row_id), salts)).orderBy(*order)
-    keyed = keyed.withColumn("_local", F.row_number().over(local) == 1)
-    rest = F.when(~F.col("_local"), F.col(row_id))
-    final = Window.partitionBy(*ks, rest).orderBy(*order)
-    keyed = keyed.withColumn("_final", F.row_number().over(final) == 1)
-    return keyed.withColumn(name, F.col("_local") & F.col("_final")).drop("_local", "_final", *ks)
+    winners = keep_first(df if among is None else df.where(among), keys, [*order, F.col(row_id)]).select(F.col(row_id).alias("_winner"))
+    return df.join(winners, F.col(row_id) == F.col("_winner"), "left").select(*df.columns, F.col("_winner").isNotNull().alias(name))
 
 
 # --- exact keys --------------------------------------------------------------------------------------

@@ -19,12 +19,46 @@ def outlet_from_domain(text: Column, pairs=v.DOMAIN_OUTLETS) -> Column:
     return first_containing(F.lower(text), pairs_array(pairs))
 
 
+def redirect_targets(resolved: DataFrame) -> DataFrame:
+    """(url, final_url) of redirect links that end at a page, from ``resolved(url, final_url)``; one row a link.
+
+    A target may be a redirect link itself. Chains are followed by pointer jumping: each round replaces a
+    target by its target's target, which halves the way left, so rounds grow with the logarithm of the
+    longest chain. Links that end at a redirect link without a target, or go round in a circle, have none.
+    """
+    known = resolved.where(is_redirect(F.col("url"))).groupBy("url").agg(
+        # of several targets a page comes before another redirect link
+        F.min(F.struct(F.coalesce(is_redirect(F.col("final_url")), F.lit(True)).alias("more"), F.col("final_url").alias("to"))).alias("_t"))
+    known = known.select("url", F.col("_t.to").alias("final_url"), F.col("_t.more").alias("_more"))
+    links = known.where(F.col("_more") & (F.col("final_url") != "") & (F.col("final_url") != F.col("url")))
+    if links.isEmpty():
+        return known.where(~F.col("_more")).select("url", "final_url")
+    known = cut(known)
+    open_, rounds = known.where("_more").count(), 0
+    while True:
+        onward = known.select(F.col("url").alias("_from"), F.col("final_url").alias("_to"), F.col("_more").alias("_on"))
+        jumped = known.join(onward, F.col("_more") & (F.col("final_url") == F.col("_from")), "left")
+        known = cut(jumped.select("url", F.coalesce("_to", "final_url").alias("final_url"), F.coalesce("_on", "_more").alias("_more")))
+        left, rounds = known.where("_more").count(), rounds + 1
+        # 2^rounds steps have been followed: what is open after as many as there are links is a circle or a dead end
+        if left == 0 or 1 << rounds > open_:
+            return known.where(~F.col("_more")).select("url", "final_url")
+
+
 def resolve_links(df: DataFrame, resolved: DataFrame, row_id: str = "ord") -> DataFrame:
     """Replace redirect links by their targets from ``resolved(url, final_url)``."""
-    found = resolved.where(is_redirect(F.col("url")) & ~is_redirect(F.col("final_url")))
-    found = found.groupBy("url").agg(F.min("final_url").alias("final_url"))
-    joined = attach(df, found, "url", row_id)
-    return joined.withColumn("url", F.coalesce("final_url", "url")).drop("final_url").select(*df.columns)
+    return replace_links(df, redirect_targets(resolved), row_id)
+
+
+def replace_links(df: DataFrame, targets: DataFrame, row_id: str = "ord") -> DataFrame:
+    """Replace redirect links by their ``targets``, see :func:`redirect_targets`.
+
+    Only rows with a redirect link take part in the join; all others pass as they are.
+    """
+    redirects = F.coalesce(is_redirect(F.col("url")), F.lit(False))
+    joined = attach(df.where(redirects), targets, "url", row_id)
+    joined = joined.withColumn("url", F.coalesce("final_url", "url")).select(*df.columns)
+    return df.where(~redirects).unionByName(joined)
 
 
 def clean_links(df: DataFrame) -> DataFrame:
@@ -45,12 +79,7 @@ def correct_by_domain(df: DataFrame) -> DataFrame:
 def flag_page_checks(df: DataFrame, row_id: str = "ord") -> DataFrame:
     """Add ``page_check``: news rows whose name is still unreliable, the first row per link."""
     wanted = (F.col("source") == "news") & is_unreliable_outlet(F.col("media")) & is_http(F.col("url"))
-    # only wanted rows compete for a link; the others get keys of their own
-    key = F.when(wanted, F.concat(F.lit("u"), F.col("url"))).otherwise(
-        F.concat(F.lit("r"), F.col(row_id).cast("string"))
-    )
-    flagged = flag_first(df, [key], [F.col(row_id)], row_id, "_first")
-    return flagged.withColumn("page_check", wanted & F.col("_first")).drop("_first")
+    return flag_first(df, [F.col("url")], [F.col(row_id)], row_id, "page_check", wanted)
 
 
 def correct_by_page(df: DataFrame, pages: DataFrame, row_id: str = "ord", broadcast: bool | None = None) -> DataFrame:
@@ -60,10 +89,7 @@ def correct_by_page(df: DataFrame, pages: DataFrame, row_id: str = "ord", broadc
     names a page may give are read where it is scanned, so that only those, never the page, are shuffled.
     Adds ``page_result``: ``corrected``, ``skipped`` (no usable page or name) or NULL where not checked.
     """
-    df = cut(df)  # read three times below: to count the checks, to join them, and for the result
-    checks = df.where("page_check").select(
-        row_id, "url", is_title_artifact(F.col("media")).alias("_artifact")
-    )
+    checks = cut(df.where("page_check").select(row_id, "url", is_title_artifact(F.col("media")).alias("_artifact")))
     usable = pages.select("url", "final_url", "html").where(page_block_reason(F.col("html")).isNull())
     if is_small(checks, "url") if broadcast is None else broadcast:
         named = usable.join(F.broadcast(checks), "url")

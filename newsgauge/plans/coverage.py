@@ -8,6 +8,7 @@ list, after which the own-account and tier rules run again.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -51,10 +52,15 @@ class Settings:
 @dataclass
 class Report:
     """``rows`` has every in-range article once, with ``status``, ``filter_reason`` and the ``stage``
-    that rejected it; the other tables are views of it. Articles that left before the score have none."""
+    that rejected it; the other tables are views of it. Articles that left before the score have none.
+
+    Titles and snippets are read by the funnel and the score only, so the rows go on without them; exports take them
+    from the articles, by :meth:`with_texts`.
+    """
 
     rows: DataFrame
     keywords: DataFrame
+    articles: DataFrame
     kept: DataFrame = field(init=False)
     filtered: DataFrame = field(init=False)
 
@@ -62,6 +68,11 @@ class Report:
         self.kept = self.rows.where("status = 'kept'").drop("status", "filter_reason", "stage")
         self.filtered = self.rows.where("status = 'filtered'")
 
+    def with_texts(self, rows: DataFrame, columns: tuple[str, ...] = ("title", "snippet")) -> DataFrame:
+        """Rows of the report with texts of their articles. Spark broadcasts few rows; else both sides are dealt by ord."""
+        texts = self.articles.select(F.col("ord").alias("_ord"), *[F.coalesce(c, F.lit("")).alias(c) for c in columns])
+        return texts.join(rows, F.col("_ord") == F.col("ord")).select(*rows.columns, *columns)
+
     def stats(self) -> DataFrame:
         listed = self.rows.where(F.col("status") != DUPLICATE_ELSEWHERE)
         kept = F.col("status") == "kept"
@@ -88,8 +99,8 @@ class Report:
         return report.funnel_counts(self.rows)
 
     def unlabelled(self) -> DataFrame:
-        """Outlets of kept articles that no rule and no label has placed."""
-        return self.kept.where(F.col("category") == v.UNCLASSIFIED).select("media").distinct()
+        """Outlets of kept articles that no rule has placed and no label, valid or not, was given for."""
+        return classify.unlabelled_outlets(self.kept.select("media", "category", "labelled").distinct())
 
     def ranked(self) -> DataFrame:
         return report.with_rank(self.kept)
@@ -118,28 +129,15 @@ def unrequested_articles(articles: DataFrame, keywords: DataFrame) -> DataFrame:
     return named.join(asked, F.col("_keyword") == F.col("_asked"), "left_anti").drop("_keyword")
 
 
-def _resolved(df: DataFrame, dims: Dimensions) -> DataFrame:
-    return df if dims.resolved is None else verify.resolve_links(df, dims.resolved)
-
-
 def _finalise(df: DataFrame, dims: Dimensions, settings: Settings) -> DataFrame:
     """Own-account rule, tier, personal-account rule."""
-    df = classify.with_category(df, "ord", dims.outlets, dims.cities, dims.labels)
+    df = classify.with_category(df, "ord", dims.outlets, dims.cities, dims.labels, labelled=True)
     df = _reject(df, funnel.own_account(F.col("media"), settings.own_accounts), v.REASON_OWN)
     return _reject(df, F.col("category") == v.PERSONAL, v.REASON_PERSONAL)
 
 
-def coverage_report(articles: DataFrame, keywords: DataFrame, dims: Dimensions, settings: Settings) -> Report:
-    """Run the job.
-
-    ``articles``: ord (unique LONG, first-wins order), keyword, title, url, date, media, snippet,
-    source. ``keywords``: keyword, keyword_rank. The working set is written to the checkpoint folder
-    after each stage that later stages read more than once; it shrinks from stage to stage.
-    """
-    planned = kw.plan_searches(kw.resolve_keywords(kw.clean_keywords(keywords), dims.subjects))
-    terms = planned.select("keyword", "keyword_rank", "project", "match_terms", "co_occur")
-
-    # funnel: one narrow stage after the keyword lookup; out-of-range rows leave without a reason
+def _scored(articles: DataFrame, terms: DataFrame, settings: Settings) -> DataFrame:
+    """The only stage that reads texts: funnel and score of each article, without title and snippet."""
     found = articles if settings.mode == "all" else articles.where(F.col("source") == settings.mode)
     found = _entered(found)
     found = found.where(funnel.in_date_range(F.col("date"), settings.date_from, settings.date_to))
@@ -147,38 +145,45 @@ def coverage_report(articles: DataFrame, keywords: DataFrame, dims: Dimensions,
     rows = rows.withColumn("filter_reason", funnel.funnel_reason(settings.own_accounts, settings.noise_rules))
     precision = F.col("filter_reason") == v.REASON_PRECISION
     rows = rows.withColumn("stage", F.when(precision, "precision").when(F.col("filter_reason").isNotNull(), "content"))
-    rows = rows.drop("match_terms", "co_occur")
-
-    # Most rows leave here. They take no part in the shuffles below and are read again for the final
-    # table, which costs one more scan instead of two more shuffles of the bulk.
-    off_topic = _resolved(rows.where(F.col("filter_reason").isNotNull()), dims)
-
-    # rows still in the funnel compete for a link, and the first of each link is scored
-    rows = rows.where(F.col("filter_reason").isNull()).withColumn("filter_reason", F.lit(None).cast("string"))
-    rows = dedup.flag_first(rows, [F.col("keyword"), canonical_url(F.col("url"))], [F.col("ord")], "ord")
-    rows = _reject(rows, ~F.col("is_first"), v.REASON_DUPLICATE, "dedup").drop("is_first")
-    scored = score.with_score(rows)
-    single = F.col("filter_reason").isNull()
-    scored = scored.withColumns({c: F.when(single, F.col(c)) for c in ("score", "score_detail")})
-    scored = _reject(scored, F.col("score") < settings.min_score, v.REASON_SCORE, "score")
-    # the score has seen the links as found; from here on they are resolved, on rejected rows too
-    rows = cut(_resolved(scored, dims))
+    # a text that left the funnel is not scored: NULLs end its rules at once
+    live = F.col("filter_reason").isNull()
+    rows = score.with_score(rows.withColumns({c: F.when(live, F.col(c)) for c in ("title", "snippet")}))
+    rows = rows.withColumns({c: F.when(live, F.col(c)) for c in ("score", "score_detail")})
+    return rows.drop("match_terms", "co_occur", "title", "snippet")
+
+
+def coverage_report(articles: DataFrame, keywords: DataFrame, dims: Dimensions, settings: Settings) -> Report:
+    """Run the job.
 
-    dropped = rows.where(F.col("filter_reason").isNotNull())
-    live = _finalise(rows.where(F.col("filter_reason").isNull()), dims, settings)
+    ``articles``: ord (unique LONG, first-wins order), keyword, title, url, date, media, snippet,
+    source. ``keywords``: keyword, keyword_rank. Texts are read once, where they are scanned; the narrow rows are written
+    to the checkpoint folder then, and once more as the result.
+    """
+    planned = kw.plan_searches(kw.resolve_keywords(kw.clean_keywords(keywords), dims.subjects))
+    terms = planned.select("keyword", "keyword_rank", "project", "match_terms", "co_occur")
+    rows = cut(_scored(articles, terms, settings))
+
+    off_topic = rows.where(F.col("filter_reason").isNotNull())
+    # rows still in the funnel compete for a link, and the score of the first of each link counts
+    rows = dedup.flag_first(rows.where(F.col("filter_reason").isNull()), [F.col("keyword"), canonical_url(F.col("url"))], [F.col("ord")], "ord")
+    rows = _reject(rows, ~F.col("is_first"), v.REASON_DUPLICATE, "dedup")
+    rows = rows.withColumns({c: F.when(F.col("is_first"), F.col(c)) for c in ("score", "score_detail")}).drop("is_first")
+    rows = _reject(rows, F.col("score") < settings.min_score, v.REASON_SCORE, "score")
+    # the score has seen the links as found; from here on they are resolved, on rejected rows too
+    dropped = off_topic.unionByName(rows.where(F.col("filter_reason").isNotNull()))
+    live = rows.where(F.col("filter_reason").isNull())
+    if dims.resolved is not None:
+        targets = cut(verify.redirect_targets(dims.resolved))
+        dropped, live = (verify.replace_links(df, targets) for df in (dropped, live))
+    live = _finalise(live, dims, settings)
 
     # rows rejected by now are out; the others compete for a link across subjects
     rejected = F.col("filter_reason").isNotNull()
-    key = F.when(rejected, F.concat(F.lit("r"), F.col("ord").cast("string"))).otherwise(
-        F.concat(F.lit("u"), dedup.url_prefix(F.col("url"), settings.link_chars))
-    )
     owner_order = [F.col("keyword_rank"), *report.report_order()]
-    live = dedup.flag_first(live, [key], owner_order, "ord", "is_owner")
+    live = dedup.flag_first(live, [dedup.url_prefix(F.col("url"), settings.link_chars)], owner_order, "ord", "is_owner", ~rejected)
     live = cut(verify.clean_links(live))
-
-    early = live.where(rejected).drop("is_owner")
-    elsewhere = live.where(~rejected & ~F.col("is_owner")).drop("is_owner")
-    merged = live.where(~rejected & F.col("is_owner")).drop("is_owner", "category")
+    others = live.where(~F.col("is_owner")).drop("is_owner")
+    merged = live.where("is_owner").drop("is_owner", "category", "labelled")
 
     merged = verify.flag_page_checks(verify.correct_by_domain(merged))
     if dims.pages is None:
@@ -187,15 +192,9 @@ def coverage_report(articles: DataFrame, keywords: DataFrame, dims: Dimensions,
         )
     else:
         merged = verify.correct_by_page(merged, dims.pages)
-    merged = _finalise(cut(merged), dims, settings)
-
-    def status(df: DataFrame, value: str | Column) -> DataFrame:
-        return df.withColumn("status", F.lit(value) if isinstance(value, str) else value)
-
-    final = F.when(rejected, "filtered").otherwise("kept")
-    parts = [status(merged, final), status(verify.clean_links(off_topic), "filtered"),
-             status(verify.clean_links(dropped), "filtered"), status(early, "filtered"), status(elsewhere, DUPLICATE_ELSEWHERE)]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p, allowMissingColumns=True)
-    return Report(cut(rows), planned)
+    merged = _finalise(merged, dims, settings)
+
+    parts = [merged.withColumn("status", F.when(rejected, "filtered").otherwise("kept")),
+             others.withColumn("status", F.when(rejected, "filtered").otherwise(DUPLICATE_ELSEWHERE)),
+             verify.clean_links(dropped).withColumn("status", F.lit("filtered"))]
+    return Report(cut(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)), planned, articles)

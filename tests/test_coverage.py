@@ -81,6 +81,33 @@ def test_result_does_not_depend_on_partitions(run, report):
     assert key(run(1)) == key(report) == key(run(7))
 
 
+def test_texts_are_read_once(run, report, monkeypatch):
+    """Nothing that is written or shuffled holds a title or snippet; exports take them from the articles."""
+    from newsgauge.plans import coverage
+
+    written = []
+    cut = coverage.cut
+    monkeypatch.setattr(coverage, "cut", lambda df: written.append(df) or cut(df))
+    run()
+    assert len(written) == 4 and not any({"title", "snippet"} & set(df.columns) for df in written)
+    for df in written:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not [line for line in plan.splitlines() if "Exchange" in line and ("title" in line or "snippet" in line)]
+    texts = {r["ord"]: (r["title"], r["snippet"]) for r in report.with_texts(report.rows).collect()}
+    assert texts == {r[0]: (r[2], r[6]) for r in ROWS if r[0] != 5}
+
+
+def test_outlets_to_label(spark):
+    """An outlet with a label that is no tier has been asked for; it does not come back."""
+    rows = [(i, "甲", f"甲中心项目全面封顶{i}", f"https://a.com/{i}", "2024-03-01", media, "", "news") for i, media in enumerate(("怪名号", "没人知道号"))]
+    subjects = spark.createDataFrame([(0, "甲中心", ["甲"], ["甲中心"])], "ord int, primary string, aliases array<string>, terms array<string>")
+    labels = spark.createDataFrame([("怪名号", "没有的类")], "media string, category string")
+    out = coverage_report(spark.createDataFrame(rows, A), spark.createDataFrame([("甲", 0)], "keyword string, keyword_rank int"),
+                          Dimensions(subjects, labels=labels), Settings("2024-01-01", "2024-12-31"))
+    assert {r["media"]: r["category"] for r in out.kept.collect()} == {"怪名号": "未分类", "没人知道号": "未分类"}
+    assert [r["media"] for r in out.unlabelled().collect()] == ["没人知道号"]
+
+
 def test_mode_and_range_are_checked(spark):
     with pytest.raises(ValueError):
         Settings("2024-02-01", "2024-01-01")

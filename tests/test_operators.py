@@ -116,7 +116,7 @@ def test_flag_first_with_a_hot_key(spark):
     for o, k, r in rows:
         first[k] = min(first.get(k, (99, 0)), (r, o))
     for n in (1, 7):
-        got = dedup.flag_first(df.repartition(n), [F.col("k")], [F.col("rank"), F.col("ord")], "ord", salts=8)
+        got = dedup.flag_first(df.repartition(n), [F.col("k")], [F.col("rank"), F.col("ord")], "ord")
         assert got.count() == len(rows)
         assert ids(got.where("is_first")) == sorted(o for _, o in first.values())
 
@@ -376,3 +376,33 @@ def test_cities_come_from_a_table(spark, monkeypatch, inline):
     got = {r["media"]: r["category"] for r in classify.classify_outlets(outlets, cities=cities).collect()}
     want = {r["media"]: r["category"] for r in classify.classify_outlets(outlets, cities=("宁波", "温州")).collect()}
     assert got == want and got["宁波晚报"] == v.LOCAL and got["某某日报"] == v.PROVINCIAL
+
+
+# --- redirects and first rows -----------------------------------------------------------------------------------
+
+def test_redirect_chains(spark):
+    """Chains of any length end at their page; circles and dead ends have no target."""
+    from newsgauge.operators.verify import redirect_targets, resolve_links
+
+    r = "https://news.google.com/rss/articles/{}".format
+    chain = [(r(i), r(i + 1)) for i in range(20)] + [(r(20), "https://end.com/")]
+    rest = [("https://a.com/", "https://b.com/"), (r("c1"), r("c2")), (r("c2"), r("c1")), (r("dead"), r("nowhere")), (r("self"), r("self")),
+            (r("two"), r("c1")), (r("two"), "https://two.com/"), (r("none"), None)]
+    resolved = spark.createDataFrame(chain + rest, "url string, final_url string")
+    got = {x["url"]: x["final_url"] for x in redirect_targets(resolved).collect()}
+    assert got == {**{r(i): "https://end.com/" for i in range(21)}, r("two"): "https://two.com/"}
+    rows = spark.createDataFrame([(0, r(3)), (1, r("c1")), (2, "https://a.com/"), (3, None)], "ord long, url string")
+    out = resolve_links(rows, resolved)
+    assert {x["ord"]: x["url"] for x in out.collect()} == {0: "https://end.com/", 1: r("c1"), 2: "https://a.com/", 3: None}
+
+
+def test_flag_first_shuffles_no_wide_rows(spark):
+    """The only shuffle by key carries key, order and row id."""
+    df = spark.range(1000).selectExpr("id AS ord", "cast(if(id < 700, 0, id % 50) AS string) AS k", "repeat('w', 100) AS wide", "1000 - id AS o")
+    out = dedup.flag_first(df, [F.col("k")], [F.col("o")], "ord", among=F.col("ord") % 2 == 0)
+    first = {}
+    for i in sorted(range(0, 1000, 2), reverse=True):
+        first.setdefault("0" if i < 700 else str(i % 50), i)
+    assert sorted(r["ord"] for r in out.where("is_first").collect()) == sorted(first.values()) and out.count() == 1000
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Exchange hashpartitioning(k" in line and "wide" in line]
