@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from newsgauge import values as v
 from newsgauge.catalogue import checks as k
 from newsgauge.catalogue.registry import query, table
 from newsgauge.catalogue.views import ARTICLES_SQL, SUBJECT_ROWS, articles, sql_rows, subjects
-from newsgauge.operators import keywords as kw
+from newsgauge.operators import keywords as kw, postings
 from newsgauge.operators.lookup import INLINE_TERMS, match_terms
 from newsgauge.plans.request import requested_articles
 from newsgauge.plans.search import search_articles
+from newsgauge.session import use_checkpoint_dir
 
 
 # regions as subjects, their nations as aliases; customers ask for nations, regions and segments
@@ -156,6 +159,16 @@ def term_matches_large(spark, sf):
     return _matches(spark, sf, 0)
 
 
+@query("term_matches_indexed", _MATCHES_SQL)
+def term_matches_indexed(spark, sf):
+    """The same matches from a stored index, written in two batches."""
+    use_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/postings-{uuid.uuid4().hex}"
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    odd = F.pmod("doc_id", F.lit(2)) == 1
+    for name, batch in (("even", docs.where(~odd)), ("odd", docs.where(odd))):
+        postings.add_articles(batch, F.col("text"), "doc_id", path, name)
+    return postings.match_indexed(spark, path, _terms(spark, sf)).select(F.col("id").alias("doc_id"), "keyword", "term")
 
 
 # the first three queries generated for each keyword from SUBJECT_ROWS

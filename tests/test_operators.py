@@ -406,3 +406,55 @@ def test_flag_first_shuffles_no_wide_rows(spark):
     assert sorted(r["ord"] for r in out.where("is_first").collect()) == sorted(first.values()) and out.count() == 1000
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert not [line for line in plan.splitlines() if "Exchange hashpartitioning(k" in line and "wide" in line]
+
+
+# --- stored index ---------------------------------------------------------------------------------------------
+
+ARTICLE_TEXTS = ["", None, "abc", "abcd", "xabcdx abcd", "中国建筑第八工程局", "建筑", "e", "ee e", "line one\nline two", "𝒳𝒴𝒵𝒲 plain", "100% _sure", "ab"]
+TERMS = ["abcd", "abc", "ab", "b", "e", "建筑", "中国建筑第八", "建筑第八工程局", "nothing here", "zz", "one\nline", "𝒳𝒴", "𝒳𝒴𝒵𝒲 p", "%", "", "  ", None]
+
+
+def indexed(spark, tmp_path, texts, part_rows):
+    from newsgauge.operators import postings
+
+    df = spark.createDataFrame(list(enumerate(texts)), "ord long, text string")
+    for name, part in (("a", df.where("ord % 3 = 0")), ("b", df.where("ord % 3 > 0")), ("a", df.where("ord % 3 = 0"))):
+        postings.add_articles(part, F.col("text"), "ord", str(tmp_path), name, part_rows)
+    return df
+
+
+@pytest.mark.parametrize("part_rows", [2000, 2])
+def test_indexed_terms_equal_a_scan(spark, tmp_path, part_rows):
+    """Short, foreign, missing and blank terms; a term of two subjects; a batch that is written again."""
+    from newsgauge.operators import postings
+
+    indexed(spark, tmp_path, ARTICLE_TEXTS, part_rows)
+    terms = spark.createDataFrame([(i, t) for i, t in enumerate(TERMS)] + [(99, "abcd")], "subject int, term string")
+    got = sorted(map(tuple, postings.match_indexed(spark, str(tmp_path), terms).select("id", "subject", "term").collect()))
+    want = sorted((i, s, t) for i, text in enumerate(ARTICLE_TEXTS) for s, t in [*enumerate(TERMS), (99, "abcd")] if t and t.strip() and t in (text or ""))
+    assert got == want and len(want) > 20
+    assert postings.match_indexed(spark, str(tmp_path), terms.limit(0)).count() == 0
+
+
+def test_a_search_opens_few_files(spark, tmp_path):
+    """Files of other grams and of parts without candidates are spoilt; the search does not read them."""
+    import pathlib
+
+    from newsgauge.operators import postings
+
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("甲乙丙丁戊己庚辛壬癸") for _ in range(60)) for _ in range(400)]
+    texts[17] += "子丑寅卯辰"
+    indexed(spark, tmp_path, texts, 10)
+    slots = {r[0] for r in spark.createDataFrame([("子丑寅卯",), ("丑寅卯辰",)], "g string").select(postings._slot(F.col("g"))).collect()}
+    parts = {(r["batch"], r["shelf"]) for r in postings._read(spark, str(tmp_path), "texts").where("id = 17").collect()}
+    size = kept = 0
+    for f in pathlib.Path(tmp_path).rglob("*.parquet"):
+        at = dict(p.split("=") for p in f.parts if "=" in p)
+        needed = int(at["slot"]) in slots if "slot" in at else (at["batch"], int(at["shelf"])) in parts or int(at["shelf"]) in {s for _, s in parts}
+        size, kept = size + f.stat().st_size, kept + needed * f.stat().st_size
+        if not needed:
+            f.with_name("." + f.name + ".crc").unlink(missing_ok=True)
+            f.write_bytes(b"spoilt")
+    got = postings.match_indexed(spark, str(tmp_path), spark.createDataFrame([("子丑寅卯辰",)], "term string")).collect()
+    assert [r["id"] for r in got] == [17] and kept < size / 5
