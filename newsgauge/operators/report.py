@@ -31,7 +31,7 @@ def ranked(df: DataFrame, row_id: str = "ord") -> DataFrame:
 
 def with_rank(df: DataFrame, group: list[str] | None = None, row_id: str = "ord", name: str = "rank") -> DataFrame:
     """Place of each article in the report, or in its group's part of it."""
-    return with_position(df, report_order(row_id), group, name)
+    return with_position(df, report_order(row_id), group, name, row_id, ("category", "score", "date"))
 
 
 def by_project(df: DataFrame, keywords: DataFrame, row_id: str = "ord") -> DataFrame:

@@ -23,7 +23,8 @@ def requested_articles(articles: DataFrame, keywords: DataFrame, subjects: DataF
     once = dedup.keep_first(hits, [F.col("keyword"), F.col("ord")], [F.col("query_rank"), F.col("pos")])
     once = once.withColumnRenamed("ord", "landed_ord")
     order = [F.col(c) for c in ("keyword_rank", "query_rank", "pos", "landed_ord")]
-    return with_position(once, order, name="ord").drop("keyword_rank", "query_rank", "pos", "term")
+    once = with_position(once, order, name="ord", row_id=["keyword", "landed_ord"], using=["keyword_rank", "query_rank", "pos"])
+    return once.drop("keyword_rank", "query_rank", "pos", "term")
 
 
 def request_report(articles: DataFrame, keywords: DataFrame, dims: Dimensions, settings: Settings,

@@ -50,8 +50,3 @@ def cut(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
-
-def cut_in_place(df: DataFrame) -> DataFrame:
-    """Like :func:`cut`, for a result whose partitions and their order are to stay as they are."""
-    use_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from newsgauge.operators.position import in_files
 from newsgauge.operators.report import report_order, with_rank
 
 _CSV = {"header": True, "quote": '"', "escape": '"', "encoding": "UTF-8"}
@@ -51,8 +52,7 @@ def rejected_columns(df: DataFrame) -> DataFrame:
 
 def write_kept_csv(df: DataFrame, path: str, row_id: str = "ord") -> None:
     """Numbered article list in report order; the part files follow the numbering."""
-    # the numbered table is sorted over its partitions already
-    kept_columns(with_rank(df, row_id=row_id)).write.options(**_CSV).csv(path)
+    kept_columns(in_files(with_rank(df, row_id=row_id), "rank", df.count())).write.options(**_CSV).csv(path)
 
 
 def write_scored_csv(df: DataFrame, path: str, row_id: str = "ord") -> None:

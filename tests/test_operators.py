@@ -378,6 +378,40 @@ def test_cities_come_from_a_table(spark, monkeypatch, inline):
     assert got == want and got["宁波晚报"] == v.LOCAL and got["某某日报"] == v.PROVINCIAL
 
 
+# --- numbering of narrow keys ---
+
+def test_only_keys_are_ranked(spark, monkeypatch):
+    """Wide columns are neither written nor sorted; starts of partitions are broadcast; rows without a group value count too."""
+    from newsgauge.operators import position
+
+    rows = [(i, None if i % 7 == 0 else f"g{i % 3}", i * 37 % 101, "w" * 50) for i in range(500)]
+    df = spark.createDataFrame(rows, "ord long, g string, x int, wide string").repartition(6)
+    written = []
+    cut = position.cut
+    monkeypatch.setattr(position, "cut", lambda d: written.append(d) or cut(d))
+    out = with_position(df, [F.col("x").desc(), F.col("ord")], ["g"], row_id="ord", using=["x"])
+    want = {}
+    for g in {r[1] for r in rows}:
+        for n, r in enumerate(sorted((r for r in rows if r[1] == g), key=lambda r: (-r[2], r[0])), 1):
+            want[r[0]] = (n, r[3])
+    assert {r["ord"]: (r["position"], r["wide"]) for r in out.collect()} == want
+    assert len(written) == 3 and not any("wide" in d.columns for d in written)
+    joined = with_position(df.drop("wide"), [F.col("x"), F.col("ord")], ["g"])
+    assert "BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_numbered_files_follow_the_numbers(spark):
+    from newsgauge.operators.position import in_files
+
+    df = spark.range(1000).selectExpr("1000 - id AS n")
+    parts = in_files(df, "n", 1000, 300).select("n", F.spark_partition_id().alias("p")).collect()
+    by_part = {}
+    for r in parts:
+        by_part.setdefault(r["p"], []).append(r["n"])
+    assert [n for p in sorted(by_part) for n in by_part[p]] == list(range(1, 1001)) and {len(x) for x in by_part.values()} == {250}
+    assert in_files(df.limit(0), "n", 0).count() == 0
+
+
 # --- redirects and first rows -----------------------------------------------------------------------------------
 
 def test_redirect_chains(spark):
