@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from newsgauge.catalogue import checks as k
 from newsgauge.catalogue.filtering import _tier
 from newsgauge.catalogue.registry import query, table
 from newsgauge.catalogue.views import ARTICLES_SQL, articles, labels, outlets
+from newsgauge.functions.urls import canonical_url
 from newsgauge.operators import classify, funnel, report
+from newsgauge.session import cut, use_checkpoint_dir
+from newsgauge.streaming.ledger import Ledger
 
 
 def tiered(spark, sf):
@@ -78,3 +83,27 @@ def partial_merge(spark, sf):
     )
     daily = events.groupBy("day", "dimension", "key").agg(F.count("*").alias("n"))
     return report.merge_partials(daily)
+
+
+_LEDGER_FACTS = f"""SELECT ord % 40 AS payload, CASE WHEN ord // 40 % 2 = 0 THEN 2 ELSE 1 END AS version, keyword, {k.canonical('url')} AS url_key, ord, {k.noise('title', 'snippet')} AS reason, source
+  FROM {ARTICLES_SQL}"""
+
+
+@query("ledger_counts", f"""
+WITH f AS ({_LEDGER_FACTS}), l AS (SELECT payload, max(version) AS version FROM f GROUP BY payload), n AS (SELECT f.* FROM f JOIN l USING (payload, version)),
+w AS (SELECT *, CASE WHEN reason IS NULL THEN row_number() OVER (PARTITION BY keyword, url_key, reason IS NULL ORDER BY ord) END AS place FROM n)
+SELECT keyword, 'outcome' AS dimension, CASE WHEN reason IS NOT NULL THEN reason WHEN place = 1 THEN 'kept' ELSE '重复内容' END AS key, count(*) AS n FROM w GROUP BY ALL
+UNION ALL SELECT keyword, 'source', source, count(*) FROM w WHERE place = 1 GROUP BY ALL""")
+def ledger_counts(spark, sf):
+    """Increments of batches in the wrong order: a payload's newer version may come before the older, first links come last, and a batch comes twice."""
+    use_checkpoint_dir(spark)
+    ledger = Ledger(spark, f"{spark.sparkContext.getCheckpointDir()}/ledger-{uuid.uuid4().hex}", 8)
+    rows = articles(spark, sf).select(
+        F.lpad((F.col("ord") % 40).cast("string"), 2, "0").alias("payload"), F.when(F.floor(F.col("ord") / 40) % 2 == 0, "2").otherwise("1").alias("version"), "keyword",
+        canonical_url(F.col("url")).alias("url_key"), F.lpad(F.col("ord").cast("string"), 19, "0").alias("ord"),
+        funnel.noise_reason(F.col("title"), F.col("snippet")).alias("reason"), "source")
+    rows = cut(rows)
+    late = F.col("payload") < "20"
+    for batch, part in enumerate((rows.where(~late & (F.col("version") == "1")), rows.where(late & (F.col("version") == "2")), rows.where(F.col("version") == "1"), rows.where("version = '2'"))):
+        ledger.apply(part, batch)
+    return ledger.counts()
