@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from newsgauge import values as v
@@ -10,6 +12,7 @@ from newsgauge.catalogue.filtering import _tier, link_targets, landed_pages
 from newsgauge.catalogue.registry import query, table
 from newsgauge.catalogue.views import ARTICLES_SQL, articles, labels, outlets, quote
 from newsgauge.operators import classify, funnel, lookup, verify
+from newsgauge.session import use_checkpoint_dir
 
 _WORDS = ((1, "red widget", "A"), (2, "ring", "B"), (3, "large rod extra", "C"), (4, "e", "D"))
 
@@ -69,13 +72,15 @@ def outlet_from_domain(spark, sf):
 _CITIES = ("某某", "大同")
 
 
-@query("outlet_tiers", f"""
+_NAMED_TIERS_SQL = f"""
 WITH n AS (SELECT ord, CASE WHEN ord % 5 = 0 THEN media || '日报' WHEN ord % 5 = 1 THEN ' ' || media || '融媒体 ' WHEN ord % 5 = 2 THEN '山西' || media || '新闻网' ELSE media END AS media FROM {ARTICLES_SQL}),
 t AS (SELECT *, {k.trim('media')} AS name FROM n)
-SELECT ord, {_tier('name').replace(k.rule_tier('name'), k.rule_tier('name', _CITIES))} AS category FROM t""")
-def outlet_tiers(spark, sf):
+SELECT ord, {_tier('name').replace(k.rule_tier('name'), k.rule_tier('name', _CITIES))} AS category FROM t"""
+
+
+def _named(spark, sf):
     n, media = F.col("ord") % 5, F.col("media")
-    named = articles(spark, sf).select(
+    return articles(spark, sf).select(
         "ord",
         F.when(n == 0, F.concat(media, F.lit("日报")))
         .when(n == 1, F.concat(F.lit(" "), media, F.lit("融媒体 ")))
@@ -83,7 +88,21 @@ def outlet_tiers(spark, sf):
         .otherwise(media)
         .alias("media"),
     )
-    return classify.with_category(named, "ord", outlets(spark), _CITIES, labels(spark)).select("ord", "category")
+
+
+@query("outlet_tiers", _NAMED_TIERS_SQL)
+def outlet_tiers(spark, sf):
+    return classify.with_category(_named(spark, sf), "ord", outlets(spark), _CITIES, labels(spark)).select("ord", "category")
+
+
+@query("outlet_tiers_stored", _NAMED_TIERS_SQL)
+def outlet_tiers_stored(spark, sf):
+    """The same tiers from a store that a run over some articles began and a run over all completes."""
+    use_checkpoint_dir(spark)
+    store = f"{spark.sparkContext.getCheckpointDir()}/outlets-{uuid.uuid4().hex}"
+    rows = _named(spark, sf)
+    classify.stored_tiers(store, rows.where("ord % 3 = 0").select("media").distinct(), outlets(spark), _CITIES)
+    return classify.with_category(rows, "ord", outlets(spark), _CITIES, labels(spark), store=store).select("ord", "category")
 
 
 @query("newspaper_tiers", f"""WITH n AS (SELECT doc_id, source || CASE doc_id % 6 WHEN 0 THEN '大同日报' WHEN 1 THEN '北京晚报' WHEN 2 THEN '都市报'

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -10,6 +11,7 @@ from newsgauge import values as v
 from newsgauge.functions.text import any_of, trim_ws
 from newsgauge.operators.joins import attach
 from newsgauge.operators.lookup import constant_array, first_containing, first_match, pairs_array
+from newsgauge.session import cut
 
 
 def domain_tier(name: Column, pairs=v.DOMAIN_TIERS) -> Column:
@@ -39,10 +41,8 @@ def label_tier(label: Column) -> Column:
     return F.when(label == v.WECHAT_TIER, v.INDUSTRY).when(label.isin(*v.LABEL_TIERS), label).otherwise(v.UNCLASSIFIED)
 
 
-def classify_outlets(names: DataFrame, dictionary: DataFrame | None = None, cities=(),
-                     labels: DataFrame | None = None) -> DataFrame:
-    """Tier per outlet of a table with distinct ``media``: dictionary, domain, place and industry
-    rules, then the external labels for what is left. Adds ``category`` and ``labelled``.
+def rule_tiers(names: DataFrame, dictionary: DataFrame | None = None, cities=()) -> DataFrame:
+    """Tier per outlet of a table with distinct ``media`` by dictionary, domain, place and industry rules, as ``rule``.
 
     ``cities`` is a list of names or a table with a column ``city``, of any size.
     """
@@ -61,28 +61,79 @@ def classify_outlets(names: DataFrame, dictionary: DataFrame | None = None, citi
         F.col("value"), domain_tier(name), newspaper_tier(name, cities), industry_tier(name),
         F.lit(v.UNCLASSIFIED),
     )
-    outlets = outlets.select("media", F.when(name == "", v.UNCLASSIFIED).otherwise(rules).alias("_rule"))
+    return outlets.select("media", F.when(name == "", v.UNCLASSIFIED).otherwise(rules).alias("rule"))
+
+
+def with_labels(outlets: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """``category`` and ``labelled`` of outlets with a ``rule``: external labels place what the rules did not."""
     if labels is None:
-        return outlets.select("media", F.col("_rule").alias("category"), F.lit(False).alias("labelled"))
+        return outlets.select("media", F.col("rule").alias("category"), F.lit(False).alias("labelled"))
     given = labels.groupBy("media").agg(F.min("category").alias("_label"))
-    unknown = F.col("_rule") == v.UNCLASSIFIED
+    asked = (F.col("rule") == v.UNCLASSIFIED) & F.col("_label").isNotNull()
     return outlets.join(given, "media", "left").select(
-        "media",
-        F.when(unknown & F.col("_label").isNotNull(), label_tier(F.col("_label")))
-        .otherwise(F.col("_rule"))
-        .alias("category"),
-        (unknown & F.col("_label").isNotNull()).alias("labelled"),
-    )
+        "media", F.when(asked, label_tier(F.col("_label"))).otherwise(F.col("rule")).alias("category"), asked.alias("labelled"))
+
+
+def classify_outlets(names: DataFrame, dictionary: DataFrame | None = None, cities=(),
+                     labels: DataFrame | None = None) -> DataFrame:
+    """Tier per outlet of a table with distinct ``media``: the rules, then the external labels for what is
+    left. Adds ``category`` and ``labelled``."""
+    return with_labels(rule_tiers(names, dictionary, cities), labels)
 
 
 def with_category(df: DataFrame, row_id: str = "ord", dictionary: DataFrame | None = None, cities=(),
-                  labels: DataFrame | None = None, labelled: bool = False) -> DataFrame:
+                  labels: DataFrame | None = None, labelled: bool = False, store: str | None = None) -> DataFrame:
     """Add ``category``, and with ``labelled`` whether an external label was asked for it. Each distinct outlet is
-    classified once and joined back."""
-    outlets = classify_outlets(df.select("media").distinct(), dictionary, cities, labels)
+    classified once and joined back; with a ``store`` (a folder), outlets that an earlier run has classified are read from it."""
+    names = df.select("media").distinct()
+    if store is None:
+        outlets = classify_outlets(names, dictionary, cities, labels)
+    else:
+        outlets = with_labels(stored_tiers(store, names, dictionary, cities), labels)
     return attach(df, outlets if labelled else outlets.select("media", "category"), "media", row_id)
 
 
+# --- outlets kept between runs ---------------------------------------------------------------------------------
+
+_STORED = "media string, rule string, rules string"
+
+
+def rules_version(dictionary: DataFrame | None = None, cities=()) -> str:
+    """A name for the rules: equal for equal dictionaries, cities and fixed lists, whatever the order of rows."""
+    fixed = [v.DOMAIN_TIERS, v.PROVINCES, v.PAPER_WORDS, v.INDUSTRY_WORDS, () if isinstance(cities, DataFrame) else sorted(cities)]
+    parts = [repr(fixed)]
+    for table in (dictionary, cities):
+        if isinstance(table, DataFrame):
+            row = F.xxhash64(*[F.col(c) for c in sorted(table.columns)]).cast("decimal(38,0)")
+            parts.append(str(tuple(table.agg(F.count("*"), F.sum(row), F.bit_xor(row.cast("bigint"))).first())))
+    return hashlib.md5("|".join(parts).encode()).hexdigest()
+
+
+def stored_tiers(path: str, names: DataFrame, dictionary: DataFrame | None = None, cities=()) -> DataFrame:
+    """``rule_tiers`` of distinct names, of which only those are classified that the store at ``path`` does not have by the same rules.
+
+    The store has a folder for each version of the rules; a run appends the outlets that are new to it, so other files stay
+    as they are. Labels are no part of it: they are joined when the tiers are read. Runs at one time may both append a
+    name; equal rules gave both rows, and one is read. A null name is never stored.
+    """
+    spark = names.sparkSession
+    version = rules_version(dictionary, cities)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/rules={version}")
+
+    def known() -> DataFrame:
+        stored = spark.read.schema(_STORED).option("basePath", path).parquet(f"{path}/rules={version}")
+        return stored.groupBy("media").agg(F.min("rule").alias("rule"))
+
+    named = names.where(F.col("media").isNotNull())
+    kept = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    fresh = cut(named.join(known(), "media", "left_anti") if kept else named)
+    if not fresh.isEmpty():
+        rule_tiers(fresh, dictionary, cities).write.mode("append").parquet(f"{path}/rules={version}")
+    elif not kept:
+        return rule_tiers(names, dictionary, cities)
+    return known().join(names, "media", "left_semi").unionByName(rule_tiers(names.where(F.col("media").isNull()), dictionary, cities))
+
+
 def unlabelled_outlets(outlets: DataFrame) -> DataFrame:
     """Outlets still to be labelled by hand or by a model."""
     return outlets.where((F.col("category") == v.UNCLASSIFIED) & ~F.col("labelled")).select("media")

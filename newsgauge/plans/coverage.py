@@ -33,6 +33,7 @@ class Dimensions:
     resolved: DataFrame | None = None         # url, final_url
     pages: DataFrame | None = None            # url, final_url, html; one row per url
     cities: tuple[str, ...] | DataFrame = ()  # names, or a table: city
+    outlet_store: str | None = None           # folder that keeps the tiers of outlets between runs
 
 
 @dataclass
@@ -131,7 +132,7 @@ def unrequested_articles(articles: DataFrame, keywords: DataFrame) -> DataFrame:
 
 def _finalise(df: DataFrame, dims: Dimensions, settings: Settings) -> DataFrame:
     """Own-account rule, tier, personal-account rule."""
-    df = classify.with_category(df, "ord", dims.outlets, dims.cities, dims.labels, labelled=True)
+    df = classify.with_category(df, "ord", dims.outlets, dims.cities, dims.labels, labelled=True, store=dims.outlet_store)
     df = _reject(df, funnel.own_account(F.col("media"), settings.own_accounts), v.REASON_OWN)
     return _reject(df, F.col("category") == v.PERSONAL, v.REASON_PERSONAL)
 

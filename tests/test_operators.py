@@ -442,6 +442,29 @@ def test_flag_first_shuffles_no_wide_rows(spark):
     assert not [line for line in plan.splitlines() if "Exchange hashpartitioning(k" in line and "wide" in line]
 
 
+# --- outlets kept between runs ---
+
+def test_only_new_outlets_are_classified(spark, tmp_path, monkeypatch):
+    dictionary = spark.createDataFrame([(0, "人民日报", "人民日报/央视"), (1, "新华", "中央级")], "ord int, key string, value string")
+    names = ["新华社", "山西晚报", "", None, "没人知道", "某新闻网", "人民日报海外版"]
+    table = lambda ns: spark.createDataFrame([(n,) for n in ns], "media string")
+    asked = []
+    rules = classify.rule_tiers
+    monkeypatch.setattr(classify, "rule_tiers", lambda d, *a: asked.append({r[0] for r in d.collect()} - {None}) or rules(d, *a))
+    tiers = lambda df: {r["media"]: r["rule"] for r in df.collect()}
+    want = tiers(rules(table(names), dictionary))
+    assert tiers(classify.stored_tiers(str(tmp_path), table(names[:3]), dictionary)) == {n: want[n] for n in names[:3]}
+    assert tiers(classify.stored_tiers(str(tmp_path), table(names), dictionary)) == want
+    files = sorted(tmp_path.rglob("*.parquet"))
+    assert tiers(classify.stored_tiers(str(tmp_path), table(names[2:5]), dictionary)) == {n: want[n] for n in names[2:5]}
+    assert [a for a in asked if a] == [set(names[:3]), {"没人知道", "某新闻网", "人民日报海外版"}]
+    assert sorted(tmp_path.rglob("*.parquet")) == files
+    # other rules have a folder of their own; the order of their rows does not matter
+    assert classify.rules_version(dictionary) == classify.rules_version(dictionary.orderBy(F.desc("ord"))) != classify.rules_version(dictionary, ("大同",))
+    more = dictionary.unionByName(table(["没人"]).selectExpr("2 AS ord", "media AS key", "'地方' AS value"))
+    assert tiers(classify.stored_tiers(str(tmp_path), table(names), more))["没人知道"] == "地方"
+
+
 # --- stored index ---------------------------------------------------------------------------------------------
 
 ARTICLE_TEXTS = ["", None, "abc", "abcd", "xabcdx abcd", "中国建筑第八工程局", "建筑", "e", "ee e", "line one\nline two", "𝒳𝒴𝒵𝒲 plain", "100% _sure", "ab"]
