@@ -157,10 +157,14 @@ def _tier(name: str) -> str:
 
 _KEPT_URL = k.decode("url", v.URL_ENTITIES)
 _DOMAIN_NAME = f"COALESCE({k.first_pair('lower(media)', v.DOMAIN_OUTLETS)}, {k.first_pair('lower(url)', v.DOMAIN_OUTLETS)})"
-_COVERAGE_SQL = f"""
+
+
+def coverage_sql(rows: str = ARTICLES_SQL, ranks: str = "SELECT lang AS keyword, min(doc_id) AS keyword_rank FROM documents GROUP BY lang") -> str:
+    """Common tables of the checking engine for the whole job over ``rows``; ``done`` has each row's outcome."""
+    return f"""
 WITH terms AS ({_TERMS_SQL}),
-ranks AS (SELECT lang AS keyword, min(doc_id) AS keyword_rank FROM documents GROUP BY lang),
-raw AS (SELECT a.*, t.project, t.terms, r.keyword_rank FROM {ARTICLES_SQL} a JOIN terms t USING (keyword) JOIN ranks r USING (keyword)
+ranks AS ({ranks}),
+raw AS (SELECT a.*, t.project, t.terms, r.keyword_rank FROM {rows} a JOIN terms t USING (keyword) JOIN ranks r USING (keyword)
   WHERE NOT regexp_matches(date, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}\\z') OR date BETWEEN '{DATE_FROM}' AND '{DATE_TO}'),
 f1 AS (SELECT *, CASE WHEN regexp_matches(media, '八局|中建|中国建筑') THEN '自身发布内容' ELSE COALESCE({k.noise('title', 'snippet')},
   CASE WHEN len(list_filter(terms, lambda x: contains(title || snippet, x))) = 0 THEN '未提到具体项目名' END) END AS r1 FROM raw),
@@ -187,6 +191,18 @@ done AS (SELECT *, CASE WHEN live AND regexp_matches(media, '八局|中建|中
     WHEN live AND category = '个人账号' THEN '个人账号' ELSE r5 END AS filter_reason FROM f12)"""
 
 
+_COVERAGE_SQL = coverage_sql()
+STATS_SQL = """, shown AS (SELECT CASE WHEN filter_reason IS NULL THEN category END AS category,
+  CASE WHEN filter_reason IS NULL THEN source END AS source, CASE WHEN filter_reason IS NULL THEN project END AS project, filter_reason,
+  CASE WHEN filter_reason IS NULL THEN 'kept' ELSE 'filtered' END AS status FROM done WHERE NOT elsewhere)
+SELECT 'category' AS dimension, category AS key, count(*) AS n FROM shown WHERE category IS NOT NULL GROUP BY category
+UNION ALL SELECT 'source', source, count(*) FROM shown WHERE source IS NOT NULL GROUP BY source
+UNION ALL SELECT 'project', project, count(*) FROM shown WHERE project IS NOT NULL GROUP BY project
+UNION ALL SELECT 'filter_reason', filter_reason, count(*) FROM shown WHERE filter_reason IS NOT NULL GROUP BY filter_reason
+UNION ALL SELECT 'status', status, count(*) FROM shown GROUP BY status
+UNION ALL SELECT 'total', '', count(*) FROM shown"""
+
+
 @query("coverage_rows", _COVERAGE_SQL + """
 SELECT ord, project, title, media, url, COALESCE(category, '') AS category, CASE WHEN r2 IS NULL THEN score ELSE -999 END AS score, COALESCE(filter_reason, '') AS filter_reason,
   CASE WHEN elsewhere THEN 'owned_elsewhere' WHEN filter_reason IS NULL THEN 'kept' ELSE 'filtered' END AS status FROM done""")
@@ -198,15 +214,7 @@ def coverage_rows(spark, sf):
     )
 
 
-@query("coverage_report", _COVERAGE_SQL + """, shown AS (SELECT CASE WHEN filter_reason IS NULL THEN category END AS category,
-  CASE WHEN filter_reason IS NULL THEN source END AS source, CASE WHEN filter_reason IS NULL THEN project END AS project, filter_reason,
-  CASE WHEN filter_reason IS NULL THEN 'kept' ELSE 'filtered' END AS status FROM done WHERE NOT elsewhere)
-SELECT 'category' AS dimension, category AS key, count(*) AS n FROM shown WHERE category IS NOT NULL GROUP BY category
-UNION ALL SELECT 'source', source, count(*) FROM shown WHERE source IS NOT NULL GROUP BY source
-UNION ALL SELECT 'project', project, count(*) FROM shown WHERE project IS NOT NULL GROUP BY project
-UNION ALL SELECT 'filter_reason', filter_reason, count(*) FROM shown WHERE filter_reason IS NOT NULL GROUP BY filter_reason
-UNION ALL SELECT 'status', status, count(*) FROM shown GROUP BY status
-UNION ALL SELECT 'total', '', count(*) FROM shown""")
+@query("coverage_report", _COVERAGE_SQL + STATS_SQL)
 def coverage_stats(spark, sf):
     return run_coverage(spark, sf).stats()
 

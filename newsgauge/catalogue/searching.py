@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 from newsgauge import values as v
 from newsgauge.catalogue import checks as k
 from newsgauge.catalogue.registry import query, table
-from newsgauge.catalogue.views import ARTICLES_SQL, SUBJECT_ROWS, articles, sql_rows, subjects
+from newsgauge.catalogue.filtering import DATE_FROM, DATE_TO, STATS_SQL, coverage_sql, landed_pages, link_targets
+from newsgauge.catalogue.views import ARTICLES_SQL, SUBJECT_ROWS, articles, labels, outlets, sql_rows, subjects
 from newsgauge.operators import keywords as kw, postings
 from newsgauge.operators.lookup import INLINE_TERMS, match_terms
-from newsgauge.plans.request import requested_articles
+from newsgauge.plans.coverage import Dimensions, Settings
+from newsgauge.plans.request import request_report, requested_articles
 from newsgauge.plans.search import search_articles
 from newsgauge.session import use_checkpoint_dir
 
@@ -177,11 +179,41 @@ _REQUEST = ((0, "en", ("ing the ", "English desk", "en")), (1, "fr", ("Bureau",
 _REQUEST_SQL = sql_rows(tuple((r, k, i, q) for r, k, qs in _REQUEST for i, q in enumerate(qs)), "keyword_rank, keyword, query_rank, term")
 
 
-@query("requested_articles", f"""
+_REQUESTED_SQL = f"""
 WITH h AS (SELECT q.*, a.ord, row_number() OVER (PARTITION BY q.keyword, q.query_rank ORDER BY a.date DESC, a.ord) AS pos
   FROM {ARTICLES_SQL} a JOIN {_REQUEST_SQL} q ON contains(a.title || a.snippet, q.term)),
 f AS (SELECT *, row_number() OVER (PARTITION BY keyword, ord ORDER BY query_rank, pos) AS n FROM h)
-SELECT keyword, ord AS landed_ord, row_number() OVER (ORDER BY keyword_rank, query_rank, pos, ord) AS ord FROM f WHERE n = 1""")
+SELECT keyword, ord AS landed_ord, row_number() OVER (ORDER BY keyword_rank, query_rank, pos, ord) AS ord FROM f WHERE n = 1"""
+
+
+def _asked_keywords(spark):
+    return spark.createDataFrame([(k, r) for r, k, _ in _REQUEST], "keyword string, keyword_rank int")
+
+
+@query("requested_articles", _REQUESTED_SQL)
 def requested(spark, sf):
-    asked = spark.createDataFrame([(k, r) for r, k, _ in _REQUEST], "keyword string, keyword_rank int")
-    return requested_articles(articles(spark, sf), asked, subjects(spark)).select("keyword", "landed_ord", "ord")
+    return requested_articles(articles(spark, sf), _asked_keywords(spark), subjects(spark)).select("keyword", "landed_ord", "ord")
+
+
+def _report(spark, sf):
+    rows = articles(spark, sf)
+    dims = Dimensions(subjects(spark), outlets(spark), labels(spark), link_targets(rows), landed_pages(rows))
+    return request_report(rows, _asked_keywords(spark), dims, Settings(DATE_FROM, DATE_TO))
+
+
+_REPORT_SQL = coverage_sql(
+    f"(SELECT a.* EXCLUDE (ord, keyword), r.keyword, r.ord FROM {ARTICLES_SQL} a JOIN ({_REQUESTED_SQL}) r ON r.landed_ord = a.ord)",
+    f"SELECT DISTINCT keyword, keyword_rank FROM {_REQUEST_SQL}")
+
+
+@query("request_report", _REPORT_SQL + STATS_SQL)
+def request_stats(spark, sf):
+    """From keywords to the counts of a report: queries, search, funnel, score, ownership, names, tiers."""
+    return _report(spark, sf).stats()
+
+
+@query("request_projects", _REPORT_SQL + """
+SELECT r.keyword, t.project, count(d.ord) FILTER (WHERE d.filter_reason IS NULL AND NOT d.elsewhere) AS n_kept, count(d.ord) AS n_raw
+FROM ranks r JOIN terms t USING (keyword) LEFT JOIN done d ON d.project = t.project GROUP BY r.keyword, t.project""")
+def request_projects(spark, sf):
+    return _report(spark, sf).by_project()
