@@ -14,10 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from newsgauge.llm.common import query, shared_folder, staged, table, text_of
+from newsgauge.llm.common import in_slices_of, query, shared_folder, staged, table, text_of
 from newsgauge.llm.tokens import BYTE_BPE, text_encoder
 
 #: Bytes of each of the four ids of a control byte.
@@ -49,46 +50,19 @@ def unpack_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def token_blocks(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str, block_ids: int) -> DataFrame:
-    """Encoded documents in ascending order of their ids, in blocks of at least ``block_ids`` ids.
-
-    Ranges of document ids are dealt to tasks, so the order holds over all tasks: part is the number of
-    the range, seq the block in it, before the ids in the part's earlier blocks.
-    """
+def encoded(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str, slice_bytes: int = 1 << 22) -> DataFrame:
+    """doc_id and ids (with the end id) of every document, each row by itself; a worker holds texts of ``slice_bytes`` or one longer text."""
     kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
-    ordered = (docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-               .repartitionByRange("doc_id").sortWithinPartitions("doc_id"))
-    end = int(end_id)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = text_encoder(tokenizer)
-        last = np.array([end], ids_of.dtype).tobytes()
-        part, seq, before = TaskContext.get().partitionId(), 0, 0
-        doc_ids, lengths, parts, held = [], [], [], 0
-        id_type = None
-
-        def block() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([
-                pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([before], pa.int64()),
-                pa.array([doc_ids], pa.list_(id_type)), pa.array([lengths], pa.list_(pa.int32())),
-                pa.array([b"".join(parts)], pa.binary())], names=["part", "seq", "before", "doc_ids", "lengths", "ids"])
-
-        for batch in batches:
-            id_type = batch.column("doc_id").type
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = ids_of(text) + last
-                doc_ids.append(doc_id)
-                lengths.append(len(ids) // ids_of.width)
-                parts.append(ids)
-                held += lengths[-1]
-                if held >= block_ids:
-                    yield block()
-                    seq, before = seq + 1, before + held
-                    doc_ids, lengths, parts, held = [], [], [], 0
-        if doc_ids:
-            yield block()
+        for part in in_slices_of(batches, "text", slice_bytes):
+            bounds, ids = ids_of.many(part.column("text").to_pylist(), end_id)
+            column = pa.Array.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(bounds.tobytes()), ids])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), column.cast(pa.binary())], names=["doc_id", "ids"])
 
-    return ordered.mapInArrow(encode, f"part int, seq int, before bigint, doc_ids array<{kind}>, lengths array<int>, ids binary")
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
+    return rows.mapInArrow(encode, f"doc_id {kind}, ids binary")
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str = BYTE_BPE, end_id: int = 0, id_col: str = "doc_id",
@@ -96,67 +70,98 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = BYTE_BPE, end
     """Encode every document, append ``end_id`` to each, and write ids under ``path``.
 
     ``path/blocks`` has a folder for each range of document ids, in ascending order; a null id comes
-    first. ``path/ranks`` has the id of each rank; ids are ranked by their count over all documents,
-    then by value. A null text is empty and has only the end id. Rows with one id are written one after
-    another. An empty table gives files without rows. Other columns are ignored.
+    first. A block has at least ``block_ids`` ids, but for a range's last. ``path/ranks`` has the id of each rank; ids are ranked
+    by their count over all documents, then by value. ``path/parts`` has the number of ids before each range. A null text is empty and has only the end id.
+    Rows with one id are written one after another. An empty table gives files without rows. Other columns are ignored.
 
-    The texts are shuffled once, by ranges. Encoded blocks are written once, then counted and packed;
-    only counts by id (as many as the vocabulary) and sums by range pass the driver.
+    Texts are encoded where they are read and written as ids, of two bytes with most vocabularies; these are counted, and shuffled
+    once, by ranges. Only counts by id (as many as the vocabulary) and sums by range pass the driver.
     """
-    blocks = staged(token_blocks(docs, tokenizer, end_id, id_col, text_col, block_ids), "token-blocks")
+    documents = staged(encoded(docs, tokenizer, end_id, id_col, text_col), "token-ids")
     dtype = text_encoder(tokenizer).dtype
     spark = docs.sparkSession
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, np.int64)
         for batch in batches:
-            for ids in batch.column("ids"):
-                here = np.bincount(np.frombuffer(ids.as_buffer(), dtype))
-                total, here = (here, total) if len(here) > len(total) else (total, here)
-                total[: len(here)] += here
+            here = np.bincount(_joined(batch.column("ids"), dtype))
+            total, here = (here, total) if len(here) > len(total) else (total, here)
+            total[: len(here)] += here
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
 
-    counts = blocks.select("ids").mapInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    counts = documents.select("ids").mapInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
     by_rank = np.array([r["id"] for r in sorted(counts, key=lambda r: (-r["n"], r["id"]))], np.uint32)
     rank_of = np.zeros(int(by_rank.max()) + 1 if len(by_rank) else 1, np.uint32)
     rank_of[by_rank] = np.arange(len(by_rank))
     spark.createDataFrame(list(enumerate(by_rank.tolist())), "rank int, id int").coalesce(1).write.parquet(f"{path}/ranks")
 
-    sums = blocks.groupBy("part").agg(F.sum(F.aggregate("lengths", F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("n")).collect()
-    starts, start = {}, 0
-    for part, n in sorted((r["part"], r["n"]) for r in sums):
-        starts[part] = start
-        start += n
+    kind = documents.schema["doc_id"].dataType.simpleString()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            packed = [pack_ranks(rank_of[np.frombuffer(x.as_buffer(), dtype)]) for x in batch.column("ids")]
-            first = [starts[p] + b for p, b in zip(batch.column("part").to_pylist(), batch.column("before").to_pylist())]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("part"), pa.array(first, pa.int64()), batch.column("doc_ids"), batch.column("lengths"),
-                 *(pa.array([p[i] for p in packed], pa.binary()) for i in (0, 1))],
-                names=["part", "start", "doc_ids", "lengths", "control", "data"])
-
-    kind = blocks.schema["doc_ids"].dataType.simpleString()
-    blocks.mapInArrow(pack, f"part int, start bigint, doc_ids {kind}, lengths array<int>, control binary, data binary") \
-        .write.partitionBy("part").parquet(f"{path}/blocks")
+        """Blocks of one range: ``start`` counts the ids before in the range."""
+        part, start, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def block() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            ids, doc_ids = rows.column("ids").combine_chunks(), rows.column("doc_id").combine_chunks()
+            lengths = pc.divide(pc.binary_length(ids), pa.scalar(dtype.itemsize, pa.int32()))
+            control, data = pack_ranks(rank_of[_joined(ids, dtype)])
+            one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([part], pa.int32()), pa.array([start], pa.int64()), one(doc_ids), one(lengths), pa.array([control], pa.binary()),
+                 pa.array([data], pa.binary())], names=["part", "start", "doc_ids", "lengths", "control", "data"])
+
+        for batch in in_slices_of(batches, "ids", block_ids * dtype.itemsize):
+            held.append(batch)
+            size += len(_joined(batch.column("ids"), dtype))
+            if size >= block_ids:
+                yield block()
+                start, held, size = start + size, [], 0
+        if held:
+            yield block()
+
+    ordered = documents.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ordered.mapInArrow(pack, f"part int, {_BLOCK.format(kind)}").write.partitionBy("part").parquet(f"{path}/blocks")
+    sums = _blocks(spark, path, kind).select("part", F.aggregate("lengths", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n"))
+    parts, start = [], 0
+    for part, n in sorted(map(tuple, sums.groupBy("part").agg(F.sum("n")).collect())):
+        parts.append((part, start))
+        start += n
+    spark.createDataFrame(parts, "part int, before bigint").coalesce(1).write.parquet(f"{path}/parts")
     return path
 
 
+_BLOCK = "start bigint, doc_ids array<{}>, lengths array<int>, control binary, data binary"
+
+
+def _joined(ids: pa.Array, dtype: np.dtype) -> np.ndarray:
+    """The ids of all rows of a binary column, one after another."""
+    if isinstance(ids, pa.ChunkedArray):
+        ids = ids.combine_chunks()
+    bounds = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1]
+    raw = np.frombuffer(ids.buffers()[2], np.uint8)[bounds[0] : bounds[-1]] if len(ids) and ids.buffers()[2] is not None else np.empty(0, np.uint8)
+    return raw.view(dtype)
+
+
+def _blocks(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    return spark.read.schema(f"{_BLOCK.format(kind)}, part int").parquet(f"{path}/blocks")
+
+
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """The documents of token files: doc_id, start (ids of all documents before), n_tokens, ids (as little-endian unsigned 32-bit integers)."""
     ranks = spark.read.parquet(f"{path}/ranks").collect()  # as many as the vocabulary
     by_rank = np.zeros(max(len(ranks), 1), "<u4")
     for r in ranks:
         by_rank[r["rank"]] = r["id"]
+    before = {r["part"]: r["before"] for r in spark.read.parquet(f"{path}/parts").collect()}  # as many as the ranges
     try:
-        blocks = spark.read.parquet(f"{path}/blocks").select("start", "doc_ids", "lengths", "control", "data")
+        kind = spark.read.parquet(f"{path}/blocks").schema["doc_ids"].dataType.elementType.simpleString()
     except Exception as error:  # a table without rows leaves a folder without files
         if "UNABLE_TO_INFER_SCHEMA" not in str(error):
             raise
-        blocks = spark.createDataFrame([], "start bigint, doc_ids array<bigint>, lengths array<int>, control binary, data binary")
-    kind = blocks.schema["doc_ids"].dataType.elementType.simpleString()
+        kind = "bigint"
+    blocks = _blocks(spark, path, kind).select("part", *[c.split()[0] for c in _BLOCK.split(", ")])
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,7 +172,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 control, data = (block.column(c)[0].as_py() for c in ("control", "data"))
                 ids = by_rank[unpack_ranks(control, data, int(lengths.sum()))].tobytes()
                 ends = np.cumsum(lengths.astype(np.int64))
-                starts = ends - lengths + block.column("start")[0].as_py()
+                starts = ends - lengths + block.column("start")[0].as_py() + before[block.column("part")[0].as_py()]
                 offsets = pa.array(np.concatenate([[0], ends * 4]), pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [doc_ids, pa.array(starts), pa.array(lengths.astype(np.int64)),

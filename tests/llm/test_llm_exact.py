@@ -26,9 +26,7 @@ def crc(ids):
 def library(name):
     from tokenizers import Tokenizer
 
-    out = Tokenizer.from_file(tokenizer_file(name))
-    out.encode_special_tokens = True
-    return out
+    return Tokenizer.from_file(tokenizer_file(name))
 
 
 def expected_copies(rows):
@@ -88,6 +86,26 @@ def test_word_memory_on_odd_texts(text):
         assert np.frombuffer(own(text), own.dtype).tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(list("abTS'éßΣ日 \n\t\x85\xa0.,0  ") + ["ing", " the", "<|endoftext|>", "<|"]), max_size=20).map("".join), max_size=6))
+def test_many_texts_at_once(texts):
+    own, other = text_encoder(BYTE_BPE), library(BYTE_BPE)
+    bounds, ids = own.many(texts, 0)
+    got = [np.frombuffer(ids, own.dtype, (b - a) // own.width, a).tolist() for a, b in zip(bounds, bounds[1:])] if texts else []
+    assert got == [other.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+
+
+def test_special_strings_get_the_librarys_ids():
+    for name, special in ((BYTE_BPE, ["<|endoftext|>"]), (WORD_BPE, ["<|endoftext|>", "<|startoftext|>"])):
+        own, other = text_encoder(name), library(name)
+        for s in special:
+            ids = other.encode(s, add_special_tokens=False).ids
+            assert len(ids) == 1
+            for text in (s, f"hello {s} world", f"a{s}b  {s}\n"):
+                got = np.frombuffer(own(text), own.dtype).tolist()
+                assert got == other.encode(text, add_special_tokens=False).ids and ids[0] in got
+
+
 def test_token_files(spark, docs):
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     got = sorted(read_token_files(spark, write_token_files(docs, path, block_ids=64)).collect(), key=lambda r: r["start"])
