@@ -77,7 +77,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = BYTE_BPE, end
     Texts are encoded where they are read and written as ids, of two bytes with most vocabularies; these are counted, and shuffled
     once, by ranges. Only counts by id (as many as the vocabulary) and sums by range pass the driver.
     """
-    documents = staged(encoded(docs, tokenizer, end_id, id_col, text_col), "token-ids")
+    documents = staged(encoded(docs, tokenizer, end_id, id_col, text_col), "token-ids", "zstd")
     dtype = text_encoder(tokenizer).dtype
     spark = docs.sparkSession
 
@@ -122,7 +122,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = BYTE_BPE, end
             yield block()
 
     ordered = documents.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInArrow(pack, f"part int, {_BLOCK.format(kind)}").write.partitionBy("part").parquet(f"{path}/blocks")
+    ordered.mapInArrow(pack, f"part int, {_BLOCK.format(kind)}").write.partitionBy("part").parquet(f"{path}/blocks", compression="zstd")
     sums = _blocks(spark, path, kind).select("part", F.aggregate("lengths", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n"))
     parts, start = [], 0
     for part, n in sorted(map(tuple, sums.groupBy("part").agg(F.sum("n")).collect())):
