@@ -382,7 +382,7 @@ def test_query(spark, name):
         for t in ("documents", "embeddings"):
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
         assert plain(got) == plain(con.execute(llm.ORACLE[name]).fetchdf())
-    elif name.split("_")[0] not in ("op2", "op9"):
+    elif name.split("_")[0] not in ("op2", "op9", "op12", "op13"):
         assert len(got) == spark.read.parquet(f"{SF}/documents.parquet").count()
 
 
