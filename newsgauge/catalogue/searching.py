@@ -66,7 +66,7 @@ def keyword_resolve(spark, sf):
 
 
 _QUERIES_SQL = f"""list_filter([CASE WHEN prim IS NOT NULL AND length(terms[1]) >= 6 THEN terms[1] END, CASE WHEN prim IS NOT NULL AND length(terms[2]) >= 6 THEN terms[2] END, prim,
-  aliases[1], aliases[2], aliases[3], aliases[4], prim || ' {' '.join(v.NEWS_WORDS[:3])}', CASE WHEN length(prim) <= 6 THEN '{v.COMPANY_QUERY_PREFIX} ' || prim END, keyword], lambda x: x IS NOT NULL)"""
+  aliases[1], aliases[2], aliases[3], aliases[4], prim || ' {' '.join(v.NEWS_WORDS)}', CASE WHEN length(prim) <= 6 THEN '{v.COMPANY_QUERY_PREFIX} ' || prim END, keyword], lambda x: x IS NOT NULL)"""
 
 
 @query("search_queries", f"""WITH {_ASKED_SQL}, q AS (SELECT keyword, {_QUERIES_SQL} AS qs FROM asked LEFT JOIN best USING (keyword) LEFT JOIN subj USING (prim)),
@@ -175,7 +175,7 @@ def term_matches_indexed(spark, sf):
 
 # the first three queries generated for each keyword from SUBJECT_ROWS
 _REQUEST = ((0, "en", ("ing the ", "English desk", "en")), (1, "fr", ("Bureau", "fr", "bureau")),
-            (2, "de", ("Redaktion Deutschland", "de", "Redaktion Deutschland " + " ".join(v.NEWS_WORDS[:3]))))
+            (2, "de", ("Redaktion Deutschland", "de", "Redaktion Deutschland " + " ".join(v.NEWS_WORDS))))
 _REQUEST_SQL = sql_rows(tuple((r, k, i, q) for r, k, qs in _REQUEST for i, q in enumerate(qs)), "keyword_rank, keyword, query_rank, term")
 
 

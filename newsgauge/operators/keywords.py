@@ -64,7 +64,7 @@ def search_queries(keyword: Column, subject: Column) -> Column:
         F.array(primary),
         F.slice(subject["aliases"], 1, 4),
         F.array(
-            F.concat(primary, F.lit(" " + " ".join(v.NEWS_WORDS[:3]))),
+            F.concat(primary, F.lit(" " + " ".join(v.NEWS_WORDS))),
             F.when(F.length(primary) <= 6, F.concat(F.lit(v.COMPANY_QUERY_PREFIX + " "), primary)),
         ),
     )

@@ -233,10 +233,7 @@ WECHAT_ENTITIES = (
 NAME_ENTITIES = (("&amp;", "&"), ("&quot;", '"'), ("&#39;", "'"))
 
 # --- keywords ---------------------------------------------------------------------------------------
-NEWS_WORDS = (
-    "封顶", "竣工", "验收", "开工", "中标", "贯通", "交付", "启用", "投运", "通过",
-    "进展", "冲刺", "复工", "复工复产", "节点", "突破", "获奖", "表彰", "签约", "开工仪式",
-)
+NEWS_WORDS = ("封顶", "竣工", "验收")
 SUBJECT_TAIL = "(工程|项目|建设项目|工程总承包|施工总承包|项目工程)+$"
 LEGAL_SUFFIX = "有限公司|股份有限公司|集团有限公司|集团|有限责任公司"
 PROVINCE_LEAD = "^(.{2,4}?省)(.+)$"
