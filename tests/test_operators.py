@@ -493,6 +493,22 @@ def test_indexed_terms_equal_a_scan(spark, tmp_path, part_rows):
     assert postings.match_indexed(spark, str(tmp_path), terms.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("limit", [None, 2])
+def test_search_by_index_equals_search_by_scan(spark, tmp_path, limit):
+    from newsgauge.operators import postings
+    from newsgauge.plans.search import search_indexed
+
+    rng = random.Random(4)
+    rows = [(i, "".join(rng.choice("甲乙丙丁") for _ in range(12)), f"2024-01-{i % 9 + 1:02d}", None if i % 5 == 0 else "摘要戊己", "old") for i in range(60)]
+    articles = spark.createDataFrame(rows, "ord long, title string, date string, snippet string, keyword string")
+    queries = spark.createDataFrame([("k", 0, 0, "甲乙"), ("k", 0, 1, "戊己"), ("l", 1, 0, "甲乙丙丁甲"), ("l", 1, 1, "无")], "keyword string, keyword_rank int, query_rank int, term string")
+    postings.add_articles(articles, F.concat("title", F.coalesce("snippet", F.lit(""))), "ord", str(tmp_path), "all", 7)
+    columns = ["keyword", "query_rank", "term", "ord", "pos", "title", "date"]
+    by_index = search_indexed(articles, str(tmp_path), queries, limit).select(*columns)
+    by_scan = search_articles(articles, queries, limit).select(*columns)
+    assert sorted(map(tuple, by_index.collect())) == sorted(map(tuple, by_scan.collect())) and by_scan.count() > 3
+
+
 def test_a_search_opens_few_files(spark, tmp_path):
     """Files of other grams and of parts without candidates are spoilt; the search does not read them."""
     import pathlib
