@@ -77,12 +77,48 @@ def test_repeats_are_those_of_the_whole_host(spark, few_runs):
     rows += [(i, "http://a.example/%d" % i, f"<article>{i if i < 52 else 52} {shared} of pages with an article</article>") for i in range(50, 54)]
     rows += [(i, "http://b.example/%d" % i, "<div>one text that all pages of this other host have in full</div>") for i in range(60, 80)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    whole, dealt = (sorted(map(tuple, extract_main_text(pages, few_runs=few_runs, shard_chars=n).collect())) for n in (4_000_000, 60))
+    whole, dealt = (sorted(map(tuple, extract_main_text(pages, few_runs=few_runs, shard_chars=n, count_all=True).collect()))
+                    for n in (4_000_000, 60))
     assert whole == dealt
+    for n in (4_000_000, 60):  # the same texts when only pages without an article ask; a passage may stand in an article too
+        asked = sorted(map(tuple, extract_main_text(pages, few_runs=few_runs, shard_chars=n).collect()))
+        assert [r[:3] for r in asked] == [r[:3] for r in whole]
+        assert [r for r in asked if not 50 <= r[0] < 54] == [r for r in whole if not 50 <= r[0] < 54]
     assert {t for i, _, t, _ in dealt if i in (3, 17)} == {"3 alone 21", "17 alone 119"}
     assert all(n >= 11 for i, _, _, n in dealt if 50 <= i < 54) and all(t.startswith("one text") for i, _, t, _ in dealt if i >= 60)
 
 
+@pytest.mark.parametrize("shard_chars", [4_000_000, 60])
+def test_pages_with_an_article_are_asked_too(spark, shard_chars):
+    """What one page without an article shares with the frame of a page with one goes; hosts do not meet."""
+    shared = "subscribe now to all of the stories of this house"
+    rows = [(1, "http://a.example/1", f"<div>{shared}</div><div>plain story one</div>"), (4, "http://b.example/4", f"<div>{shared}</div>"),
+            (2, "http://a.example/2", f"<div>{shared}</div><article>marked story two</article>"), (3, "http://a.example/3", "<nav>n</nav>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in extract_main_text(pages, shard_chars=shard_chars).collect()}
+    assert got == {1: "plain story one", 2: "marked story two", 3: "", 4: shared}
+
+
+def test_names_that_say_little():
+    """Names such as no-sidebar, headers and formulas within an article, and unclosed elements lose no text."""
+    assert page_blocks("<div class='content no-sidebar has-widget'><p>Hello</p></div>") == [(1, "Hello")]
+    page = "<article><div class='entry-header'><h1>Head</h1></div><p>x <math>a+b</math></p><object><p>y</p></article><div class='page-header'>z</div>"
+    assert [t for r, t in page_blocks(page) if r == 2] == ["Head", "x a+b", "y"]
+    assert page_blocks("<p>a</p><script>var b") == [(1, "a")]
+
+
+def test_page_query_rows(spark):
+    """The query's rows equal a plain reading of each page's article element."""
+    want = {}
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        article = re.search(r"<article>(.*)</article>", r["html"], re.DOTALL)[1]
+        blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in re.split(r"</?(?:p|h1)>", article)]
+        text = "\n".join(b for b in blocks if b)
+        want[r["page_id"]] = (r["url"], text, len(text))
+    got = {r["page_id"]: (r["url"], r["text"], r["n_chars"]) for r in llm.QUERIES["op2_page_text"](spark, SF).collect()}
+    assert got == want
+
+
 def test_page_query(spark):
     for r, text in ((r, r["html"]) for r in spark.read.parquet(f"{SF}/pages.parquet").collect()):
         article = re.search(r"<article>(.*)</article>", text, re.DOTALL)[1]
