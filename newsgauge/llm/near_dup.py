@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterable, Iterator
+from functools import cache
 from math import ceil, lgamma
 
 import numpy as np
@@ -20,7 +22,9 @@ _RANDOM = np.random.default_rng(20_24)
 _FACTOR = _RANDOM.integers(0, 1 << 63, HASHES, dtype=_U) << _U(1) | _U(1)
 _ADD = _RANDOM.integers(0, 1 << 63, HASHES, dtype=_U)
 _PLACE = _RANDOM.integers(0, 1 << 63, 64, dtype=_U) << _U(1) | _U(1)
-_WORD_BYTE = np.array([chr(b).isalnum() or b == 95 or b >= 128 for b in range(256)])
+#: First and last characters of scripts written without spaces, of which each character is a word (fixed values).
+SINGLE = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF),
+          (0x20000, 0x3FFFF))
 _BASE = 0x9E3779B97F4A7C15
 _powers = (np.ones(1, _U), np.ones(1, _U))
 
@@ -31,6 +35,27 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+@cache
+def _kinds(size: int) -> np.ndarray:
+    """Of each of the first ``size`` characters: 0 between words, 1 in a word, 2 a word by itself."""
+    kinds = np.array([unicodedata.category(chr(c))[0] in "LMN" or c == 95 for c in range(size)], np.uint8)
+    for first, last in SINGLE:
+        kinds[first:last + 1] *= 2
+    return kinds
+
+
+def word_bounds(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The characters of a text as numbers, and where its words start and end."""
+    wide = not text.isascii()
+    raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) if wide else np.frombuffer(text.encode(), np.uint8)
+    kinds = _kinds(128 if not wide else 0x3000 if raw.max() < 0x3000 else 0x110000)[raw]
+    inside = np.concatenate([[0], kinds, [0]])
+    alone = inside == 2
+    starts = np.flatnonzero((inside[1:] > 0) & ((inside[:-1] == 0) | alone[1:] | alone[:-1]))
+    ends = np.flatnonzero((inside[:-1] > 0) & ((inside[1:] == 0) | alone[1:] | alone[:-1]))
+    return raw, starts, ends
+
+
 def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse, modulo 2^64."""
     global _powers
@@ -45,13 +70,11 @@ def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
 def shingles(text: str, words: int = 5) -> np.ndarray:
     """The sorted 64-bit hashes of the runs of ``words`` words of the lower-cased text.
 
-    A word is a run of letters, digits, underscores and characters beyond ASCII. A text with fewer words
+    A word is a run of letters, marks, digits and underscores of any script; in scripts without spaces each
+    character is one. Quotes, dashes and spaces beyond ASCII part words like others. A text with fewer words
     has one shingle, of all its words; one without words has none.
     """
-    raw = np.frombuffer(text.lower().encode(), np.uint8)
-    inside = np.concatenate([[False], _WORD_BYTE[raw], [False]])
-    starts = np.flatnonzero(inside[1:] & ~inside[:-1])
-    ends = np.flatnonzero(inside[:-1] & ~inside[1:])
+    raw, starts, ends = word_bounds(text.lower())
     if len(starts) == 0:
         return np.zeros(0, _U)
     powers, inverses = _powers_to(len(raw) + 1)

@@ -22,7 +22,7 @@ from newsgauge.llm.automaton import compile_rules
 from newsgauge.llm.boosting import BoostedTrees
 from newsgauge.llm.components import components
 from newsgauge.llm.impact_search import ImpactIndex, top_k
-from newsgauge.llm.near_dup import jaccard_join, least_matches, minimum_hashes, shingles
+from newsgauge.llm.near_dup import jaccard_join, least_matches, minimum_hashes, shingles, word_bounds
 from newsgauge.llm.page_text import extract_main_text, page_blocks, repeated
 from newsgauge.llm.personal_data import KINDS, base_spans, find_personal_data, fit_judge, luhn
 from newsgauge.llm.secret_scan import RULES, find_secrets, masked, scanner
@@ -356,6 +356,28 @@ def test_pruning_keeps_pairs_at_the_threshold():
     assert len(near_dup.similar(a, far[None], least)) == 0
 
 
+def test_words_of_all_scripts():
+    """Typographic marks part words, and one changed character of a text without spaces leaves it similar."""
+    assert shingles("\u201cone two\u201d \u2013 three\u00a0four five\u2026 six").tolist() == shingles('"one two" - three four five... six').tolist()
+    assert shingles("na\u00efve caf\u00e9 a b c").tolist() == shingles("NA\u00cfVE, caf\u00e9: a b c").tolist() and len(shingles("na\u00efve caf\u00e9 a b c")) == 1
+    one = "".join(chr(0x4E00 + 37 * i % 5000) for i in range(300))
+    other = one[:150] + "\u4e8c" + one[151:]
+    a, b = set(shingles(one).tolist()), set(shingles(other).tolist())
+    assert len(a) == 296 and len(a & b) / len(a | b) > 0.9
+    for text in ("", "\u3002", "a\u4e00b", "\U00020000x", "\u0939\u093f\u0928\u094d\u0926\u0940 x"):
+        want = re.findall("[\u4e00\U00020000]|[\u0939\u093f\u0928\u094d\u0926\u0940a-z]+", text)
+        raw, starts, ends = word_bounds(text)
+        assert [text[i:j] for i, j in zip(starts, ends)] == want
+
+
+def test_near_copies_without_spaces(spark):
+    one = "".join(chr(0x4E00 + 37 * i % 5000) for i in range(300))
+    quoted = " ".join(f"word{i}" + (",\u201d" if i % 9 == 0 else "") for i in range(60))
+    rows = [(1, one), (2, one[:150] + "\u4e8c" + one[151:]), (3, one[::-1]), (4, quoted), (5, quoted.replace("\u201d", '"')), (6, quoted[::-1])]
+    got = {r["doc_id"]: r["class_id"] for r in jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == got[2] and got[4] == got[5] and len(set(got.values())) == 4
+
+
 def test_shingles():
     assert len(shingles("")) == 0 and len(shingles("... !")) == 0 and len(shingles("a b c")) == 1
     assert shingles("A b, c d e f").tolist() == shingles("a b c d  e F.").tolist() and len(shingles("a b c d e f")) == 2
