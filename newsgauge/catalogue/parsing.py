@@ -75,10 +75,12 @@ def news_payloads(spark, sf):
 _NEWS_BODY_SQL = "'<html>' || array_to_string(list(" + _NEWS_ITEM.replace("x,", "line,").replace("x, '</div>", "line, '</div>") + " ORDER BY i), '') || '</html>'"
 
 
-@query("news_html_parse", f"""
+def _news_sql(window: str) -> str:
+    """Check SQL of the parsed results, each read from ``window``: parts are the page's texts between headlines, j is its number."""
+    return f"""
 WITH {_LINES_SQL}, b AS (SELECT doc_id, {_NEWS_BODY_SQL} AS body FROM lines GROUP BY doc_id),
 p AS (SELECT doc_id, string_split(body, '{_H3}') AS parts FROM b),
-w AS (SELECT doc_id, j, substr('{_H3}' || array_to_string(parts[j:j + 12], '{_H3}'), 1, 1500) AS w FROM (SELECT *, unnest(range(2, len(parts) + 1)) AS j FROM p)),
+w AS (SELECT doc_id, j, {window} AS w FROM (SELECT *, unnest(range(2, len(parts) + 1)) AS j FROM p)),
 t AS (SELECT *, {k.trim(k.strip_tags(f"regexp_extract(w, '(?s){_H3}<a href=\"([^\"]*)\"[^>]*>(.*?)</a>', 2)"))} AS title FROM w),
 k AS (SELECT *, CASE WHEN contains(w, 'news-source') THEN substr(w, strpos(w, 'news-source'), 900) ELSE '' END AS line, row_number() OVER (PARTITION BY doc_id ORDER BY j) - 1 AS pos FROM t WHERE length(title) >= 4),
 d AS (SELECT *, COALESCE(nullif(regexp_extract(w, 'aria-label="发布于：([^"]*)"', 1), ''), nullif(regexp_extract(line, '([0-9]+ *天前)', 1), ''),
@@ -88,11 +90,20 @@ SELECT doc_id, pos, title, regexp_extract(w, '<a href="([^"]*)"', 1) AS url,
   CASE WHEN said = '2024-1-5' THEN '2024-01-05' WHEN contains(said, '天前') THEN strftime(TIMESTAMP '{AS_OF}' - to_days(regexp_extract(said, '[0-9]+')::INTEGER), '%Y-%m-%d')
     WHEN contains(said, '小时前') THEN strftime(TIMESTAMP '{AS_OF}' - to_hours(regexp_extract(said, '[0-9]+')::BIGINT), '%Y-%m-%d') WHEN said = '8月2日' THEN '2024-08-02' ELSE said END AS date,
   COALESCE(nullif(regexp_extract(w, 'aria-label="新闻来源：([^"]*)"', 1), ''), nullif({k.first_pair(k.site('link'), v.HOST_SHORT_NAMES, k.site('link'))}, ''), '未知来源') AS media,
-  substr({k.trim("replace(" + k.squeeze(k.strip_tags('w', ' ')) + ", title, '')")}, 1, 200) AS snippet FROM d""")
+  substr({k.trim("replace(" + k.squeeze(k.strip_tags('w', ' ')) + ", title, '')")}, 1, 200) AS snippet FROM d"""
+
+
+@query("news_html_parse", _news_sql(f"substr('{_H3}' || array_to_string(parts[j:j + 12], '{_H3}'), 1, 1500)"))
 def news_html_parse(spark, sf):
     return _rows(p.parse_news_html(news_payloads(spark, sf), AS_OF))
 
 
+@query("news_html_whole", _news_sql(f"'{_H3}' || parts[j]"))
+def news_html_whole(spark, sf):
+    """Each result from its headline to the next one, however long."""
+    return _rows(p.parse_news_html(news_payloads(spark, sf), AS_OF, whole=True))
+
+
 # --- account result HTML --------------------------------------------------------------------------------
 
 _BLOCK = """concat('<div class="txt-box"><h3><a target="_blank" href="/link?url=', doc_id, '-', i, '">', x, '</a></h3><p class="txt-info"><span>document.write(1)</span><span>',

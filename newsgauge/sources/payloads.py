@@ -80,31 +80,42 @@ def short_outlet(url: Column) -> Column:
 _NEWS_H3 = r'<h3[^>]*class="[^"]*news-title[^"]*"[^>]*>'
 
 
-def parse_news_html(df: DataFrame, as_of, body: str = "body", max_results: int | None = None) -> DataFrame:
-    """Result list HTML: one window of fixed length per headline, windows may overlap."""
+def parse_news_html(df: DataFrame, as_of, body: str = "body", max_results: int | None = None, whole: bool = False) -> DataFrame:
+    """Result list HTML: one window per headline, windows may overlap.
+
+    A window has ``v.RESULT_WINDOW_CHARS`` characters from its headline on, whatever follows. With ``whole`` it is the
+    result itself, from its headline to the next one or to the end, however long. Patterns are tried only
+    where a plain search finds their words.
+    """
 
     ws = t.WS
     anchor = rf'(?is){_NEWS_H3}{ws}*<a[^>]*href="([^"]*)"[^>]*>'
-    marks = [rf"[0-9]+{ws}*天前", rf"[0-9]+{ws}*小时前", rf"[0-9]+{ws}*分钟前", "[0-9]{1,2}月[0-9]{1,2}日"]
+    marks = {"天前": rf"[0-9]+{ws}*天前", "小时前": rf"[0-9]+{ws}*小时前", "分钟前": rf"[0-9]+{ws}*分钟前", "月": "[0-9]{1,2}月[0-9]{1,2}日"}
+
+    def source_line(w: Column) -> Column:
+        return F.substring(w, F.locate("news-source", w), F.lit(v.SOURCE_LINE_CHARS))
+
+    def date_on(line: Column) -> Column:
+        return F.coalesce(*[F.when(F.contains(line, F.lit(word)), t.blank_to_null(F.regexp_extract(line, f"({m})", 1)))
+                            for word, m in marks.items()], F.lit(""))
+
+    def linked_outlet(w: Column) -> Column:
+        link = F.regexp_extract(w, '<a[^>]*class="[^"]*source-link[^"]*"[^>]*href="([^"]*)"', 1)
+        return F.when(F.contains(w, F.lit("source-link")), t.bind(link, lambda x: F.when(x != "", short_outlet(x))))
 
     def fields(w: Column) -> Column:
         return F.struct(
             w.alias("window"),
             t.trim_ws(t.strip_tags(F.regexp_extract(w, rf"{anchor}(.*?)</a>", 2))).alias("title"),
             F.regexp_extract(w, 'aria-label="新闻来源：([^"]*)"', 1).alias("media"),
-            F.regexp_extract(w, '<a[^>]*class="[^"]*source-link[^"]*"[^>]*href="([^"]*)"', 1).alias("source_link"),
             F.regexp_extract(w, 'aria-label="发布于：([^"]*)"', 1).alias("date"),
-            # without a label the date is looked for only on the source line, never in the summary
-            F.regexp_extract(w, rf"(?s)(news-source.{{0,{v.SOURCE_LINE_CHARS - len('news-source')}}})", 1).alias("line"),
         )
 
     def article(r: Column) -> Column:
-        said = F.coalesce(
-            t.blank_to_null(r["date"]),
-            *[t.blank_to_null(F.regexp_extract(r["line"], f"({m})", 1)) for m in marks],
-            F.lit(""),
-        )
-        media = F.when(r["media"] != "", r["media"]).when(r["source_link"] != "", short_outlet(r["source_link"]))
+        # without a label the date is looked for only on the source line, never in the summary
+        unlabelled = F.when(F.contains(r["window"], F.lit("news-source")), t.bind(source_line(r["window"]), date_on)).otherwise("")
+        said = F.when(r["date"] != "", r["date"]).otherwise(unlabelled)
+        media = F.when(r["media"] != "", r["media"]).otherwise(linked_outlet(r["window"]))
         summary = F.replace(t.squeeze_ws(t.strip_tags(r["window"], " ")), r["title"], F.lit(""))
         return F.struct(
             r["title"].alias("title"),
@@ -114,11 +125,16 @@ def parse_news_html(df: DataFrame, as_of, body: str = "body", max_results: int |
             t.truncate(t.trim_ws(summary), v.SNIPPET_CHARS).alias("snippet"),
         )
 
-    windows = F.regexp_extract_all(
-        F.col(body),
-        F.lit(rf"(?i)(?={_NEWS_H3})(?=((?s:.{{1,{v.RESULT_WINDOW_CHARS}}})))"),
-        F.lit(1),
-    )
+    if whole:
+        # a blank before the page makes the first part what stands before the first headline
+        parts = F.split(F.concat(F.lit(" "), F.col(body)), f"(?i)(?={_NEWS_H3})")
+        windows = F.slice(parts, F.lit(2), F.size(parts))
+    else:
+        windows = F.regexp_extract_all(
+            F.col(body),
+            F.lit(rf"(?i)(?={_NEWS_H3})(?=((?s:.{{1,{v.RESULT_WINDOW_CHARS}}})))"),
+            F.lit(1),
+        )
     return _explode(df, F.transform(_accepted(windows, fields, max_results), article), body, None)
 
 

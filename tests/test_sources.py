@@ -1,5 +1,8 @@
 import json
 
+from pyspark.sql import functions as F
+
+from newsgauge.functions import text as t
 from newsgauge.sources import payloads as p
 
 RSS = """<rss><item><title><![CDATA[某项目封顶 &amp; 完工 - 新华社]]></title><link> https://a.com/1 </link>
@@ -44,6 +47,30 @@ def test_news_html(spark):
     assert all(len(r["snippet"]) <= 200 for r in got)
 
 
+def test_news_html_whole_results(spark):
+    """A result may be longer than any window, and nothing of the next one is taken for its own."""
+    head = '<H3 class="a news-title_1"> <a href="https://x.com/%d">%s</a></h3>'
+    html = (head % (1, "第一条新闻标题") + "<p>" + "长" * 4000 + '</p><div class="news-source_X"><span aria-label="新闻来源：光明网"></span>3天前</div>'
+            + head % (2, "第二条新闻标题") + "<p>摘要</p>" + head % (3, "第三条新闻标题")
+            + '<div class="news-source_X"><a class="source-link_F" href="https://baijiahao.baidu.com/s">b</a><i>8月2日</i></div>')
+    got = rows(p.parse_news_html(body(spark, html), "2026-08-15T02:00:00", whole=True))
+    assert [(r["title"], r["media"], r["date"]) for r in got] == [
+        ("第一条新闻标题", "光明网", "2026-08-12"), ("第二条新闻标题", "未知来源", ""), ("第三条新闻标题", "百度百家号", "2026-08-02")]
+    assert [r["snippet"] for r in got] == ["长" * 200, "摘要", "b 8月2日"]
+    cut = rows(p.parse_news_html(body(spark, html), "2026-08-15T02:00:00"))
+    assert cut[0]["media"] == "未知来源" and cut[1]["media"] == "百度百家号"
+    for nothing in ("", "<html></html>", "<h3 class='x'>y</h3>", None):
+        assert rows(p.parse_news_html(body(spark, nothing), "2026-08-15T02:00:00", whole=True)) == []
+    assert [r["pos"] for r in rows(p.parse_news_html(body(spark, html), "2026-08-15T02:00:00", max_results=2, whole=True))] == [0, 1]
+
+
+def test_space_class(spark):
+    """The class finds the characters that its list of spaces names, and no others."""
+    chars = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000]
+    found = spark.createDataFrame([(c,) for c in chars], "c string").where(F.col("c").rlike(f"^{t._WS_SOON}\\z") & F.col("c").rlike(t.WS)).collect()
+    assert {r["c"] for r in found} == {c for c in chars if c in t._SPACES}
+
+
 def test_wechat_html(spark):
     def block(i, title, mark=True, account="某公众号"):
         time = f"<script>document.write(timeConvert('{1689848555 + 86400 * i}'))</script>" if mark else ""
