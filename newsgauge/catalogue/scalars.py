@@ -271,6 +271,24 @@ def range_instants(spark, sf):
     return table(spark, sf, "events").select("event_id", bounds.alias("b")).select("event_id", "b.*")
 
 
+_ASKED_FROM = "CASE WHEN l_quantity = 1 THEN '' WHEN l_quantity = 2 THEN NULL WHEN l_linenumber = 7 THEN '2024-02-30' ELSE {ship} END"
+_ASKED_TO = "CASE WHEN l_quantity = 3 THEN NULL WHEN l_quantity = 4 THEN 'tomorrow' ELSE {ordered} END"
+
+
+@query("range_check", f"""
+WITH r AS (SELECT l_orderkey, l_linenumber, {_ASKED_FROM.format(ship="strftime(l_shipdate, '%Y-%m-%d')")} AS f,
+    {_ASKED_TO.format(ordered="strftime(o_orderdate + INTERVAL 60 DAY, '%Y-%m-%d')")} AS t
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+SELECT l_orderkey, l_linenumber, CASE WHEN f IS NULL OR t IS NULL OR f = '' OR t = '' THEN 'missing' WHEN try_cast(f AS DATE) IS NULL OR try_cast(t AS DATE) IS NULL THEN 'not_a_date'
+  WHEN try_cast(f AS DATE) > try_cast(t AS DATE) THEN 'starts_after_end' END AS reason FROM r""")
+def range_check(spark, sf):
+    """Ranges asked from the day of shipping to two months after the order, some of them broken."""
+    lines = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    asked = lines.select("l_orderkey", "l_linenumber", F.expr(_ASKED_FROM.format(ship="date_format(l_shipdate, 'yyyy-MM-dd')")).alias("f"),
+                         F.expr(_ASKED_TO.format(ordered="date_format(o_orderdate + INTERVAL 60 DAY, 'yyyy-MM-dd')")).alias("t"))
+    return asked.select("l_orderkey", "l_linenumber", dates.range_reason(F.col("f"), F.col("t")).alias("reason"))
+
+
 @query("recency", """
 WITH o AS (SELECT o_orderkey, date_diff('second', o_orderdate - INTERVAL 8 HOUR, TIMESTAMP '1998-12-01 00:00:00') / 86400.0 AS span,
   date_diff('day', o_orderdate, TIMESTAMP '1998-12-01 00:00:00') AS days FROM orders)

@@ -158,3 +158,14 @@ def check_range(date_from: str, date_to: str) -> tuple[str, str]:
     if first > last:
         raise ValueError("the range starts after it ends")
     return first.isoformat(), last.isoformat()
+
+
+def range_reason(date_from: Column, date_to: Column) -> Column:
+    """Why a landed request has no valid day range, or NULL: the rules of :func:`check_range` for days ``yyyy-MM-dd``, row by row."""
+
+    def day(c: Column) -> Column:
+        return F.when(c.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z"), c.try_cast("date"))
+
+    missing = (F.coalesce(date_from, F.lit("")) == "") | (F.coalesce(date_to, F.lit("")) == "")
+    return (F.when(missing, "missing").when(day(date_from).isNull() | day(date_to).isNull(), "not_a_date")
+            .when(day(date_from) > day(date_to), "starts_after_end"))

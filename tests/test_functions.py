@@ -144,6 +144,19 @@ def test_check_range():
             dates.check_range(*bad)
 
 
+def test_range_reason_agrees_with_the_argument_check(apply):
+    asked = [("2024-01-01", "2024-01-01"), ("", "2024-01-01"), ("2024-01-01", None), (None, None), ("2024-01-02", "2024-01-01"), ("x", "2024-01-01"),
+             ("2024-02-30", "2024-03-01"), ("2024-01-01", "2024-1-5"), ("2023-12-31", "2024-01-01\n")]
+    got = apply(dates.range_reason, asked, ["string", "string"])
+    assert got == [None, "missing", "missing", "missing", "starts_after_end", "not_a_date", "not_a_date", "not_a_date", "not_a_date"]
+    for pair, reason in zip(asked, got):
+        if reason is None:
+            dates.check_range(*pair)
+        else:
+            with pytest.raises(ValueError):
+                dates.check_range(*pair)
+
+
 def test_title_similarity(apply):
     pairs = [("ABC", "abc"), ("abc", "cba"), ("abcd", "abxy"), ("", ""), ("", "x")]
     assert apply(similarity.title_similarity, pairs, ["string", "string"]) == [1.0, 1.0, 0.5, 1.0, 0.0]
