@@ -169,6 +169,19 @@ def test_merge_similar_equals_the_sequential_rule(spark, fold_rows):
     assert sorted((str(r["g"]), r["place"], r["pos"]) for r in got.collect()) == sorted(want)
 
 
+def test_sets_are_compared_without_a_broadcast(spark):
+    """Copies of sets are many times their stored size; characters of all planes keep apart."""
+    from newsgauge.operators import similar
+
+    chars = spark.createDataFrame([(["", "a", "中", "😀", "𠀀"],), (None,)], "chars array<string>").select(similar._code_points(F.col("chars")).alias("c"))
+    assert [r["c"] for r in chars.collect()] == [[-1, ord("a"), ord("中"), ord("😀"), ord("𠀀")], None]
+    sets = spark.createDataFrame([(0, [1, 2, 3]), (0, [7, 8, 9])], "g int, chars array<int>")
+    others = spark.createDataFrame([(0, [1, 2, 3], 5), (1, [7, 8, 9], 6)], "g int, _chars array<int>, _idx long")
+    pairs = similar._similar_sets(sets, others, ["g"], 0.85)
+    assert [(r["chars"], r["_idx"]) for r in pairs.collect()] == [([1, 2, 3], 5)]
+    assert "BroadcastHashJoin" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
 def test_merge_compares_whole_links(spark):
     """Links that share their first 150 characters are one page only if asked for."""
     titles = ("某项目全面封顶", "无关的新闻标题", "完全不同内容", "另有一件事情")
