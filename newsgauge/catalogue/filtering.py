@@ -11,7 +11,9 @@ from newsgauge.catalogue.views import (
     ARTICLES_SQL, LABEL_ROWS, OUTLET_ROWS, SUBJECT_ROWS, articles, labels, outlets, quote, sql_array, sql_rows, subjects,
 )
 from newsgauge.operators import funnel, keywords as kw, score
+from newsgauge.operators.joins import attach
 from newsgauge.plans.coverage import Dimensions, Report, Settings, coverage_report, unrequested_articles
+from newsgauge.session import cut
 
 DATE_FROM, DATE_TO = "2024-02-01", "2024-10-31"
 
@@ -74,8 +76,10 @@ FROM {ARTICLES_SQL} a JOIN t USING (keyword)""")
 def precision_terms(spark, sf):
     rows = articles(spark, sf)
     plan = kw.plan_searches(kw.resolve_keywords(request_keywords(rows), subjects(spark)))
+    # written, its size is known: a short plan is broadcast, beside a long one a common keyword is spread over tasks
+    plan = cut(plan.select("keyword", "project", "match_terms", "co_occur"))
     text = F.concat("title", "snippet")
-    return rows.join(plan.select("keyword", "project", "match_terms", "co_occur"), "keyword").select(
+    return attach(rows, plan, "keyword", "ord", how="inner").select(
         "ord", "project", funnel.mentions_subject(text, F.col("match_terms"), F.col("co_occur")).alias("mentioned")
     )
 
