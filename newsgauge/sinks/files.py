@@ -5,7 +5,9 @@ All fields that need it are quoted and inner quotes doubled, so any title surviv
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from newsgauge.operators.position import in_files
 from newsgauge.operators.report import report_order, with_rank
@@ -51,8 +53,11 @@ def rejected_columns(df: DataFrame) -> DataFrame:
 
 
 def write_kept_csv(df: DataFrame, path: str, row_id: str = "ord") -> None:
-    """Numbered article list in report order; the part files follow the numbering."""
-    kept_columns(in_files(with_rank(df, row_id=row_id), "rank", df.count())).write.options(**_CSV).csv(path)
+    """Numbered article list in report order; the part files follow the numbering, none of them for one task too large to read back."""
+    texts = ("date", "title", "media", "category", "url", "snippet")
+    length = reduce(Column.__add__, [F.coalesce(F.octet_length(c), F.lit(0)).cast("long") for c in texts])
+    rows, size = df.agg(F.count("*"), F.coalesce(F.sum(length), F.lit(0))).first()
+    kept_columns(in_files(with_rank(df, row_id=row_id), "rank", rows, size=size)).write.options(**_CSV).csv(path)
 
 
 def write_scored_csv(df: DataFrame, path: str, row_id: str = "ord") -> None:

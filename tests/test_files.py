@@ -87,3 +87,20 @@ def test_kept_csv_parts_follow_the_numbering(spark, tmp_path):
         with part.open(encoding="utf-8") as f:
             numbers += [int(r["序号"]) for r in csv.DictReader(f)]
     assert numbers == list(range(1, 501))
+
+
+def test_kept_csv_splits_long_rows(spark, tmp_path, monkeypatch):
+    """Few rows with long texts are no single file, which one task would have to read back."""
+    import csv
+
+    from newsgauge.operators import position
+
+    rows = [(i, "2024-01-01", f"t{i}", "m", "行业", "u", "s" * 1000, "p", 1, None) for i in range(100)]
+    monkeypatch.setattr(position.in_files, "__defaults__", (position.FILE_ROWS, 0, 25_000))
+    files.write_kept_csv(spark.createDataFrame(rows, COLS).repartition(4), str(tmp_path / "kept"))
+    numbers = []
+    parts = sorted((tmp_path / "kept").glob("part-*"))
+    for part in parts:
+        with part.open(encoding="utf-8") as f:
+            numbers += [int(r["序号"]) for r in csv.DictReader(f)]
+    assert len(parts) >= 4 and numbers == list(range(1, 101))
