@@ -57,6 +57,25 @@ class PieceModel:
         #: No piece has a space mark behind another character, so paths meet before a mark that begins a word.
         self.words_are_apart = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.pairs: dict[tuple[str, str], bool] = {}
+        #: The parts of a text between places that no piece crosses, each with the spaces before it.
+        self.parts = re.compile(self._parts_pattern()).findall
+
+    def _parts_pattern(self) -> str:
+        """Characters that stand side by side in a piece are of one group, such as letters or punctuation, and so are the
+        neighbours of neighbours. No piece holds characters of two groups, so paths meet between them. Small groups count as one.
+        """
+        groups: dict[str, set[str]] = {}
+        for piece in self.ids:
+            chars = piece.lstrip(SPACE)
+            for a, b in zip(chars, chars[1:]):
+                one, other = groups.setdefault(a, {a}), groups.setdefault(b, {b})
+                if one is not other:
+                    one, other = sorted((one, other), key=len)
+                    other |= one
+                    groups.update(dict.fromkeys(one, other))
+        large = {id(g): "".join(map(re.escape, sorted(g))) for g in groups.values() if len(g) >= _GROUP}
+        runs = "|".join([f"[{chars}]+" for chars in large.values()] + [f"[^ {''.join(large.values())}]+"])
+        return f" *(?:{runs})| +"
 
     def merged(self, text: str) -> list[str]:
         """Encode by its definition: join the best-scored neighbours, the first of equals, until none join."""
@@ -112,6 +131,7 @@ class PieceModel:
 
 
 _ONE = (1,)
+_GROUP = 8  # characters that make a group of its own
 
 
 class StreamEncoder:
@@ -210,24 +230,21 @@ class PieceCodec:
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers; the empty text has none.
 
-        Where no piece crosses the start of a word, all paths meet there, so the words are encoded one
-        by one, each once.
+        Where no piece crosses the start of a word, all paths meet there, and also between characters that no piece
+        joins, so the parts of words are encoded one by one, each once.
         """
         if not text:
             return b""
         text = " " + text.replace(SPACE, OWN_MARK)
         if not self.model.words_are_apart:
             return self._bytes(text.replace(" ", SPACE))
-        return b"".join(map(self._remembered, _WORDS(text)))
+        return b"".join(map(self._remembered, self.model.parts(text)))
 
     def decode(self, ids: bytes) -> str:
         raw = self.model.raw
         return b"".join([raw[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode()[1:]
 
 
-_WORDS = re.compile(r" +[^ ]*").findall
-
-
 @cache
 def codec(name: str = PIECES) -> PieceCodec:
     """One codec for each Python worker, kept from task to task."""

@@ -216,3 +216,13 @@ def test_piece_queries(docs, no_docs):
     got = decode_pieces(encode_pieces(docs))
     assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == Counter((r["doc_id"], r["text"] or "") for r in docs.collect())
     assert decode_pieces(encode_pieces(no_docs)).count() == 0
+
+
+def test_parts_of_words_are_encoded_once(pieces):
+    """No piece joins letters with punctuation, digits or another script, so a word is known behind any of them."""
+    codec, library = PieceCodec(), pieces[1]
+    text = "harbour, harbour; harbour... harbour2024 harbourгавань (harbour)  harbour \n\t harbour's 据数,一个 ‘harbour’   "
+    assert np.frombuffer(codec.encode(text), "<u4").tolist() == library.encode(text)
+    assert codec.decode(codec.encode(text)) == text
+    assert [part for part in codec.words if "harbour" in part] == [" harbour", "harbour", "  harbour"]
+    assert "".join(codec.model.parts(" " + text)) == " " + text
