@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 from newsgauge.operators import dedup, keywords as kw
 from newsgauge.operators.position import with_position
 from newsgauge.plans.coverage import Dimensions, Report, Settings, coverage_report
-from newsgauge.plans.search import search_articles
+from newsgauge.plans.search import search_places
+from newsgauge.session import cut
 
 
 def requested_articles(articles: DataFrame, keywords: DataFrame, subjects: DataFrame,
@@ -19,12 +20,19 @@ def requested_articles(articles: DataFrame, keywords: DataFrame, subjects: DataF
     keyword, query by query, newest first.
     """
     planned = kw.plan_searches(kw.resolve_keywords(kw.clean_keywords(keywords), subjects))
-    hits = search_articles(articles.drop("keyword", "keyword_rank"), kw.query_rows(planned), max_per_query)
+    queries = kw.query_rows(planned)
+    articles = articles.drop(*[c for c in queries.columns if c in articles.columns])
+    hits = search_places(articles, queries, max_per_query)
     once = dedup.keep_first(hits, [F.col("keyword"), F.col("ord")], [F.col("query_rank"), F.col("pos")])
-    once = once.withColumnRenamed("ord", "landed_ord")
+    once = cut(once.select("keyword", "keyword_rank", "query_rank", "pos", "_row", F.col("ord").alias("landed_ord")))
     order = [F.col(c) for c in ("keyword_rank", "query_rank", "pos", "landed_ord")]
-    once = with_position(once, order, name="ord", row_id=["keyword", "landed_ord"], using=["keyword_rank", "query_rank", "pos"])
-    return once.drop("keyword_rank", "query_rank", "pos", "term")
+    once = with_position(once, order, name="ord").select("keyword", "landed_ord", "ord", F.col("_row").alias("_found"))
+    # the texts come last and are dealt once, by the hash alone; of equal rows of one id one is found
+    rows = articles.withColumn("_row", F.xxhash64(*articles.columns)).withColumnRenamed("ord", "_ord")
+    same = F.coalesce(F.col("_ord") == F.col("landed_ord"), F.col("_ord").isNull() & F.col("landed_ord").isNull())
+    rows = rows.join(once, (F.col("_row") == F.col("_found")) & same)
+    rows = dedup.keep_first(rows, [F.col("_found"), F.col("keyword"), F.col("landed_ord")], [F.col("ord")])
+    return rows.select(*[F.col("landed_ord") if c == "ord" else F.col(c) for c in articles.columns], "keyword", "ord")
 
 
 def request_report(articles: DataFrame, keywords: DataFrame, dims: Dimensions, settings: Settings,

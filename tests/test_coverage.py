@@ -164,3 +164,22 @@ def test_request_end_to_end(spark):
     report = request_report(articles, keywords, Dimensions(subjects), Settings("2024-01-01", "2024-02-01"))
     got = sorted((r["project"], r["landed_ord"], r["status"]) for r in report.rows.collect())
     assert got == [("跨江大桥", 7, "kept"), ("跨江大桥", 8, "kept"), ("高速隧道", 8, "owned_elsewhere")]
+
+
+def test_request_reads_texts_apart_from_places(spark):
+    """Places are found without the articles' texts; equal rows count once, and rows without an id are told apart."""
+    from pyspark.sql import functions as F
+
+    from newsgauge.plans.request import requested_articles
+    from newsgauge.plans.search import search_places
+
+    subjects = spark.createDataFrame([(1, "跨江大桥", ["甲"], ["跨江大桥"])], "ord int, primary string, aliases array<string>, terms array<string>")
+    rows = [(7, "跨江大桥合龙", "u7", "2024-01-02", "a"), (7, "跨江大桥合龙", "u7", "2024-01-02", "a"), (8, "跨江大桥通车", "u8", "2024-01-03", "b"),
+            (None, "跨江大桥检修", "u0", "2024-01-01", "c"), (None, "无关内容", "u1", "2024-01-04", "d"), (9, "无关内容", "u9", "2024-01-03", "e")]
+    articles = spark.createDataFrame(rows, "ord long, title string, url string, date string, snippet string")
+    keywords = spark.createDataFrame([("甲", 0)], "keyword string, keyword_rank int")
+    found = requested_articles(articles, keywords, subjects).orderBy("ord").collect()
+    assert [(r["landed_ord"], r["url"], r["keyword"]) for r in found] == [(8, "u8", "甲"), (7, "u7", "甲"), (None, "u0", "甲")]
+    queries = spark.createDataFrame([("甲", 0, 0, "大桥")], "keyword string, keyword_rank int, query_rank int, term string")
+    places = search_places(articles.where(F.col("ord") == 8), queries)
+    assert set(places.columns) == {"ord", "date", "_row", "keyword", "keyword_rank", "query_rank", "term", "pos"} and places.count() == 1
