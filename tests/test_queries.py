@@ -43,3 +43,14 @@ def test_query(spark, check, name):
 
 def test_entry(spark):
     assert driver.entry(spark).count() > 0
+
+
+def test_precision_terms_keeps_texts_in_place(spark, tmp_path):
+    """Few keywords share all articles: their short plan comes to the texts, which are not dealt by keyword."""
+    rows = [(i, f"title {i}\nThe station", ("en", "fr")[i % 2], "s", 20) for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["precision_terms"](spark, str(tmp_path))
+    assert sorted(r["ord"] for r in got.collect()) == list(range(40))
+    assert {r["mentioned"] for r in got.where("ord % 2 = 0").collect()} == {True}
+    plan = got._jdf.queryExecution().optimizedPlan()
+    assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString() and "Aggregate" not in plan.toString()
