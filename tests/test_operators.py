@@ -544,3 +544,44 @@ def test_a_search_opens_few_files(spark, tmp_path):
             f.write_bytes(b"spoilt")
     got = postings.match_indexed(spark, str(tmp_path), spark.createDataFrame([("子丑寅卯辰",)], "term string")).collect()
     assert [r["id"] for r in got] == [17] and kept < size / 5
+
+
+@pytest.mark.parametrize("gather", [8_000_000, 20])
+def test_postings_of_a_part_are_gathered_where_its_texts_are_read(spark, monkeypatch, gather):
+    """Every gram of every text once, with the texts' places, against a plain count; characters of all widths, and too many for one number."""
+    import pyarrow as pa
+
+    from newsgauge.operators import postings
+
+    monkeypatch.setattr(postings, "GATHER_CHARS", gather)
+    rng = random.Random(5)
+    wide = "".join(map(chr, range(0x4E00, 0x9000))) + "".join(map(chr, range(0xAC00, 0xD7A0)))
+    texts = ["", "e", "abcabc", "é€𝒳𝒴𝒵", "a\x00b", *("".join(rng.choice("abé€𝒳 ") for _ in range(30)) for _ in range(20)), wide, wide[::-1]]
+    rows = [(i // 9, i % 9 + 1, x) for i, x in enumerate(texts)]
+    cells = [pa.array(c) for c in zip(*rows, strict=True)]
+    batches = [pa.RecordBatch.from_arrays([c.slice(i, 4) for c in cells], ["part", "place", "text"]) for i in range(0, len(rows), 4)]
+    got = [(r["gram"], r["part"], p) for b in postings._posting_rows(iter(batches)) for r in b.to_pylist() for p in r["places"]]
+    want = {((x + "\0\0\0")[i : i + 4], part, place) for part, place, x in rows for i in range(len(x)) if x[i] != "\0"}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_a_stored_index_shuffles_no_row_for_each_gram_of_a_text(spark, tmp_path, monkeypatch):
+    """Grams meet where the texts of a part are read: of the postings only whole rows are dealt, once, and bounds need no second run."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    from newsgauge.operators import postings
+
+    plans, write = {}, DataFrameWriter.parquet
+
+    def noted(self, path, *a, **b):
+        plans[path.removeprefix(str(tmp_path))] = self._df._jdf.queryExecution().executedPlan().toString()
+        return write(self, path, *a, **b)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", noted)
+    df = spark.createDataFrame([(i * 1_000_003 + 2**40, f"text {i % 7} of {i}") for i in range(50)], "ord long, text string")
+    postings.add_articles(df, F.col("text"), "ord", str(tmp_path), "all", 10)
+    dealt, texts = plans["/postings/batch=all"], plans["/texts/batch=all"]
+    assert "Aggregate" not in dealt and dealt.count("Exchange") == 1 and "rangepartitioning" not in dealt + texts
+    monkeypatch.undo()
+    got = postings.match_indexed(spark, str(tmp_path), spark.createDataFrame([("text 3 of",)], "term string")).collect()
+    assert sorted(r["id"] for r in got) == [i * 1_000_003 + 2**40 for i in range(50) if i % 7 == 3]
