@@ -190,3 +190,21 @@ def test_mentions_subject_apart_only_for_literals(apply, spark):
     terms, pair = F.array(F.lit("青海省国家区域医疗中心")), F.array(F.lit("青海"), F.lit("国家区域医疗中心"))
     assert apply(lambda c: funnel.mentions_subject(c, terms, pair), [text]) == [True]
     assert apply(lambda c: funnel.mentions_subject(c, terms), [text]) == [False]
+
+
+def test_single_blanks_are_left_where_they_are(spark):
+    """Only runs that change are replaced, with the same result as if every run were; counts are cast only where there is one."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(9)
+    rows = [("".join(rng.choice("ab \t\n 　 é") for _ in range(rng.randrange(14))),) for _ in range(600)]
+    df = spark.createDataFrame([*rows, (None,), ("a b c",), (" ",), ("  ",), ("\n",), ("a" + " " * 20_000 + "b" + "　 " * 9_000,)], "c string")
+    wrong = df.where(~t.squeeze_ws(F.col("c")).eqNullSafe(F.regexp_replace("c", f"{t.WS}+", " ")))
+    assert wrong.count() == 0
+    assert {r[0] for r in df.where("c IN ('a b c', ' ')").select(F.size(F.regexp_extract_all("c", F.lit(t._WS_RUN), F.lit(0)))).collect()} == {0}
+    said = ["", "soon", "天前", "3 天前", "99999999999999999999天前", "2024-1-5", "2小时前", "x分钟前", None]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(said)], "i int, s string").select("i", dates.normalise_date(F.col("s"), "2024-03-05T02:30:00").alias("d"))
+    assert [r["d"] for r in got.orderBy("i").collect()] == ["", "soon", "天前", "2024-03-02", "99999999999999999999天前", "2024-01-05", "2024-03-05", "x分钟前", ""]
+    assert "nullif" in str(dates.normalise_date(F.col("s"), "2024-03-05T02:30:00")).lower()
