@@ -169,6 +169,51 @@ def test_merge_similar_equals_the_sequential_rule(spark, fold_rows):
     assert sorted((str(r["g"]), r["place"], r["pos"]) for r in got.collect()) == sorted(want)
 
 
+def test_merge_is_one_pass_however_many_rows_change_the_list(spark):
+    """No rounds: the number of jobs does not grow with the leaders, nor with the folds that a list takes."""
+    def jobs(n):
+        rows = [(i, f"a.com/{i}", "".join(map(chr, range(0x4E00 + 9 * i, 0x4E09 + 9 * i))), "s") for i in range(n)]
+        df = spark.createDataFrame(rows, "pos int, url string, title string, snippet string").withColumn("g", F.lit(1))
+        spark.sparkContext.setJobGroup(f"merge-{n}", "merge")
+        try:
+            assert dedup.merge_similar(df, ["g"], ["pos"], fold_rows=7).count() == n
+            return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"merge-{n}"))
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+    assert jobs(140) == jobs(14) <= 20
+
+
+@pytest.mark.parametrize("letters", [9, 60, 300, 4000])
+def test_fold_equals_the_sequential_rule(letters, monkeypatch):
+    """With fewer and more characters than a signature has bits, sets that are forgotten, and slices of all lengths."""
+    import pyarrow as pa
+
+    from newsgauge.operators import similar
+
+    monkeypatch.setattr(similar, "SETS", 25)
+    monkeypatch.setattr(similar, "_AHEAD", 5)
+    monkeypatch.setattr(similar, "_PAIRS", 40)
+    rng = random.Random(letters)
+    bases = [[chr(0x4E00 + rng.randrange(letters)) for _ in range(rng.randint(0, 24))] for _ in range(12)]
+    rows = []
+    for i in range(400):
+        title = [c for c in rng.choice(bases) if rng.random() > 0.04] + [chr(0x4E00 + rng.randrange(letters)) for _ in range(rng.randint(0, 2))]
+        rows.append({"pos": i, "url": f"u{rng.randrange(300)}", "title": None if rng.random() < 0.03 else "".join(title),
+                     "snippet": None if rng.random() < 0.03 else "s" * rng.randint(0, 60)})
+    chars = similar.distinct_chars(pa.array([r["title"] for r in rows], pa.string()))
+    assert [c and set(c) for c in chars.to_pylist()] == [r["title"] and set(r["title"]) for r in rows]
+    done, at = similar.Fold(0.85), 0
+    while at < len(rows):
+        part = slice(at, at + rng.choice((1, 7, 60)))
+        some = rows[part]
+        sizes = pa.array([None if r["snippet"] is None else len(r["snippet"]) for r in some], pa.int32())
+        done.rows(chars[part], pa.array([r["url"] for r in some]), sizes, pa.array([r["pos"] for r in some]))
+        at += len(some)
+    want = merged_by_hand(rows)
+    assert done.ids == [r["pos"] for r in want] and len(want) > (3 if letters < 60 else 12)
+
+
 def test_sets_are_compared_without_a_broadcast(spark):
     """Copies of sets are many times their stored size; characters of all planes keep apart."""
     from newsgauge.operators import similar
