@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from newsgauge import values as v
 from newsgauge.functions import dates, similarity, text as t, urls
@@ -208,3 +209,44 @@ def test_single_blanks_are_left_where_they_are(spark):
     got = spark.createDataFrame([(i, x) for i, x in enumerate(said)], "i int, s string").select("i", dates.normalise_date(F.col("s"), "2024-03-05T02:30:00").alias("d"))
     assert [r["d"] for r in got.orderBy("i").collect()] == ["", "soon", "天前", "2024-03-02", "99999999999999999999天前", "2024-01-05", "2024-03-05", "x分钟前", ""]
     assert "nullif" in str(dates.normalise_date(F.col("s"), "2024-03-05T02:30:00")).lower()
+
+
+def test_last_split_equals_the_pattern(apply):
+    import re
+
+    texts = ["", " - ", "a - b", " - a", "a -  - b", " -  - b", "a - - b", "a - ", "a_ b_ c", "\n - 中 - \n", "a-b", "😀 - 😀", None]
+    for sep in (" - ", "_ ", "|"):
+        want = [None if x is None else re.fullmatch(f"(?s)(.+){re.escape(sep)}(.*)", x) for x in texts]
+        got = apply(lambda c: t.last_split(c, sep), texts)
+        assert [tuple(r) for r in got] == [m.groups() if m else ("", "") for m in want]
+
+
+def test_elements_end_at_the_next_end_tag(apply):
+    """Whatever the case of tags and the signs between them, and without a stack that grows with them."""
+    import random
+    import re
+
+    from newsgauge.sources.payloads import _until
+
+    rng = random.Random(1)
+    texts = ["".join(rng.choice(("<", "</", "a", ">", "</a>", "</A>", "<a>", "<A>", "\n", "中")) for _ in range(rng.randint(0, 12))) for _ in range(300)]
+    texts.append("<a>" + "<b " * 100_000 + "</a>")
+    want = [m[1] if (m := re.search("(?is)<a>(.*?)</a>", x)) else "" for x in texts]
+    assert apply(lambda c: F.regexp_extract(c, f"<(?i:a>){_until('a')}", 1), texts) == want
+    assert sum(map(bool, want)) > 10
+
+
+def test_entities_and_cdata_equal_plain_replacements(apply):
+    texts = ["&amp;lt; &amp;amp;amp; &&lt;", "a", "<![CDATA[x]]>", "]<![CDATA[]>", "<![CDATA[<![CDATA[]]>]]", "]]]>>", None]
+    for entities in (v.RSS_TITLE_ENTITIES, v.WECHAT_ENTITIES, (("x", "<"), ("<", "y"))):
+        def decoded(x):
+            for a, b in entities:
+                x = x and x.replace(a, b)
+            return x
+        assert apply(lambda c: t.decode_entities(c, entities), texts) == [decoded(x) for x in texts]
+    assert apply(t.strip_cdata, texts) == ["&amp;lt; &amp;amp;amp; &&lt;", "a", "x", "]]>", "]]", "]>", None]
+
+
+def test_spaces_are_the_same_class_for_java(spark):
+    every = spark.range(1, 0x110000).where("id < 55296 or id > 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
+    assert every.where(F.col("c").rlike(t._WS_SOON) != F.col("c").rlike(t.WS)).isEmpty()

@@ -253,6 +253,22 @@ def test_merge_searches_two_levels(spark):
     assert [tuple(r) for r in got] == want
 
 
+def test_whole_searches_beyond_a_fold_are_one_pass(spark):
+    """A list with more rows than a fold reads at a time equals the sequential rule, without rounds of jobs."""
+    rng = random.Random(3)
+    bases = ["".join(rng.sample("甲乙丙丁戊己庚辛壬癸子丑寅卯辰巳午未", 9)) for _ in range(30)]
+    rows = [{"keyword": "k", "query_rank": 0, "engine_rank": 0, "page_no": 0, "pos": i, "url": f"u{rng.randrange(9000)}", "title": rng.choice(bases) + rng.choice("申酉 "),
+             "snippet": "s" * rng.randint(0, 40), "date": "", "media": ""} for i in range(10_050)]
+    df = spark.createDataFrame(rows, "keyword string, query_rank int, engine_rank int, page_no int, pos int, url string, title string, snippet string, date string, media string")
+    spark.sparkContext.setJobGroup("whole", "merge")
+    try:
+        got = dedup.merge_searches(df).orderBy("place").select("pos").collect()
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("whole")) <= 40
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert [r["pos"] for r in got] == [r["pos"] for r in merged_by_hand(merged_by_hand(rows))]
+
+
 def test_longer_snippet_takes_the_place(spark):
     df = spark.createDataFrame(
         [(0, "a.com/1", "某项目全面封顶", "短"), (1, "b.com/2", "无关的新闻标题", ""), (2, "c.com/3", "某项目封顶全面", "长一些"), (3, "a.com/1", "另一个", ""), (4, "c.com/3", "再一个题", "")],
